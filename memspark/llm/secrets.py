@@ -34,7 +34,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")  # eyJ: the code of {"
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -211,7 +211,7 @@ def candidate_rows(column: pa.Array) -> set[int]:
     rows = {int(r) for r in _rows_with_runs(_IS_HEX[raw], offsets, 16)}
     rows |= {int(r) for r in _rows_with_runs(_IS_CODE[raw], offsets, 40)}
     rows |= _rows_with(raw.tobytes(), b"AKIA", offsets) | _rows_with(raw.tobytes(), b"-----BEGIN ", offsets)
-    rows |= _rows_with(raw.tobytes(), b"eyJ", offsets) | _rows_with(raw.tobytes(), b"ew", offsets)
+    rows |= _rows_with(raw.tobytes(), b"eyJ", offsets)
     for k in _KEYWORDS:
         rows |= _rows_with(lower, k, offsets)
     return rows
