@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import langid, mixing, packing, secrets
+from memspark.llm import langid, mixing, ngram_join, packing, secrets
 from memspark.llm.common import materialize, table
 from memspark.llm.queries import vocabulary
 
@@ -17,6 +17,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.keep_known(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.deduplicate(docs)
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
@@ -29,7 +33,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [("language_id", known_language), ("secret_scan", without_secrets), ("source_mixing", mixed), ("packing", packed)]
+STAGES = [("language_id", known_language), ("ngram_join", without_near_copies), ("secret_scan", without_secrets), ("source_mixing", mixed), ("packing", packed)]
 
 #: The stages include a learned classifier and a tokenizer, which SQL can't express.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import langid, mixing, packing, secrets
+from memspark.llm import langid, mixing, ngram_join, packing, secrets, warc
 from memspark.llm.common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -31,6 +36,22 @@ def op6_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_source_mixing, op6_min_bin_slack)}
+def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op6_min_bin_slack, op10_grouped_prefix_join)}
+
+_OP1_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d),
+u AS (SELECT *, CASE WHEN url LIKE '%://%' THEN regexp_replace(url, '^.*?://', '') ELSE url END AS rest FROM f)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+  CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^[^/?#]*')), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') END AS url_key,
+  epoch(TIMESTAMP '{warc.FIRST_CAPTURE}')::BIGINT + coalesce(page_id, 0) AS capture_ts
+FROM u"""
 
-ORACLE_SQL = {"op4_source_mixing": mixing.oracle()}
+ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle()}
