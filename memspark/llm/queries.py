@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from memspark.llm import langid, mixing, ngram_join, packing, secrets, warc
+from memspark.llm import ann, fingerprints, langid, licenses, mixing, ngram_join, packing, secrets, urlfilter, warc
 from memspark.llm.common import table
 
 
@@ -32,15 +31,31 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents"))
 
 
+def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op6_min_bin_slack, op10_grouped_prefix_join)}
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join)}
 
 _OP1_SQL = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
