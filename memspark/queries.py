@@ -1,7 +1,10 @@
-"""Registry of the queries of this library; `QUERIES` and `ORACLE_SQL` share their keys."""
+"""All queries of the library, gathered from their modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from memspark import queries_retrieval, queries_text  # noqa: F401
+from memspark.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+
+FLAGSHIP = QUERIES["r4_hybrid_retrieval"]
