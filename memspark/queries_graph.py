@@ -51,10 +51,10 @@ def _unit(spark, d):
     return E.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding")).alias("v"), "label")
 
 
-@query("i1_region_neighbours", f"WITH {_PAIRS} SELECT a AS vec_id, b AS neighbour, round(score, 4) AS score, (row_number() OVER (PARTITION BY a ORDER BY score DESC, b))::INT AS rank FROM pairs QUALIFY rank <= 4")
+@query("i1_region_neighbours", f"WITH {_PAIRS} SELECT a AS vec_id, b AS neighbour, score, (row_number() OVER (PARTITION BY a ORDER BY score DESC, b))::INT AS rank FROM pairs QUALIFY rank <= 4")
 def i1(spark, d):
     """Exact graph of the four nearest rows within a region (label)."""
-    return L.semantic_links(_unit(spark, d), -1.0, 4, "label").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), F.round("score", 4).alias("score"), "rank")
+    return L.semantic_links(_unit(spark, d), -1.0, 4, "label").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "score", "rank")
 
 
 @query("j7_visual_edges", f"WITH {_PAIRS}, t AS (SELECT a, b, score FROM pairs WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 2) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 4) AS score FROM t GROUP BY 1, 2")

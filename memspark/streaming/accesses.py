@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    """Stream over a parquet table, be it a folder of files or one file."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def daily_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
