@@ -10,7 +10,8 @@ DAY = 86_400_000
 
 def norm_ms(c: Column) -> Column:
     """Values below 10^10 are seconds."""
-    return F.when(c < 10_000_000_000, c * 1000).otherwise(c)
+    ms = c.cast("long")
+    return F.when(ms < 10_000_000_000, ms * 1000).otherwise(ms)
 
 
 def freshness_status(retrieved: Column, expires: Column, now: int, override: Column | None = None) -> Column:
