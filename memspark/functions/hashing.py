@@ -36,7 +36,3 @@ def split_name(c: Column) -> Column:
     n = split_number(c)
     return F.when(n <= 6, "train").when(n == 7, "eval").otherwise("test")
 
-
-def line_digest(lines: Column) -> Column:
-    """SHA-256 of a group's sorted lines, for grouped use on a group of known size."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256)

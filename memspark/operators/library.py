@@ -57,11 +57,25 @@ def title_duplicates(documents: DataFrame, threshold: float = 0.82) -> DataFrame
     return same.unionByName(found)
 
 
-def queue_states(actions: DataFrame) -> DataFrame:
-    """Last state of each item after its ordered actions (item, seq, action); actions that a state doesn't know change nothing."""
-    log = actions.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("log"))
-    step = lambda s, x: _after(s, x["action"])
-    return log.select("item", F.aggregate("log", F.lit("queued"), step).alias("state"), F.size("log").alias("actions"))
+STATES = ("queued", "running", "completed", "failed", "cancelled")
+#: Actions of one item that one fold takes; longer logs are folded block by block.
+LOG_BLOCK = 4096
+
+
+def queue_states(actions: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """Last state of each item after its ordered actions (item, seq, action); actions that a state doesn't know change nothing.
+
+    A block of a log (a range of seq) becomes the map from each state before it to the state
+    after it; the maps of an item's blocks are then applied in order. So an item with a
+    large share of all actions is many small groups.
+    """
+    log = actions.groupBy("item", F.floor(F.col("seq") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("log"))
+    step = lambda states, x: F.transform(states, lambda s: _after(s, x["action"]))
+    moved = log.select("item", "block", F.aggregate("log", F.array(*map(F.lit, STATES)), step).alias("after"), F.size("log").alias("n"))
+    names = F.array(*map(F.lit, STATES))
+    maps = moved.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("block", "after"))).alias("maps"), F.sum("n").cast("int").alias("actions"))
+    last = F.aggregate("maps", F.lit("queued"), lambda s, m: F.element_at(m["after"], F.array_position(names, s).cast("int")))
+    return maps.select("item", last.alias("state"), "actions")
 
 
 def _after(state: Column, action: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memspark import oracle as O
 from memspark.functions import privacy as S
 from memspark.operators import training as T
+from memspark.operators.digests import group_digest, group_digest_sql
 from memspark.plans import entities as E
 from memspark.registry import query
 
@@ -70,13 +71,10 @@ def p10(spark, d):
     return c.select("document_id").join(down, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("chunks"))
 
 
-@query("a29_dataset_digest", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS digest FROM documents GROUP BY source")
+@query("a29_dataset_digest", group_digest_sql("SELECT source, doc_id || ':' || sha256(text) AS line FROM documents", "source"))
 def a29(spark, d):
-    """Per source; a line has the id and a hash, so a group holds 70 bytes a document."""
-    from memspark.functions.hashing import line_digest
-
     lines = E.read(spark, d, "documents").select("source", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("line"))
-    return lines.groupBy("source").agg(line_digest(F.col("line")).alias("digest"))
+    return group_digest(lines, ["source"])
 
 
 @query("rel_pricing_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS discount FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
