@@ -95,21 +95,28 @@ def fit_rows(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: f
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :DIM].astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    bits = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1)
+
+    def normal(part: np.ndarray) -> np.ndarray:
+        p = np.unpackbits(part, axis=1)[:, :DIM].astype(np.float32)
+        return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+
     y = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(langs)[None], 1.0, -1.0)
     pick = np.concatenate([np.flatnonzero(y[:, c] > 0)[: max(1, landmarks // len(langs))] for c in range(len(langs))])
-    mark = x[pick]
+    mark = normal(bits[pick])
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    phi = (x @ mark.T).astype(np.float64) @ root
+    # Presence rows are unpacked a block at a time, so the driver never holds the whole matrix.
+    phi = np.concatenate([(normal(bits[k : k + 128]) @ mark.T).astype(np.float64) for k in range(0, len(bits), 128)]) @ root
     weight = 1 / np.maximum((y > 0).sum(axis=0), 1)
     w = (y > 0) @ weight
     w *= len(rows) / w.sum()  # each language counts alike
     mean_phi, mean_y = (w[:, None] * phi).sum(0) / w.sum(), (w[:, None] * y).sum(0) / w.sum()
     p, t = phi - mean_phi, y - mean_y
     beta = np.linalg.solve((p * w[:, None]).T @ p + ridge * len(rows) / 100 * np.eye(p.shape[1]), (p * w[:, None]).T @ t)
-    return Model(langs, (mark.T.astype(np.float64) @ (root @ beta)).astype(np.float32), (mean_y - mean_phi @ beta).astype(np.float32))
+    seen = root @ beta
+    weights = np.concatenate([(mark[:, k : k + 4096].T.astype(np.float64) @ seen).astype(np.float32) for k in range(0, DIM, 4096)])
+    return Model(langs, weights, (mean_y - mean_phi @ beta).astype(np.float32))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> Model:
