@@ -49,6 +49,12 @@ def lexical_overlap(query_tokens: Column, doc_tokens: Column) -> Column:
     return F.when((n <= 0) | (F.size(doc_tokens) <= 0), F.lit(0.0)).otherwise(hit / n)
 
 
+def chunk_count(text: Column) -> Column:
+    """Number of windows, from the length alone."""
+    n = F.least(F.length(text), F.lit(MAX_DOCUMENT_CHARS))
+    return F.when(n > 0, F.least(F.lit(MAX_CHUNKS), 1 + F.greatest(F.lit(0), F.ceil((n - CHUNK_CHARS) / CHUNK_STRIDE)))).otherwise(0).cast("int")
+
+
 def chunk_structs(text: Column) -> Column:
     """Overlapping windows as structs (ordinal, start, end, text)."""
     t = F.substring(text, 1, MAX_DOCUMENT_CHARS)

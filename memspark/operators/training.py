@@ -22,7 +22,7 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     """Seven records per chunk (chunk_id, document_id, region, family, text): one explode, no join."""
     c = {n: F.col(n) for n in ("chunk_id", "region", "family")}
     doc = F.col("document_id").cast("string")
-    hint = T.bounded(F.col("text"), 80)
+    hint = F.col("hint")  # redacted once a chunk; the words around it hold no secrets
     anchor = F.concat(c["chunk_id"], F.lit(":anchor"))
     pairs = {
         "query_to_region": (F.concat(F.lit("Where should the library search for: "), hint, F.lit("?")), F.concat(F.lit("route_region:"), c["region"])),
@@ -33,8 +33,9 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
         "web_needed_or_not": (F.concat(F.lit("Is the web needed for: "), hint), F.lit("web_search_not_needed:source_available")),
         "weak_evidence_to_next_action": (F.concat(F.lit("Evidence is weak for: "), hint), F.lit("weak_evidence:search_original_sources")),
     }
-    rows = F.array(*[F.struct(F.lit(t).alias("task"), S.redact(i).alias("input"), o.alias("target")) for t, (i, o) in pairs.items()])
-    out = chunks.select("chunk_id", "family", F.explode(rows).alias("r")).select(F.col("chunk_id").alias("source_id"), "family", "r.*").withColumn("split", H.split_name(F.col("source_id")))
+    rows = F.array(*[F.struct(F.lit(t).alias("task"), i.alias("input"), o.alias("target")) for t, (i, o) in pairs.items()])
+    hinted = chunks.withColumn("hint", S.redact(T.bounded(F.col("text"), 80)))
+    out = hinted.select("chunk_id", "family", F.explode(rows).alias("r")).select(F.col("chunk_id").alias("source_id"), "family", "r.*").withColumn("split", H.split_name(F.col("source_id")))
     return out.withColumn("id", record_id(F.col("task"), F.col("split"), F.col("source_id"), F.col("input"), F.col("target")))
 
 

@@ -291,8 +291,7 @@ def a7(spark, d):
 @query("a9_chunks_per_document", f"WITH {O.CHUNKS} SELECT document_id, count(*) AS chunks FROM chunks GROUP BY document_id")
 def a9(spark, d):
     """Counted from lengths alone: no chunk is built."""
-    n = F.size(T.chunk_structs(F.col("text")))
-    return docs(spark, d).filter(F.length("text") > 0).groupBy(F.col("doc_id").alias("document_id")).agg(F.sum(n).alias("chunks"))
+    return docs(spark, d).filter(F.length("text") > 0).groupBy(F.col("doc_id").alias("document_id")).agg(F.sum(T.chunk_count(F.col("text"))).alias("chunks"))
 
 
 @query("a18_unique_or_mixed", "SELECT source, CASE count(DISTINCT lang) WHEN 0 THEN NULL WHEN 1 THEN min(lang) ELSE 'mixed' END AS lang FROM documents GROUP BY source")
