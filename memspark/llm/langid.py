@@ -37,6 +37,8 @@ RIDGE = 1e-2
 #: Steepness of the logistic curve from a ridge output (targets -1 and 1) to a score.
 SLOPE = 4.0
 UNKNOWN = "und"
+#: Characters that one step works on, so a very long text takes little more memory than itself.
+PIECE = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _PLANE = 1 << 16
 _IS_LETTER: list[np.ndarray] = []
@@ -49,19 +51,30 @@ def _letters() -> np.ndarray:
     return _IS_LETTER[0]
 
 
+def _plain(text: str) -> np.ndarray:
+    """Code points of the lower-cased text with a blank at either end, runs of other than letters as one blank."""
+    parts, open_run = [], False
+    for k in range(0, max(1, len(text)), PIECE):
+        c = np.frombuffer(f"{' ' * (k == 0)}{text[k : k + PIECE].lower()}{' ' * (k + PIECE >= len(text))}".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[np.minimum(c, _PLANE)]
+        parts.append(np.where(letter, c, np.uint32(32))[letter | np.concatenate([[not open_run], letter[:-1]])])
+        open_run = not letter[-1]
+    return np.concatenate(parts)
+
+
 def presence(text: str, dim: int = DIM) -> np.ndarray:
-    """Which hashed n-grams occur in the whole text (letters lower-cased, all else one space)."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[np.minimum(c, _PLANE)]
-    c = np.where(letter, c, np.uint32(32))[letter | np.concatenate([[True], letter[:-1]])]
+    """Which hashed n-grams occur in the whole text."""
+    plain = _plain(text)
     seen = np.zeros(dim, dtype=np.uint8)
-    h = np.zeros(len(c), dtype=np.uint32)
     shift = np.uint32(32 - dim.bit_length() + 1)
-    for n in ORDERS:
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
-        seen[(h * np.uint32(0x9E3779B1)) >> shift] = 1
+    for k in range(0, len(plain), PIECE):
+        c = plain[k : k + PIECE + max(ORDERS) - 1]
+        h = np.zeros(len(c), dtype=np.uint32)
+        for n in ORDERS:
+            if len(c) < n:
+                break
+            h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
+            seen[(h * np.uint32(0x9E3779B1)) >> shift] = 1
     return seen
 
 

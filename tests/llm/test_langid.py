@@ -53,3 +53,10 @@ def test_keep_known_keeps_columns(spark):
 def test_kernel_is_the_normalised_count_of_shared_ngrams():
     a, b = langid.presence("kalo mi"), langid.presence("KALO; mi")
     assert (a == b).all() and a.sum() <= 4 * len(" kalo mi ")
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["Kalo, mitu;  --  42 réka\n\nlo " * 9, "", "--", "a", "a" + "-" * 50 + "b"]
+    want = [langid.presence(t).tolist() for t in texts]
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert [langid.presence(t).tolist() for t in texts] == want
