@@ -31,7 +31,7 @@ from memspark.llm.common import materialize
 SAMPLE = 4096
 PARTS = 16
 NEIGHBOURS = 10
-RECALL = 0.96
+RECALL = 0.94
 BLOCK_ROWS = 1024
 
 
