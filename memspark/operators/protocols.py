@@ -1,0 +1,38 @@
+"""Interfaces of parts that live outside the library: embedding models, extractors, page search."""
+
+from __future__ import annotations
+
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
+
+
+class Embedder(Protocol):
+    """Turns a text column into a vector column; batches are Arrow's."""
+
+    dimension: int
+
+    def embed(self, text: Column) -> Column: ...
+
+
+class Extractor(Protocol):
+    """Turns files (path, content) into text, such as for PDF."""
+
+    def extract(self, files: DataFrame) -> DataFrame: ...
+
+
+class PageSearch(Protocol):
+    """Finds pages (url, html) for a query text."""
+
+    def search(self, text: str, limit: int) -> DataFrame: ...
+
+
+class HashEmbedder:
+    """The built-in embedder: unit bags of hashed tokens."""
+
+    dimension = 64
+
+    def embed(self, text: Column) -> Column:
+        from memspark.functions.vector import embed
+
+        return embed(text)

@@ -294,7 +294,7 @@ def x11(spark, d):
     return n.agg(F.max_by("source", F.struct("n", "source")).alias("expected"), F.max("n").alias("chunks"))
 
 
-@query("aj4_split_values", "SELECT event_id, k, trim(v) AS v FROM (SELECT event_id, unnest(string_split(event_type || ' , ' || user_id || ',,', ',')) AS v, generate_subscripts(string_split(event_type || ' , ' || user_id || ',,', ','), 1) AS k FROM events) WHERE trim(v) <> ''".replace("SELECT event_id, k,", "SELECT event_id, k::INT AS k,", 1))
+@query("aj4_split_values", "SELECT event_id, k::INT AS k, trim(v) AS v FROM (SELECT event_id, unnest(string_split(event_type || ' , ' || user_id || ',,', ',')) AS v, generate_subscripts(string_split(event_type || ' , ' || user_id || ',,', ','), 1) AS k FROM events) WHERE trim(v) <> ''")
 def aj4(spark, d):
     v = E.read(spark, d, "events").select("event_id", F.explode(K.split_values(F.concat("event_type", F.lit(" , "), "user_id", F.lit(",,")))).alias("v"))
     return v.withColumn("k", F.when(F.col("v").rlike("^[0-9]+$"), 2).otherwise(1))

@@ -51,8 +51,8 @@ def expected(spark: SparkSession, d: str) -> DataFrame:
 _EXPECTED = "expected AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-@query("a17_ranking_evaluation", f"""WITH {_HYBRID}, {_EXPECTED}, f AS (SELECT item_id, min(rank) AS first FROM hits JOIN expected ON hits.item_id = expected.item_id AND hits.document_id = expected.doc_id GROUP BY hits.item_id AS item_id)
-SELECT count(*) AS queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM (SELECT DISTINCT item_id FROM expected) LEFT JOIN f USING (item_id)""".replace("GROUP BY hits.item_id AS item_id", "GROUP BY item_id").replace("SELECT item_id, min(rank)", "SELECT hits.item_id AS item_id, min(rank)").replace("GROUP BY item_id)\nSELECT count", "GROUP BY hits.item_id)\nSELECT count"))
+@query("a17_ranking_evaluation", f"""WITH {_HYBRID}, {_EXPECTED}, f AS (SELECT hits.item_id AS item_id, min(rank) AS first FROM hits JOIN expected ON hits.item_id = expected.item_id AND hits.document_id = expected.doc_id GROUP BY hits.item_id)
+SELECT count(*) AS queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM (SELECT DISTINCT item_id FROM expected) LEFT JOIN f USING (item_id)""")
 def a17(spark, d):
     hits = R.hybrid_scores(E.embedded_chunks(spark, d), asked(spark, d), K)
     return R.evaluate(hits, expected(spark, d))
