@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -51,14 +52,15 @@ def edited(text: str, following: str) -> str:
 
 
 def bucket_digests(docs: DataFrame) -> DataFrame:
-    """doc_id and digest of every row; texts stay where they are."""
+    """doc_id, digest and text size of every row; texts stay where they are."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "digest"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t or "") for t in batch.column(1).to_pylist()], pa.string()), sizes], ["doc_id", "digest", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string, size long")
 
 
 class Ranges:
@@ -146,10 +148,13 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digests = materialize(bucket_digests(own), "digests")
-    repeated = digests.groupBy(F.col("digest").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again")
+    # Written out, so both sides of the join come from an exchange and AQE can split a large group of copies.
+    repeated = materialize(digests.groupBy(F.col("digest").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "repeated")
     marked = digests.join(repeated, F.col("digest") == F.col("again"), "left_semi").filter("doc_id is not null").select("doc_id").distinct()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:  # ranges of 64 MB of text at most, whatever the session's number of partitions is
+        size = digests.agg(F.sum("size")).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)
     ranges = Ranges(digests.select("doc_id"), parts)
     place, none = ranges.of(F.col("doc_id")), F.lit(None).cast("string")
     to = F.concat(F.array(F.struct(place.alias("r"), F.lit(TEXT).alias("kind"))), F.transform(ranges.followed(F.col("doc_id")), lambda r: F.struct(r.alias("r"), F.lit(FOLLOWER).alias("kind"))))
@@ -166,11 +171,10 @@ def without_collisions(found: DataFrame) -> DataFrame:
     """Number the fingerprints of different canonical texts that share a digest (byte comparison)."""
     bytes_ = found.filter("canon is not null")
     clash = bytes_.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).filter("least <> most").select("fingerprint")
+    clash = materialize(clash, "fingerprint-clashes")
+    if clash.isEmpty():
+        return found.drop("canon")
     texts = bytes_.join(clash, "fingerprint", "left_semi").select("fingerprint", "canon").distinct()
-    rank = texts.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")))
-    ranked = materialize(rank, "fingerprint-clashes")
-    out = found
-    if not ranked.isEmpty():
-        name = F.when(F.col("rank") > 1, F.concat_ws("-", "fingerprint", "rank")).otherwise(F.col("fingerprint"))
-        out = found.join(ranked, ["fingerprint", "canon"], "left").withColumn("fingerprint", name)
-    return out.drop("canon", "rank")
+    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")))
+    name = F.when(F.col("rank") > 1, F.concat_ws("-", "fingerprint", "rank")).otherwise(F.col("fingerprint"))
+    return found.join(ranked, ["fingerprint", "canon"], "left").withColumn("fingerprint", name).drop("canon", "rank")
