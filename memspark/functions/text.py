@@ -55,13 +55,18 @@ def chunk_count(text: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(MAX_CHUNKS), 1 + F.greatest(F.lit(0), F.ceil((n - CHUNK_CHARS) / CHUNK_STRIDE)))).otherwise(0).cast("int")
 
 
-def chunk_structs(text: Column) -> Column:
-    """Overlapping windows as structs (ordinal, start, end, text)."""
-    t = F.substring(text, 1, MAX_DOCUMENT_CHARS)
-    n = F.length(t)
-    last = F.least(F.lit(MAX_CHUNKS - 1), F.greatest(F.lit(0), F.ceil((n - CHUNK_CHARS) / CHUNK_STRIDE))).cast("int")
-    one = lambda i: F.struct(i.alias("ordinal"), (i * CHUNK_STRIDE).alias("start"), F.least(n, i * CHUNK_STRIDE + CHUNK_CHARS).alias("end"), F.substring(t, i * CHUNK_STRIDE + 1, F.lit(CHUNK_CHARS)).alias("text"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), one))
+def chunk_structs(text: Column, with_text: bool = True) -> Column:
+    """Overlapping windows as structs (ordinal, start, end, text); without texts only lengths are read."""
+    n = F.least(F.length(text), F.lit(MAX_DOCUMENT_CHARS))
+
+    def one(i: Column) -> Column:
+        start = i * CHUNK_STRIDE
+        fields = [i.alias("ordinal"), start.alias("start"), F.least(n, start + CHUNK_CHARS).alias("end")]
+        if with_text:
+            fields.append(F.substring(text, start + 1, F.least(F.lit(CHUNK_CHARS), F.lit(MAX_DOCUMENT_CHARS) - start)).alias("text"))
+        return F.struct(*fields)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), chunk_count(text) - 1), one))
 
 
 def excerpt(text: Column, start: Column, end: Column, pad: int) -> Column:

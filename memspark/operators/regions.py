@@ -20,11 +20,15 @@ def assign_regions(chunks: DataFrame) -> DataFrame:
 
     chunks: family, document_id, ordinal, embedding. Seeds: the lowest chunk, then the chunk
     whose largest similarity to the seeds is least. Similarities are rounded to six places.
+    Every pass reads the rows twice (for the seed, then against it), so they are persisted
+    with spill to disk; a lost block is recomputed.
     """
     key = F.struct("document_id", "ordinal")
+    chunks = chunks.persist()
     sizes = chunks.groupBy("family").agg(F.least(F.lit(MAX_REGIONS), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("k"), F.min_by("embedding", key).alias("seed0"))
     rows = chunks.join(sizes, "family").withColumn("s0", F.round(V.cosine("embedding", "seed0"), 6)).drop("seed0").withColumn("near", F.col("s0"))
     for i in range(1, MAX_REGIONS):
+        rows = rows.persist()
         seed = rows.filter(F.col("k") > i).groupBy("family").agg(F.min_by("embedding", F.struct("near", "document_id", "ordinal")).alias("seed"))
         rows = rows.join(seed, "family", "left").withColumn(f"s{i}", F.round(V.cosine("embedding", "seed"), 6)).drop("seed").withColumn("near", F.greatest("near", F.coalesce(f"s{i}", F.lit(-2.0))))
     best = F.array(*[F.coalesce(f"s{i}", F.lit(-2.0)) for i in range(MAX_REGIONS)])

@@ -93,6 +93,40 @@ def lexical_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where an item's text occurs verbatim in a document; empty items occur nowhere.
+
+    The items are a stated set: each block of them is one automaton, run once over every text.
+    """
+    import ahocorasick
+
+    spark = texts.sparkSession
+    asked = items.filter("text is not null and text <> ''").select("item_id", "text").orderBy("item_id")
+    parts = []
+    for block in _blocks(asked):
+        same: dict[str, list[int]] = {}
+        for r in block:
+            same.setdefault(r["text"], []).append(r["item_id"])
+        shared = spark.sparkContext.broadcast(same)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                words.add_word(text, ids)
+            words.make_automaton()
+            for batch in batches:
+                found = {(i, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, ids in words.iter(text or "") for i in ids}
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["item_id", "doc_id"])
+
+        parts.append(texts.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long"))
+    if not parts:
+        return spark.createDataFrame([], "item_id long, doc_id long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def route_score(tokens: Column, label: Column, summary: Column, filters: Column) -> Column:
     """Per query token 2 if it is part of label or summary, 1 if it is part of a filter value."""
     low = F.lower(F.concat_ws(" ", label, summary))

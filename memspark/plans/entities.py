@@ -43,6 +43,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", "family", "c.ordinal", "c.start", "c.end", "c.text")
 
 
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without their texts: no window is cut."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("family"), F.explode(T.chunk_structs(F.col("text"), False)).alias("c"))
+    return d.select("document_id", "family", "c.ordinal", "c.start", "c.end")
+
+
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("embedding", V.embed(F.col("text")))
 

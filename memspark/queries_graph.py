@@ -16,7 +16,7 @@ from memspark.registry import query
 
 @query("g3_sequence_links", f"WITH {O.CHUNKS} SELECT document_id, ordinal AS source, (ordinal + 1)::INT AS target, 0.9::DOUBLE AS score FROM chunks QUALIFY lead(ordinal) OVER (PARTITION BY document_id ORDER BY ordinal) IS NOT NULL")
 def g3(spark, d):
-    return L.sequence_links(E.chunks(spark, d))
+    return L.sequence_links(E.chunk_spans(spark, d))
 
 
 @query("g2_region_membership", "SELECT 'l' || label AS region_id, vec_id, 1.0::DOUBLE AS score FROM embeddings")
@@ -95,7 +95,7 @@ def j17(spark, d):
 
 @query("n1_links_of_nodes", f"WITH {O.CHUNKS}, l AS (SELECT document_id, ordinal AS s, ordinal + 1 AS t FROM chunks QUALIFY lead(ordinal) OVER (PARTITION BY document_id ORDER BY ordinal) IS NOT NULL) SELECT document_id, node, count(*) AS links FROM (SELECT document_id, s AS node FROM l UNION ALL SELECT document_id, t FROM l) GROUP BY ALL")
 def n1(spark, d):
-    links = L.sequence_links(E.chunks(spark, d))
+    links = L.sequence_links(E.chunk_spans(spark, d))
     link = links.select(F.concat_ws(":", "document_id", "source").alias("source"), F.concat_ws(":", "document_id", "target").alias("target"))
     ends = N.both_ways(link)
     return ends.groupBy("node").agg(F.count("*").alias("links")).select(F.split_part("node", F.lit(":"), F.lit(1)).cast("long").alias("document_id"), F.split_part("node", F.lit(":"), F.lit(2)).cast("int").alias("node"), "links")
@@ -115,7 +115,7 @@ def n2(spark, d):
 @query("j22_section_boxes", f'WITH {O.CHUNKS} SELECT document_id, (start // 2000)::BIGINT AS page, min(start) AS start, max("end") AS "end" FROM chunks GROUP BY ALL')
 def j22(spark, d):
     """Bounding box of a page's chunks; a chunk's page is that of its start."""
-    c = E.chunks(spark, d).withColumn("page", F.floor(F.col("start") / 2000))
+    c = E.chunk_spans(spark, d).withColumn("page", F.floor(F.col("start") / 2000))
     return N.bounding_boxes(c, ["document_id", "page"])
 
 
@@ -151,14 +151,14 @@ def w10(spark, d):
 @query("j1_chunk_document_join", f"WITH {O.CHUNKS} SELECT c.document_id, c.ordinal, d.lang FROM chunks c JOIN documents d ON d.doc_id = c.document_id")
 def j1(spark, d):
     """Only keys and ordinals are joined; the chunk text is pruned before the shuffle."""
-    c = E.chunks(spark, d).select("document_id", "ordinal")
+    c = E.chunk_spans(spark, d).select("document_id", "ordinal")
     return c.join(E.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang"), "document_id")
 
 
 @query("j3_routed_chunks", f"WITH {O.CHUNKS} SELECT family, count(*) AS chunks FROM chunks WHERE family IN (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 3) GROUP BY family")
 def j3(spark, d):
     routed = E.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3).select(F.col("source").alias("family"))
-    return E.chunks(spark, d).join(routed, "family", "left_semi").groupBy("family").agg(F.count("*").alias("chunks"))
+    return E.chunk_spans(spark, d).join(routed, "family", "left_semi").groupBy("family").agg(F.count("*").alias("chunks"))
 
 
 @query("j10_upsert", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id + 1000000000, 'added' FROM documents WHERE doc_id % 10 = 0")

@@ -71,7 +71,7 @@ def a5(spark, d):
 @query("a6_first_region", f"WITH {O.CHUNKS} SELECT document_id, arg_min('region-' || family || '-' || (ordinal % 4), ordinal) AS region FROM chunks GROUP BY document_id")
 def a6(spark, d):
     r = F.concat(F.lit("region-"), "family", F.lit("-"), F.col("ordinal") % 4)
-    return E.chunks(spark, d).groupBy("document_id").agg(F.min_by(r, "ordinal").alias("region"))
+    return E.chunk_spans(spark, d).groupBy("document_id").agg(F.min_by(r, "ordinal").alias("region"))
 
 
 @query("a15_baselines", f"""WITH {_RECORDS} SELECT 'train_share' AS name, round(avg(CASE WHEN split = 'train' THEN 1.0 ELSE 0 END), 6)::DOUBLE AS score FROM records UNION ALL SELECT 'eval_share', round(avg(CASE WHEN split = 'eval' THEN 1.0 ELSE 0 END), 6) FROM records
@@ -181,7 +181,7 @@ def r12(spark, d):
 def g1(spark, d):
     from memspark.operators.graph import sequence_links
 
-    same = sequence_links(E.chunks(spark, d)).select(F.lit("same_document").alias("kind"))
+    same = sequence_links(E.chunk_spans(spark, d)).select(F.lit("same_document").alias("kind"))
     return same.union(E.read(spark, d, "embeddings").select(F.lit("region_membership"))).groupBy("kind").agg(F.count("*").alias("links"))
 
 
@@ -205,7 +205,7 @@ def n4(spark, d):
     """Linked nodes of each chunk, best first; here the links of its document's sequence."""
     from memspark.operators.graph import sequence_links
 
-    links = sequence_links(E.chunks(spark, d))
+    links = sequence_links(E.chunk_spans(spark, d))
     ends = links.select("document_id", F.explode(F.array(F.struct(F.col("source").alias("ordinal"), F.col("target").alias("other")), F.struct(F.col("target").alias("ordinal"), F.col("source").alias("other")))).alias("e"), "score").select("document_id", "e.ordinal", "e.other", "score")
     w = Window.partitionBy("document_id", "ordinal").orderBy(F.desc("score"), "other")
     return ends.withColumn("rank", F.row_number().over(w)).filter("rank <= 8")

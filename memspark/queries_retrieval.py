@@ -38,14 +38,9 @@ def r4(spark, d):
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
-    """Items contained verbatim in documents: an item's first three words find candidates, then the text decides."""
-    words = F.split("text", " ")
-    items = E.read(spark, d, "benchmark").filter(F.size(words) >= 3).select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words, 2, 2), " ").alias("key"))
-    near = F.split("text", " ")
-    docs = E.read(spark, d, "documents").select("doc_id", "text")
-    pieces = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(near) - 2, F.lit(0))), lambda i: F.array_join(F.slice(near, i + 1, 2), " ")))).alias("key"))
-    found = pieces.drop("text").join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return found.join(docs, "doc_id").join(items.select("item_id", "item"), "item_id").filter(F.contains("text", "item")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+    """Items contained verbatim in documents."""
+    found = R.contained(E.read(spark, d, "documents"), E.read(spark, d, "benchmark"))
+    return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
 
 
 _EXPECTED = "expected AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -200,7 +195,7 @@ def n9(spark, d):
 def n10(spark, d):
     from memspark.operators.navigation import first_passages
 
-    return first_passages(E.chunks(spark, d)).select("document_id", "ordinal", "start", "end")
+    return first_passages(E.chunk_spans(spark, d)).select("document_id", "ordinal", "start", "end")
 
 
 @query("i7_representatives", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY ALL),

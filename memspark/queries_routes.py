@@ -63,7 +63,7 @@ def n3(spark, d):
 @query("n6_jump_to_anchor", f'WITH {O.CHUNKS} SELECT document_id || \':chunk:\' || ordinal || \':anchor\' AS anchor, document_id, ordinal, start, "end" FROM chunks')
 def n6(spark, d):
     """Anchors name their chunk; a jump is a parse of the name and an equi-join."""
-    c = E.chunks(spark, d).select("document_id", "ordinal", "start", "end")
+    c = E.chunk_spans(spark, d).select("document_id", "ordinal", "start", "end")
     anchors = c.select(F.concat("document_id", F.lit(":chunk:"), "ordinal", F.lit(":anchor")).alias("anchor"))
     part = lambda k: F.regexp_extract("anchor", r"^(\d+):chunk:(\d+):anchor$", k)
     named = anchors.select("anchor", part(1).cast("long").alias("document_id"), part(2).cast("int").alias("ordinal"))
