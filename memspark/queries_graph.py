@@ -57,10 +57,9 @@ def i1(spark, d):
     return L.semantic_links(_unit(spark, d), -1.0, 4, "label").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "score", "rank")
 
 
-@query("j7_visual_edges", f"WITH {_PAIRS}, t AS (SELECT a, b, score FROM pairs WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 2) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 4) AS score FROM t GROUP BY 1, 2")
+@query("j7_visual_edges", f"WITH {_PAIRS}, t AS (SELECT a, b, score FROM pairs WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 2) SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM t GROUP BY 1, 2")
 def j7(spark, d):
-    links = L.canonical_pairs(L.semantic_links(_unit(spark, d), 0.25, 2, "label"))
-    return links.select("a", "b", F.round("score", 4).alias("score"))
+    return L.canonical_pairs(L.semantic_links(_unit(spark, d), 0.25, 2, "label"))
 
 
 @query("g6_chunk_links")

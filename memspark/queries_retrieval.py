@@ -31,10 +31,10 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return E.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("r4_hybrid_retrieval", f"WITH {_HYBRID} SELECT item_id AS query_id, rank::INT AS rank, document_id, ordinal, round(score, 4) AS score FROM hits")
+@query("r4_hybrid_retrieval", f"WITH {_HYBRID} SELECT item_id AS query_id, rank::INT AS rank, document_id, ordinal, score FROM hits")
 def r4(spark, d):
     hits = R.hybrid_scores(E.embedded_chunks(spark, d), asked(spark, d), K)
-    return hits.select("query_id", "rank", "document_id", "ordinal", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "rank", "document_id", "ordinal", "score")
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +71,8 @@ def a10(spark, d):
     return S.mark_scores(E.marks(spark, d))
 
 
-_AGE = f"(greatest({NOW} - accessed_at, 0) / 604800000.0)"
-_ACCESS = f"scores AS (SELECT target_id, round(least(0.6, sum({O.ACCESS_WEIGHT} * CASE WHEN {_AGE} >= 1 THEN 0.25 ELSE 0.45 + 0.55 * (1 - {_AGE}) END)), 6)::DOUBLE AS access_score, count(*) AS accesses FROM accesses WHERE accessed_at >= {NOW} - 2592000000 GROUP BY target_id)"
+_AGE = f"(greatest({NOW} - accessed_at, 0) / 604800000::DOUBLE)"
+_ACCESS = f"scores AS (SELECT target_id, round(least(0.6, sum(({O.ACCESS_WEIGHT})::DOUBLE * CASE WHEN {_AGE} >= 1 THEN 0.25::DOUBLE ELSE 0.45::DOUBLE + 0.55::DOUBLE * (1 - {_AGE}) END)), 6)::DOUBLE AS access_score, count(*) AS accesses FROM accesses WHERE accessed_at >= {NOW} - 2592000000 GROUP BY target_id)"
 
 
 @query("a11_access_scores", f"WITH {O.ACCESSES}, {_ACCESS} SELECT * FROM scores")

@@ -213,13 +213,13 @@ def d2(spark, d):
     return f.select("page_id", D.freshness_status(at, D.default_expiry(at), NOW).alias("status"), D.freshness_signal(at, NOW).cast("double").alias("signal"), D.training_stale(at, NOW).alias("training_stale"))
 
 
-_AGE7 = f"(greatest({NOW} - accessed_at, 0) / {7 * D.DAY}.0)"
+_AGE7 = f"(greatest({NOW} - accessed_at, 0) / {7 * D.DAY}::DOUBLE)"
 
 
-@query("d4_recency_weight", f"WITH {O.ACCESSES} SELECT event_id, kind, round({O.ACCESS_WEIGHT} * CASE WHEN {_AGE7} >= 1 THEN 0.25 ELSE 0.45 + 0.55 * (1 - {_AGE7}) END, 8)::DOUBLE AS weight FROM accesses")
+@query("d4_recency_weight", f"WITH {O.ACCESSES} SELECT event_id, kind, round(({O.ACCESS_WEIGHT})::DOUBLE * CASE WHEN {_AGE7} >= 1 THEN 0.25::DOUBLE ELSE 0.45::DOUBLE + 0.55::DOUBLE * (1 - {_AGE7}) END, 6) AS weight FROM accesses")
 def d4(spark, d):
     w = D.recency_weight(E.lookup(F.col("kind"), E.ACCESS_WEIGHTS), F.col("accessed_at"), NOW)
-    return E.accesses(spark, d).select("event_id", "kind", F.round(w, 8).alias("weight"))
+    return E.accesses(spark, d).select("event_id", "kind", F.round(w, 6).alias("weight"))
 
 
 @query("h1_fnv1a", "SELECT item_id, lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, [('0x' || substr(hex(text), 2 * i + 1, 2))::HUGEINT for i in range(strlen(text))]), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT), 16, '0')) AS fnv FROM benchmark")
