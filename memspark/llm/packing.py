@@ -103,7 +103,7 @@ class Packer:
         for s in range(0, whole, self.capacity):
             self._place([(doc, s, ids[s : s + self.capacity], len(ids))])
         if whole < len(ids):
-            self._wait((doc, whole, ids[whole:], len(ids)))
+            self._wait((doc, whole, ids[whole:].copy(), len(ids)))  # a view would keep a long document's ids in memory
         if self.waiting >= POOL:
             self.fill(KEEP)
 
