@@ -13,7 +13,8 @@ many small tasks. Each block returns a query's best rows, of which the best are
 Vectors that are null, zero, of another length than most of the sample, or hold a null or
 non-finite component take no part. Equal distances go to the smaller id; rows with the
 query's own id aren't its candidates. Fewer candidates than asked for are all returned.
-Repeated rows are candidates each. An empty table gives no rows; other columns are ignored.
+Repeated rows are candidates each; of several query rows under one id the one with the
+smallest vector asks. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,11 +153,14 @@ def best_in_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray
     (qid, q), (vid, v) = queries, rows
     out = []
     for s in range(0, len(qid), 256):
-        d = _squared(q[s : s + 256], v)
+        part = q[s : s + 256]
+        d = _squared(part, v)
+        # What the expanded square may be off by, so that large vectors lose no near row.
+        slack = 1e-12 * ((part * part).sum(1)[:, None] + (v * v).sum(1)[None])
         for i in range(len(d)):
             own = vid != qid[s + i]
-            bound = np.partition(d[i][own], k - 1)[k - 1] if own.sum() > k else np.inf
-            pick = np.flatnonzero(own & (d[i] <= bound + 1e-9 * (1 + abs(bound)) if np.isfinite(bound) else own))
+            bound = np.partition((d[i] + slack[i])[own], k - 1)[k - 1] if own.sum() > k else np.inf
+            pick = np.flatnonzero(own & (d[i] - slack[i] <= bound))
             exact = np.sqrt(((v[pick] - q[s + i]) ** 2).sum(1))
             for o in np.lexsort((vid[pick], exact))[:k]:
                 out.append((int(qid[s + i]), int(vid[pick[o]]), float(exact[o])))
@@ -183,7 +187,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
     sizes = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0].alias("part")).count().collect()}  # one row a part
     blocks = F.coalesce(*[F.when(F.col("part") == p, F.lit(-(-n // BLOCK_ROWS))) for p, n in sizes.items()], F.lit(0))
     rows = routed.select(F.col("parts")[0].alias("part"), "vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    queries = routed.filter(is_query).select("vec_id", "v", F.explode("parts").alias("part")).filter(blocks > 0)
+    # One vector a query id: a repeated query row would find every neighbour twice.
+    queries = routed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("q"))
+    queries = queries.select("vec_id", "q.v", F.explode("q.parts").alias("part")).filter(blocks > 0)
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:

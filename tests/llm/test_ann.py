@@ -56,3 +56,10 @@ def test_common_vector(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_repeated_queries_and_large_vectors(spark):
+    base = np.array([3e6, -2e6, 1e6])
+    rows = [(i, [float(np.float32(c)) for c in base + [i % 7, i % 5, i % 3]]) for i in range(28)]
+    got = run(spark, [*rows, rows[0], rows[0]])
+    assert got == {q: [(pytest.approx(s, abs=1e-15), i) for s, i in found] for q, found in brute(rows).items()}
