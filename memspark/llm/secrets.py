@@ -17,6 +17,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Z][A-Za-z-]*: [^\n]*\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")  # eyJ: the code of {"
@@ -154,9 +155,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that decode to a key or a signed token's header."""
     found = []
     for m in _PEM.finditer(text):
-        if _key_kind(_unbase64(m[2])) or "ENCRYPTED" in m[1]:
+        # Under a legacy encryption header the body is cipher text without structure.
+        if _key_kind(_unbase64(m[3])) or "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]:
             found.append((m.start(), m.end(), "pem"))
-    inside = lambda a, b: any(s <= a and b <= e for s, e, _ in found)
+    blocks = found[:]  # in order and apart
+
+    def inside(a: int, b: int) -> bool:
+        k = bisect_right(blocks, a, key=lambda x: x[0]) - 1
+        return k >= 0 and b <= blocks[k][1]
+
     for m in _JWT.finditer(text):
         if is_token_header(m[1]) and _unbase64(m[2]) is not None:
             found.append((m.start(), m.end(), "jwt"))

@@ -51,6 +51,9 @@ def test_structures_are_confirmed_and_near_misses_are_not():
         assert kinds(f"a {code} b") == ["der"] and kinds(f"a {key.hex()} b") == ["der"]
         pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(code[i : i + 64] for i in range(0, len(code), 64)) + "\n-----END PRIVATE KEY-----"
         assert kinds(f"x{pem}y") == ["pem"]
+        assert kinds(f"{pem}\n{code}\n{pem}") == ["pem", "der", "pem"]
+    legacy = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n" + base64.b64encode(RNG.randbytes(90)).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert kinds(legacy) == ["pem"] and kinds(legacy.replace("ENCRYPTED", "CLEAR")) == []
     assert kinds(base64.b64encode(OPENSSH).decode()) == ["openssh"]
     assert not s.is_der_key(b"") and not s.is_openssh_key(b"openssh-key-v1\0\xff\xff\xff\xff")
     jwt = ".".join(map(url64, (json.dumps({"alg": "HS256"}).encode(), b'{"sub":1}', b"sig" * 8)))
