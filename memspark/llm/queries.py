@@ -66,7 +66,7 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
   CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^[^/?#]*')), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') END AS url_key,
-  epoch(TIMESTAMP '{warc.FIRST_CAPTURE}')::BIGINT + coalesce(page_id, 0) AS capture_ts
+  epoch(TIMESTAMP '{warc.FIRST_CAPTURE}')::BIGINT + (coalesce(page_id, 0) % {warc.DATED} + {warc.DATED}) % {warc.DATED} AS capture_ts
 FROM u"""
 
 ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle()}

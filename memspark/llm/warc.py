@@ -36,8 +36,9 @@ GAP = "\r\n\r\n"
 #: Most records in one archive file, and index rows aimed at in one merged range.
 FILE_RECORDS = 5_000
 RANGE_ROWS = 200_000
-#: Pages carry no capture time; the archive dates page n to this moment plus n seconds.
+#: Pages carry no capture time; the archive dates page n to this moment plus n seconds, n modulo DATED.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
+DATED = 1 << 32
 INDEX = "url_key string, capture_ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long"
 
 
@@ -56,7 +57,7 @@ def records(pages: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(name + ": "), value)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(GAP))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    stamp = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.coalesce("page_id", F.lit(0)))
+    stamp = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DATED)))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),

@@ -35,6 +35,12 @@ def test_round_trip_and_revisits(spark):
     assert keys == sorted(keys)
 
 
+def test_ids_of_any_size_give_a_date(spark):
+    rows = [(1 << 62, "http://a.org/", "x" * 200, ""), (-(1 << 62) - 5, "http://a.org/", "x" * 200, ""), (-1, "http://a.org/", None, "")]
+    got = index(spark, rows)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == expected(rows)
+
+
 def test_empty_table(spark):
     assert index(spark, []) == []
 
