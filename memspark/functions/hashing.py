@@ -27,6 +27,21 @@ def fnv1a(texts: pd.Series) -> pd.Series:
     return pd.Series([f"{x:016x}" if t is not None else None for x, t in zip(h.tolist(), texts, strict=True)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def fnv1a_floats(vectors: pd.Series) -> pd.Series:
+    """Sixteen hex digits over the little-endian 32-bit floats of a vector; vectors of one length step together."""
+    out = np.full(len(vectors), None, object)
+    sizes = np.array([-1 if v is None else len(v) for v in vectors])
+    for n in np.unique(sizes[sizes >= 0]):
+        own = np.flatnonzero(sizes == n)
+        raw = np.stack([np.asarray(vectors.iloc[i], "<f4") for i in own]).view(np.uint8).reshape(len(own), -1).astype(np.uint64)
+        h = np.full(len(own), FNV_OFFSET, np.uint64)
+        for k in range(raw.shape[1]):
+            h = (h ^ raw[:, k]) * np.uint64(FNV_PRIME)
+        out[own] = [f"{x:016x}" for x in h.tolist()]
+    return pd.Series(out, dtype=object)
+
+
 def split_number(c: Column) -> Column:
     """First byte of the SHA-256 modulo 10."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 2), 16, 10).cast("int") % 10
