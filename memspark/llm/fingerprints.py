@@ -91,6 +91,9 @@ class Ranges:
         return F.coalesce(F.try_element_at(F.create_map(*pairs), id_col), none)
 
 
+#: The cuts between ranges are part of the plan, so beyond this many the ranges grow instead; their rows
+#: are sorted with spilling and streamed, so a large range costs time, not memory.
+MAX_RANGES = 4096
 MARK, FOLLOWER, TEXT = 1, 2, 0
 _FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon binary"
 _FOUND_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
@@ -152,9 +155,9 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     repeated = materialize(digests.groupBy(F.col("digest").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "repeated")
     marked = digests.join(repeated, F.col("digest") == F.col("again"), "left_semi").filter("doc_id is not null").select("doc_id").distinct()
 
-    if not parts:  # ranges of 64 MB of text at most, whatever the session's number of partitions is
+    if not parts:  # ranges of 64 MB of text, whatever the session's number of partitions is
         size = digests.agg(F.sum("size")).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 26, MAX_RANGES))
     ranges = Ranges(digests.select("doc_id"), parts)
     place, none = ranges.of(F.col("doc_id")), F.lit(None).cast("string")
     to = F.concat(F.array(F.struct(place.alias("r"), F.lit(TEXT).alias("kind"))), F.transform(ranges.followed(F.col("doc_id")), lambda r: F.struct(r.alias("r"), F.lit(FOLLOWER).alias("kind"))))
