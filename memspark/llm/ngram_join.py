@@ -15,7 +15,8 @@ Two documents link when 100 |A & B| >= 80 |A | B| over their five-word shingles.
    their units, pairs are verified on full sets, links give classes.
 4. The rest, exactly. Shingles whose groups lie in more than one class yield all pairs of
    units of different classes that pass the filters; units outside a shingle's largest
-   class meet all others, block by block. These pairs are verified too.
+   class meet all others, block by block. A group of several units is such a set by itself,
+   as if its units' common prefix were one shingle. These pairs are verified too.
    Pairs inside a class need no test, as the result is the class.
 
 Texts without words, null texts and null ids link with nothing; a null id has no class.
@@ -293,7 +294,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
     first = connected_classes(links.union(ties))
 
     heavy = leads_heavy(pre, groups)
-    rows = starred.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("lead"), "n", "pos").union(heavy)
+    rows = starred.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("lead"), "n", "pos").union(heavy).union(own_rows(members))
     placed = rows.join(members, "lead").join(first.select(F.col("id").alias("unit"), F.col("class_id").alias("cls")), "unit", "left").select("token", "unit", F.coalesce("cls", "unit").alias("cls"), "n", "pos")
     placed = materialize(placed, "join-placed")
     spread = spread_blocks(placed)
@@ -308,6 +309,16 @@ def link_classes(docs: DataFrame) -> DataFrame:
     return facts.join(classes, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
 
 
+def own_rows(members: DataFrame) -> DataFrame:
+    """A row for each group of several units, under a token of its own.
+
+    Units of one group meet at their first shingle, which no other group need hold; later ones fail the position filter.
+    """
+    several = members.groupBy("lead").agg(F.count("*").alias("units")).filter("units > 1")
+    # Size 1 at place 0 passes the filters: units of a group have equal sizes. A token that equals a shingle's only adds pairs to verify.
+    return several.select(F.xxhash64("lead", F.lit("group")).alias("token"), "lead", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"))
+
+
 def leads_heavy(pre: DataFrame, groups: DataFrame) -> DataFrame:
     """Unsalted rows of shingles that were salted, one per group."""
     heavy = pre.filter(F.size("heavy") > 0).select("doc_id", "grp", "n", "heavy", "heavy_at")

@@ -73,6 +73,40 @@ def test_equals_brute_force(spark, monkeypatch, seed, block, pivots):
     assert got == brute(rows)
 
 
+def lone_group(rng):
+    """Texts of three sets of 9 shingles with the same two smallest hashes: only the last two link, by 8 of 10."""
+    while True:
+        words = ["w%d" % rng.randrange(10**9) for _ in range(13)]
+        near = [*words[:-1], "end%d" % rng.randrange(10**9)]
+        k = rng.randrange(7)  # shingles k and k + 1 are to be the prefix
+        far = ["f%d" % rng.randrange(10**9) for _ in range(13)]
+        far[k : k + 6] = words[k : k + 6]
+        sets = list(shingle_sets(pa.array([" ".join(x) for x in (far, words, near)])))
+        if all(len(s) == 9 and s[:2].tolist() == sets[0][:2].tolist() for s in sets):
+            return [" ".join(x) for x in (far, words, near)]
+
+
+@pytest.mark.parametrize("rest", [2048, 1])
+def test_links_inside_a_group_that_is_alone(spark, monkeypatch, rest):
+    monkeypatch.setattr(ngram_join, "COUNT_BITS", 0)
+    monkeypatch.setattr(ngram_join, "PIECE_BITS", 0)
+    monkeypatch.setattr(ngram_join, "REST_BLOCK", rest)
+    rng = random.Random(9)
+    rows = list(enumerate(t for _ in range(6) for t in lone_group(rng)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_classes(docs).collect()], key=str)
+    assert got == brute(rows) and {c for i, _, c in got if i % 3 == 2} == {i for i, _ in rows if i % 3 == 1}
+
+
+def test_brute_force_with_one_counter(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNT_BITS", 0)
+    monkeypatch.setattr(ngram_join, "PIECE_BITS", 0)
+    rows = corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_classes(docs).collect()], key=str)
+    assert got == brute(rows)
+
+
 def test_one_id_with_two_texts_is_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     docs = spark.createDataFrame([(7, a), (7, b), (3, b), (9, a)], "doc_id long, text string")
