@@ -5,8 +5,11 @@ longest increasing subsequence of their places is kept, and the gaps between anc
 before and after them) are aligned likewise; where a gap has no anchor, its equal head and
 tail match. Coverage is the share of the template's words that are matched.
 
-A long text is cut at gaps between telling words (template words that aren't common), so
-every passage that could hold the template is aligned, however often it occurs. A text is
+A long text is cut at gaps between telling words (template words that aren't common). Inside
+such a stretch a passage may start wherever one of the template's first telling words puts
+its start. As those words may also recur inside a notice, each start is tried with every
+near end, cut at a later start or uncut, and the best is kept; what no passage took is then
+aligned uncut. So all passages are returned, however often the template occurs. A text is
 only aligned with templates of which it holds enough distinct words to reach the least
 coverage, a bound that loses nothing. Each text is judged whole and by itself: nulls and empty
 texts hold no license, repeated rows agree, ties go to the first template in the list, and
@@ -43,6 +46,8 @@ TEMPLATES = {
     "CC0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "all-rights-reserved": "All rights reserved",
 }
+#: Telling words that may mark a passage's start, and the longest passage, in lengths of the template, that is tried past other starts.
+STARTERS, REACH = 3, 8
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that say little about where a notice stands.
 _COMMON = frozenset("a above all and any are as at be by can for in is it may not of on or source terms that the this to under use was which with without you".split())
@@ -103,39 +108,92 @@ class Template:
         self.name, self.words = name, words_of(text)
         self.counts = Counter(self.words)
         self.telling = frozenset(w for w in self.words if w not in _COMMON) or frozenset(self.words)
-        self.first = next(w for w in self.words if w in self.telling)
+        #: The first STARTERS telling words and where each stands first.
+        self.starters = {w: self.words.index(w) for w in [w for w in dict.fromkeys(self.words) if w in self.telling][:STARTERS]}
 
+    def may_cover(self, words: list[str], least: float) -> bool:
+        have = Counter(words)
+        return sum(min(c, have[w]) for w, c in self.counts.items()) >= least * len(self.words)
 
-def passages(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
-    """Ranges of words that hold telling words close together, cut where the template starts anew."""
+
+def stretches(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
+    """Ranges of words that hold telling words close together."""
     spots = [i for i, w in enumerate(words) if w in t.telling]
     begin = 0
     for k in range(1, len(spots) + 1):
-        apart = k == len(spots) or spots[k] - spots[k - 1] > len(t.words)
-        again = k < len(spots) and words[spots[k]] == t.first and spots[k] - spots[begin] >= len(t.words) // 2
-        if apart or again:
+        if k == len(spots) or spots[k] - spots[k - 1] > len(t.words):
             before = spots[begin - 1] + 1 if begin else 0
             after = spots[k] if k < len(spots) else len(words)
             yield max(before, spots[begin] - len(t.words)), min(after, spots[k - 1] + len(t.words) + 1)
             begin = k
 
 
+def follows(words: list[str], t: Template, least: float) -> float:
+    """Coverage of the template by these words, 0 below the least."""
+    cover = len(align(words, t.words)) / len(t.words) if t.may_cover(words, least) else 0.0
+    return cover if cover >= least else 0.0
+
+
+def best_range(words: list[str], t: Template, start: int, ends: list[int], least: float) -> tuple[str, float, int, int] | None:
+    """The best covered alignment of a range from start to one of the ends (ascending); ties go to the nearest end.
+
+    A farther end must not take words of the next notice: what follows is counted too.
+    """
+    best = None
+    if not ends or not t.may_cover(words[start : ends[-1]], least):
+        return None
+    for end in ends:
+        pairs = align(words[start:end], t.words)
+        cover = len(pairs) / len(t.words)
+        if cover >= least and (best is None or cover > best[1]):
+            new = (t.name, cover, start + pairs[0][0], start + pairs[-1][0] + 1)
+            stop = new[3] + len(t.words)
+            if best is None or cover + follows(words[new[3] : stop], t, least) > best[1] + follows(words[best[3] : stop], t, least):
+                best = new
+        if cover == 1:
+            break
+    return best
+
+
+def covered(words: list[str], t: Template, lo: int, hi: int, least: float) -> list[tuple[str, float, int, int]]:
+    """All covered passages of one stretch, in order; they don't overlap."""
+    short, far = least * len(t.words), REACH * len(t.words)
+    starts = sorted({lo} | {max(lo, i - t.starters[words[i]]) for i in range(lo, hi) if words[i] in t.starters})
+    out: list[tuple[str, float, int, int]] = []
+    at = lo
+    k = 0
+    while at < hi:
+        k = bisect_left(starts, at, k)
+        a = bisect_left(starts, at + short, k)  # nearer ends leave too few words
+        ends = starts[a : max(a + 1, bisect_left(starts, at + far, a))]
+        ends = sorted({*ends, min(hi, at + far)} | (set() if ends else {hi}))
+        found = best_range(words, t, at, ends, least)
+        if found:
+            out.append(found)
+            at = found[3]
+        else:
+            n = bisect_left(starts, at + 1, k)
+            at = starts[n] if n < len(starts) else hi
+    gaps = list(zip([lo, *(f[3] for f in out)], [*(f[2] for f in out), hi], strict=True))
+    while gaps:
+        i, j = gaps.pop()
+        found = best_range(words, t, i, [j], least) if j - i >= short else None
+        if found:
+            out.append(found)
+            gaps += [(i, found[2]), (found[3], j)]
+    return sorted(out, key=lambda f: f[2])
+
+
 def find(text: str, templates: list[Template], least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, first word, end word) of the best passage of each template that is covered."""
+    """(template, coverage, first word, end word) of every passage that covers a template, by template and place."""
     words = words_of(text)
     have = set(words)
     out = []
     for t in templates:
         if sum(c for w, c in t.counts.items() if w in have) < least * len(t.words):
             continue
-        best = None
-        for a, b in passages(words, t):
-            pairs = align(words[a:b], t.words)
-            cover = len(pairs) / len(t.words)
-            if cover >= least and (best is None or cover > best[1]):
-                best = (t.name, cover, a + pairs[0][0], a + pairs[-1][0] + 1)
-        if best:
-            out.append(best)
+        for lo, hi in stretches(words, t):
+            out += covered(words, t, lo, hi, least)
     return out
 
 

@@ -60,3 +60,39 @@ def test_candidate_bound_loses_nothing():
         found = lic.find(" ".join(words), [t])
         cover = len(lic.align(words, t.words)) / len(t.words)
         assert bool(found) == (cover >= lic.LEAST_COVERAGE) or abs(cover - lic.LEAST_COVERAGE) < 0.05
+
+
+def test_each_template_is_found_whole_and_with_any_word_missing_or_changed():
+    for name, text in lic.TEMPLATES.items():
+        t = lic.Template(name, text)
+        n = len(t.words)
+        assert [f[1:] for f in lic.find(text, [t])] == [(1.0, 0, n)]
+        for i in range(n):
+            for words in ([*t.words[:i], *t.words[i + 1 :]], [*t.words[:i], "zzz", *t.words[i + 1 :]]):
+                most = lcs(words, t.words) / n
+                got = lic.find(" ".join(words), [t])
+                if most >= lic.LEAST_COVERAGE:
+                    assert len(got) == 1 and got[0][1] == most == (n - 1) / n, (name, i)
+                else:
+                    assert not got
+
+
+def test_a_template_whose_first_word_recurs_anywhere():
+    rng = random.Random(7)
+    for i in range(1, 20):
+        words = ["start", *(f"t{k}" for k in range(19))]
+        words[i] = "start"
+        t = lic.Template("t", " ".join(words))
+        assert [f[1:] for f in lic.find(" ".join(words), [t])] == [(1.0, 0, 20)]
+        near = [w if k != 5 else "zzz" for k, w in enumerate(words)]
+        text = [*words, *near, *(rng.choice(["x", "t3", "start"]) for _ in range(30)), *words]
+        assert [f[1] for f in lic.find(" ".join(text), [t])] == [1.0, 0.95, 1.0]
+
+
+def test_all_passages_are_returned():
+    for name in ("ISC", "MIT", "MIT-notice"):
+        t = lic.Template(name, lic.TEMPLATES[name])
+        n = len(t.words)
+        assert lic.find(" ".join(t.words * 50), [t]) == [(name, 1.0, n * k, n * (k + 1)) for k in range(50)]
+        apart = [*t.words, *["x"] * 300, *t.words[:-1], *["x"] * 300, *t.words]
+        assert [(f[1], f[2]) for f in lic.find(" ".join(apart), [t])] == [(1.0, 0), ((n - 1) / n, n + 300), (1.0, 2 * n + 599)]
