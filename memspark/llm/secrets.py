@@ -5,9 +5,14 @@ spans only after decoding: PEM blocks, base64 and hex runs that hold a DER key
 (nested ASN.1 lengths must add up), OpenSSH key blobs (length-prefixed fields) and
 signed tokens whose header is a JSON object with an `alg`.
 
-Nulls and empty texts have no spans. Repeated rows are scanned one by one, and
-columns besides doc_id and text pass through untouched. Spans are code points,
-end exclusive.
+A key may stand anywhere in a run, as runs are glued to paths or names, and a run may be
+wrapped over lines: every place where a key's first bytes would be coded as they must be
+is decoded, as far as the outermost length says. A span ends with its key.
+
+Nulls and empty texts have no spans. Repeated rows are scanned one by one, equal starts are
+listed in the order of KINDS, very long texts are scanned whole, an empty table gives no
+rows, and only the id and the text are read and returned (`redact` keeps all columns).
+Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -16,15 +21,17 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memspark.llm.common import bounded_batches, text_bytes
+from memspark.llm.common import slices, text_bytes
 
 #: Order of kinds where spans start at the same place.
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
@@ -32,10 +39,21 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Z][A-Za-z-]*: [^\n]*\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEXRUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")  # eyJ: the code of {"
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*[A-Z][A-Za-z-]*: [^\n\\]*(?:\n|\\[rn]))*+)((?:[A-Za-z0-9+/=\s]|\\[rn])++)-----END \1-----")
+_CODE = "[A-Za-z0-9+/_-]"
+#: A line break inside a wrapped run, as such or in its escaped form.
+_BREAK = r"(?:[ \t\r]*\n[ \t]*|(?:\\r)?\\n)"
+_BASE64 = re.compile(rf"(?<!{_CODE}){_CODE}{{14,}}+(?:{_BREAK}{_CODE}++)*+={{0,2}}")
+_HEXRUN = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{14,}}+(?:{_BREAK}[0-9A-Fa-f]++)*+")
+_JOINED = re.compile(_BREAK)
+#: How a DER sequence (30, then a length of one, two or three octets) and the OpenSSH magic begin in either code.
+_BASE64_START = re.compile("(?=M[A-I])|(?=b3BlbnNzaC1rZXktdjEA)")
+_HEX_START = re.compile("(?=30)|(?=6f70656e7373682d6b65792d763100)", re.I)
+_HEAD = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.(?=([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*))")
+#: A brace and what may follow it: a quote, a blank or a line end.
+_HEAD_START = re.compile("(?=e[yw])")
+#: Least characters of a run's first line or a token's header, and of a key.
+LEAST_RUN, LEAST_KEY = 14, 40
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -99,30 +117,49 @@ def is_der_key(b: bytes) -> bool:
     return False
 
 
-def is_openssh_key(b: bytes) -> bool:
-    """The magic, then cipher, kdf and options as length-prefixed strings, then the number of keys."""
-    magic = b"openssh-key-v1\0"
-    if not b.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):
+def _fields(b: bytes, at: int, n: int) -> int | None:
+    """Where n length-prefixed fields that begin at `at` end."""
+    for _ in range(n):
         if at + 4 > len(b):
-            return False
-        n = int.from_bytes(b[at : at + 4], "big")
-        at += 4 + n
+            return None
+        at += 4 + int.from_bytes(b[at : at + 4], "big")
         if at > len(b):
-            return False
-    return at + 4 <= len(b) and 1 <= int.from_bytes(b[at : at + 4], "big") <= 64
+            return None
+    return at
+
+
+_MAGIC = b"openssh-key-v1\0"
+
+
+def is_openssh_key(b: bytes) -> bool:
+    """The magic, then cipher, kdf and options as length-prefixed strings, then the number of keys."""
+    at = _fields(b, len(_MAGIC), 3) if b.startswith(_MAGIC) else None
+    return at is not None and at + 4 <= len(b) and 1 <= int.from_bytes(b[at : at + 4], "big") <= 64
+
+
+def openssh_size(b: bytes) -> int:
+    """Bytes of the blob, all of b where its last fields don't fit."""
+    at = _fields(b, len(_MAGIC), 3)
+    return _fields(b, at + 4, int.from_bytes(b[at : at + 4], "big") + 1) or len(b)
 
 
 def _unbase64(s: str) -> bytes | None:
-    s = re.sub(r"\s+", "", s).rstrip("=")
+    s = re.sub(r"\s+|\\[rn]", "", s).rstrip("=")
     try:
         return base64.b64decode(s.replace("-", "+").replace("_", "/") + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _base64_bytes(code: str) -> bytes:
+    """The whole bytes of a run of base64 characters."""
+    return _unbase64(code[:-1] if len(code) % 4 == 1 else code) or b""
+
+
+def _hex_bytes(code: str) -> bytes:
+    return bytes.fromhex(code[: len(code) // 2 * 2])
+
+
 def is_token_header(s: str) -> bool:
     raw = _unbase64(s)
     if raw is None:
@@ -140,6 +177,59 @@ def _key_kind(raw: bytes | None) -> str | None:
     return "der" if is_der_key(raw) else "openssh" if is_openssh_key(raw) else None
 
 
+def key_at(code: str, at: int, decode: Callable, width: float) -> tuple[str, int] | None:
+    """Kind and length in bytes of the key that begins at a place of a run of code characters."""
+    head = decode(code[at : at + 24])
+    if head.startswith(_MAGIC[:9]):
+        raw = decode(code[at:])
+        return ("openssh", openssh_size(raw)) if is_openssh_key(raw) else None
+    size = _der_length(head, 1) if head[:1] == b"\x30" else None
+    if size is None or head[size[1] : size[1] + 1] not in (b"\x02", b"\x30"):
+        return None
+    n = size[0] + size[1]
+    raw = decode(code[at : at + math.ceil(n * width)])[:n]
+    return ("der", n) if len(raw) == n and is_der_key(raw) else None
+
+
+def _keys(text: str, runs: re.Pattern, starts: re.Pattern, decode: Callable, width: float, inside: Callable) -> Iterator[tuple[int, int, str]]:
+    """Spans of keys in the runs of a text; `width` is code characters a byte."""
+    for m in runs.finditer(text):
+        if m.end() - m.start() < LEAST_KEY:
+            continue
+        parts, at = [], m.start()  # unbroken parts of the run and where they begin
+        for gap in [*_JOINED.finditer(text, m.start(), m.end()), None]:
+            end = gap.start() if gap else m.end()
+            parts.append((at, text[at:end]))
+            at = gap.end() if gap else end
+        code = "".join(p for _, p in parts).rstrip("=")
+        begins = list(accumulate((len(p) for _, p in parts), initial=0))[:-1]
+        place = lambda k: (j := bisect_right(begins, k) - 1, parts[j][0] + k - begins[j])[1]
+        after = 0
+        for s in starts.finditer(code):
+            k = s.start()
+            if k < after or (found := key_at(code, k, decode, width)) is None:
+                continue
+            after = k + min(len(code) - k, math.ceil(found[1] * width))
+            start, end = place(k), place(after - 1) + 1
+            if width < 2:  # the padding of base64
+                pad = -(after - k) % 4
+                end += len(text[end : end + pad]) - len(text[end : end + pad].lstrip("="))
+            if not inside(start, end):
+                yield start, end, found[0]
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    for m in _HEAD.finditer(text):
+        if _unbase64(m[2]) is None:
+            continue
+        for s in sorted({0, *(x.start() for x in _HEAD_START.finditer(m[1]))}):
+            if m.start() + s >= at and m[1][s] in "eICD" and is_token_header(m[1][s:]):  # a brace, or white space before it
+                at = m.end(3)
+                yield m.start() + s, at, "jwt"
+                break
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The three base kinds: leftmost matches per kind, short ones dropped."""
     low = text.lower()
@@ -164,15 +254,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         k = bisect_right(blocks, a, key=lambda x: x[0]) - 1
         return k >= 0 and b <= blocks[k][1]
 
-    for m in _JWT.finditer(text):
-        if is_token_header(m[1]) and _unbase64(m[2]) is not None:
-            found.append((m.start(), m.end(), "jwt"))
-    for m in _BASE64.finditer(text):
-        if not inside(m.start(), m.end()) and (kind := _key_kind(_unbase64(m[0]))):
-            found.append((m.start(), m.end(), kind))
-    for m in _HEXRUN.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
-            found.append((m.start(), m.end(), kind))
+    found += _tokens(text)
+    found += _keys(text, _BASE64, _BASE64_START, _base64_bytes, 4 / 3, inside)
+    found += _keys(text, _HEXRUN, _HEX_START, _hex_bytes, 2, inside)
     return found
 
 
@@ -216,9 +300,8 @@ def candidate_rows(column: pa.Array) -> set[int]:
     raw, offsets = text_bytes(column)
     lower = _LOWER[raw].tobytes()
     rows = {int(r) for r in _rows_with_runs(_IS_HEX[raw], offsets, 16)}
-    rows |= {int(r) for r in _rows_with_runs(_IS_CODE[raw], offsets, 40)}
+    rows |= {int(r) for r in _rows_with_runs(_IS_CODE[raw], offsets, LEAST_RUN)}
     rows |= _rows_with(raw.tobytes(), b"AKIA", offsets) | _rows_with(raw.tobytes(), b"-----BEGIN ", offsets)
-    rows |= _rows_with(raw.tobytes(), b"eyJ", offsets)
     for k in _KEYWORDS:
         rows |= _rows_with(lower, k, offsets)
     return rows
@@ -226,12 +309,11 @@ def candidate_rows(column: pa.Array) -> set[int]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, list of (start, end, kind), all spans and the base ones apart."""
-    bounded_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, base array<struct<start:int,end:int,kind:string>>, confirmed array<struct<start:int,end:int,kind:string>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             base: list[list] = [[] for _ in range(len(texts))]
             more: list[list] = [[] for _ in range(len(texts))]
@@ -269,7 +351,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", char
     A bare hex run is no proof of a secret (it may be a number or a checksum), so it is
     redacted only where another kind covers it. Rows without such spans stay as they are.
     """
-    bounded_batches(docs.sparkSession)
     fields = docs.schema
     at = docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
@@ -284,7 +365,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", char
         return "".join(out) + text[last:] if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = candidate_rows(batch.column(at))
             if rows:
                 cols = list(batch.columns)
