@@ -7,11 +7,14 @@ is solved on them. As K(x, L) = P(x) Lt is linear in the presence row P(x), scor
 batch is one matrix product of its presence matrix with (Lt A), A being the ridge
 weights seen through the landmarks.
 
-The fit reads a bounded sample (`PER_LANG` labelled rows a language, `MAX_ROWS` in
-all, by hash of the id); every whole text is scored. Null texts and texts without a
-letter get `und` and score 0. Rows are scored one by one, so repeated rows agree;
-an empty table gives an empty result, and without labelled rows all texts are `und`.
-Columns besides those named are ignored, whatever their names.
+The fit reads a bounded sample of labelled rows: `PER_LANG` a language, those with the
+smallest hashes of their ids; beyond `TOTAL / PER_LANG` languages every language gives
+`TOTAL` over their number, `LEAST` at least. Every language counts, however many there
+are, and every whole text is scored, also very long ones. Null texts and texts without a
+letter get `und` and score 0; a tie of scores goes to the first language by name. Rows are
+scored one by one, so repeated rows agree; an empty table gives an empty result, and
+without labelled rows all texts are `und`. Columns besides those named are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from memspark.llm.common import bounded_batches
+from memspark.llm.common import slices
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3, 4)
-PER_LANG = 600
-MAX_ROWS = 4000
+#: Labelled rows of one language, of all languages where they are many, and the least of one.
+PER_LANG, TOTAL, LEAST = 600, 60_000, 20
 LANDMARKS = 400
 RIDGE = 1e-2
 #: Steepness of the logistic curve from a ridge output (targets -1 and 1) to a score.
@@ -132,38 +136,44 @@ def fit_rows(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: f
     return Model(langs, weights, (mean_y - mean_phi @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> Model:
+def first_rows(labelled: DataFrame, lang_col: str, order: list[Column], rows: int) -> DataFrame:
+    """The first rows of each language; Spark cuts every partition to them before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(lang_col).orderBy(*order))
+    return labelled.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
     """Fit on rows that aren't held out and have a language and a letter."""
-    bounded_batches(docs.sparkSession)
-    labelled = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
-    if not counts:
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("draw", F.xxhash64(F.lit("langid"), "id"))
+    langs = labelled.select("lang").distinct().count()
+    if not langs:
         return fit_rows([])
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()], F.lit(0.0))
-    draw = F.xxhash64(F.lit("langid"), F.col(id_col))
-    sample = labelled.filter((F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)) < share).select(draw.alias("draw"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = min(per_lang, max(LEAST, total // langs))
+    # The draws go first, without texts; the last draw of each language then picks the rows.
+    last = first_rows(labelled.select("lang", "draw"), "lang", [F.col("draw")], rows).groupBy("lang").agg(F.max("draw").alias("last"))
+    sample = labelled.join(last.select(F.col("lang").alias("of"), "last"), (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("last"))).select("draw", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [(d, x, np.packbits(presence(t)).tobytes()) for d, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.binary())], ["draw", "lang", "bits"])
 
-    rows = sample.mapInArrow(run, "draw long, lang string, bits binary").orderBy("draw", "lang", "bits").limit(max_rows).collect()
-    return fit_rows([(r["lang"], bytes(r["bits"])) for r in rows])
+    found = first_rows(sample.mapInArrow(run, "draw long, lang string, bits binary"), "lang", [F.col("draw"), F.col("bits")], rows)  # many rows may share an id
+    kept = sorted((r["draw"], r["lang"], bytes(r["bits"])) for r in found.collect())
+    return fit_rows([(lang, bits) for _, lang, bits in kept])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs without its text, with a predicted language and score."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [f for f in docs.schema.fields if f.name not in (text_col, *into)]
     names = [f.name for f in others]
     ordered = docs.select(*(F.col(f"`{n}`") for n in names), F.col(text_col))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"{into[0]} string", f"{into[1]} double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = shared.value.predict(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *into])
 
@@ -177,19 +187,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.15) -> DataFrame:
-    """Rows whose language is recognised (score of at least `least_score`); columns as given.
+    """Rows whose language is recognised (score of at least `least_score`); columns as given, `lang` holds the prediction.
 
     A very short text of a learned language scores low too, so the bound is low; texts
     without a letter always go.
     """
     model = fit(docs)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+        for batch in slices(batches):
+            lang, score = shared.value.predict(batch.column(text_at).to_pylist())
+            cols = [pa.array(lang, c.type) if k == lang_at else c for k, c in enumerate(batch.columns)]
+            known = pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(known)
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -48,6 +49,7 @@ def test_keep_known_keeps_columns(spark):
     junk = spark.createDataFrame([(900, "## 12", "aa", "x"), (901, None, "aa", "x")], df.schema)
     out = langid.keep_known(df.union(junk))
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [r[0] for r in rows]
+    assert all(r.lang in STEMS for r in out.collect())
 
 
 def test_kernel_is_the_normalised_count_of_shared_ngrams():
@@ -60,3 +62,44 @@ def test_long_texts_in_pieces(monkeypatch):
     want = [langid.presence(t).tolist() for t in texts]
     monkeypatch.setattr(langid, "PIECE", 7)
     assert [langid.presence(t).tolist() for t in texts] == want
+
+
+def test_every_language_is_learned_up_to_its_bound(spark, monkeypatch):
+    stems = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(30)}
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(stems[lang]) for _ in range(4)) for _ in range(12)), lang, "") for i, lang in enumerate(rng.choice(sorted(stems)) for _ in range(1500))]
+    seen = []
+    monkeypatch.setattr(langid, "fit_rows", lambda rows: seen.append(rows) or langid.Model([], None, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    langid.fit(df.union(df), per_lang=25)
+    counts = {lang: sum(x == lang for x, _ in seen[0]) for lang in stems}
+    assert set(counts.values()) == {25}
+    langid.fit(df, per_lang=25, total=300)
+    assert {x: sum(y == x for y, _ in seen[1]) for x in stems} == {x: 20 for x in stems}
+
+
+def test_predictions_equal_single_products_and_ties_go_to_the_first(spark):
+    rows, df = docs(spark, 150)
+    model = langid.fit(df)
+    texts = [r[1] for r in rows] + [None, "", "12", "ka", "x" * 50_000]
+    lang, score = model.predict(texts)
+    for t, a, s in zip(texts, lang, score, strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (a, s) == ("und", 0.0)
+            continue
+        p = langid.presence(t)
+        own = [sum(float(model.weights[i, c]) for i in range(langid.DIM) if p[i]) / math.sqrt(p.sum()) + float(model.bias[c]) for c in range(len(model.langs))]
+        assert a == model.langs[max(range(len(own)), key=own.__getitem__)] and abs(s - 1 / (1 + math.exp(-langid.SLOPE * max(own)))) < 1e-4
+    tie = langid.Model(["a", "b"], langid.np.zeros((langid.DIM, 2), "float32"), langid.np.zeros(2, "float32"))
+    assert tie.predict(["abc", "abc"]) == (["a", "a"], [0.5, 0.5])
+
+
+def test_repeated_rows_agree(spark):
+    rows, df = docs(spark, 60)
+    got = langid.identify(df.union(df)).collect()
+    assert len(got) == 120 and len({tuple(r) for r in got}) == 60
+
+
+def test_keep_known_takes_an_empty_table(spark):
+    _, df = docs(spark, 5)
+    assert langid.keep_known(df.filter("doc_id < 0")).count() == 0

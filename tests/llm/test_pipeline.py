@@ -27,7 +27,7 @@ def plain_language(rows, model):
             p = langid.presence(r["text"]).astype(float)
             out = [float(np.dot(p, model.weights[:, c].astype(float))) / math.sqrt(p.sum()) + float(model.bias[c]) for c in range(len(model.langs))]
             if 1 / (1 + math.exp(-langid.SLOPE * max(out))) >= 0.15:
-                kept.append(r)
+                kept.append({**r, "lang": model.langs[out.index(max(out))]})
     return kept
 
 
