@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/memspark"
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows that are unpacked to Python objects at a time.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; what is left there goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_SHARED_DIR
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    file_system, where = _file_system(spark, path)
+    file_system.deleteOnExit(where)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -35,21 +48,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later step reads."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    file_system, where = _file_system(spark, path)
+    file_system.delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long, so Arrow batches stay short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later step reads."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, name)
 
 
-def null_long() -> Column:
-    return F.lit(None).cast("long")
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, without a copy. Spark bounds a batch's bytes; this bounds what is unpacked of it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memspark.llm.common import bounded_batches, discard, materialize
+from memspark.llm.common import discard, materialize, slices
 
 
 def canonical(text: str) -> bytes:
@@ -53,7 +53,6 @@ def edited(text: str, following: str) -> str:
 
 def bucket_digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest and text size of every row; texts stay where they are."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,8 +20,10 @@ Two documents link when 100 |A & B| >= 80 |A | B| over their five-word shingles.
    Pairs inside a class need no test, as the result is the class.
 
 Texts without words, null texts and null ids link with nothing; a null id has no class.
-Rows that share an id are one document and so share a class; repeated rows agree.
-Other columns are ignored. Nothing is dropped: filters only remove pairs that can't link.
+Rows that share an id are one document and so share a class; repeated rows agree, and of
+equal sets the smallest id leads. Very long texts are hashed whole, piece by piece. An empty
+table gives no rows. Other columns are ignored. Nothing is dropped: filters only remove
+pairs that can't link.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import bounded_batches, discard, materialize, mix64
+from memspark.llm.common import discard, materialize, mix64, slices
 from memspark.llm.components import connected_classes
 from memspark.llm.shingles import WIDTH, shingle_sets
 
@@ -43,8 +45,8 @@ NUMER, DENOM = 80, 100
 COUNT_BITS, PIECE_BITS = 20, 12
 #: Rows of one shingle that one block holds, and pivots tried on a run before step 4 takes over.
 BLOCK, PIVOTS = 20_000, 64
-#: Rows on either side of one comparison in step 4.
-REST_BLOCK = 2048
+#: Rows on either side of one comparison in step 4, and pairs that a task holds before they go out.
+REST_BLOCK, HELD_PAIRS = 2048, 1_000_000
 #: Bits of the map of documents whose sets are needed for verification.
 MAP_BITS = 24
 
@@ -63,12 +65,11 @@ def passes(n: np.ndarray, pos: np.ndarray, n2: np.ndarray | int, pos2: np.ndarra
 def set_facts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Per document size and 128-bit name of its set; counts of all shingles by slot."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     fields = ["doc_id", "n", "s1", "s2", "piece", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << COUNT_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             n, s1, s2 = [], [], []
             for s in shingle_sets(batch.column(1)):
                 np.add.at(table, (s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), 1)
@@ -106,7 +107,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << COUNT_BITS) - 1)
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = batch.column(0).to_pylist(), [[] for _ in range(6)]
             for doc, s in zip(ids, shingle_sets(batch.column(1)), strict=True):
                 if doc is None or not len(s):
@@ -183,9 +184,20 @@ def star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, j, i, side, unit, class, n, pos) sorted by token and blocks: all pairs of the two sides that differ in class and pass."""
+    """Rows (token, j, i, side, unit, class, n, pos) sorted by token and blocks: all pairs of the two sides that differ in class and pass.
+
+    What is found goes out after each block pair, so a task holds the pairs of few blocks.
+    """
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+        held.clear()
+        for k in range(0, len(found), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
+
     for (_, _, _, side, unit, cls, n, pos), at in _runs(batches, 3):
-        pairs: list[np.ndarray] = []
         for r in np.flatnonzero(np.diff(at) > 1):
             here = np.arange(at[r], at[r + 1])
             right = here[side[here] == 1]
@@ -193,11 +205,12 @@ def rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 y = right[cls[right] != cls[x]]
                 y = y[passes(n[y], pos[y], n[x], pos[x])]
                 if len(y):
-                    pairs.append(np.stack([np.minimum(unit[x], unit[y]), np.maximum(unit[x], unit[y])], axis=1))
-        if pairs:
-            found = np.unique(np.concatenate(pairs), axis=0)
-            for k in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
+                    held.append(np.stack([np.minimum(unit[x], unit[y]), np.maximum(unit[x], unit[y])], axis=1))
+                    size += len(y)
+                if size > HELD_PAIRS:
+                    yield from flush()
+                    size = 0
+    yield from flush()
 
 
 def spread_blocks(placed: DataFrame) -> DataFrame:
@@ -235,7 +248,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = spark.sparkContext.broadcast(_needed(pairs))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             slot = batch.column(1).to_numpy(zero_copy_only=False)
             keep = needed.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
             batch = batch.filter(pa.array(keep.astype(bool)))
@@ -287,26 +300,33 @@ def link_classes(docs: DataFrame) -> DataFrame:
     met = starred.filter("kind = 0").select("a", "b").distinct().join(unit_of.select(F.col("lead").alias("a"), F.col("first").alias("ua")), "a").join(unit_of.select(F.col("lead").alias("b"), F.col("first").alias("ub")), "b").select("ua", "ub")
     within = members.join(unit_of, "lead").select(F.col("first").alias("ua"), F.col("unit").alias("ub"))
     pairs = met.union(within).filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-    links = verify(docs, materialize(pairs, "join-pairs"))
+    found = materialize(pairs, "join-pairs")
+    links = verify(docs, found)
     # An id with several texts ties its units together.
     several = same.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1")
     ties = same.join(several, "doc_id", "left_semi").filter("doc_id <> unit").select(F.col("unit").alias("a"), F.col("doc_id").alias("b"))
     first = connected_classes(links.union(ties))
+    discard(found, units)
 
     heavy = leads_heavy(pre, groups)
     rows = starred.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("lead"), "n", "pos").union(heavy).union(own_rows(members))
     placed = rows.join(members, "lead").join(first.select(F.col("id").alias("unit"), F.col("class_id").alias("cls")), "unit", "left").select("token", "unit", F.coalesce("cls", "unit").alias("cls"), "n", "pos")
     placed = materialize(placed, "join-placed")
+    discard(pre, starred, members, groups)
     spread = spread_blocks(placed)
     more = spread.repartition(parts, "token", "j", "i").sortWithinPartitions("token", "j", "i").mapInArrow(rest_pairs, "a long, b long").distinct()
     more = materialize(more, "join-rest")
+    discard(placed)
     if not more.isEmpty():
-        links = links.union(verify(docs, more))
-        first = connected_classes(links.union(ties))
-    for t in (pre, starred, placed):
-        discard(t)
-    classes = same.select("doc_id", "unit").groupBy("doc_id").agg(F.min("unit").alias("unit")).join(first.select(F.col("id").alias("unit"), "class_id"), "unit", "left").select("doc_id", F.coalesce("class_id", "unit").alias("class_id"))
-    return facts.join(classes, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
+        rest = verify(docs, more)
+        again = connected_classes(links.union(rest).union(ties))
+        discard(first, rest)
+        first = again
+    classes = same.groupBy("doc_id").agg(F.min("unit").alias("unit")).join(first.select(F.col("id").alias("unit"), "class_id"), "unit", "left").select("doc_id", F.coalesce("class_id", "unit").alias("class_id"))
+    out = facts.join(classes, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
+    out = materialize(out, "join-classes")
+    discard(facts, more, links, first, same)
+    return out
 
 
 def own_rows(members: DataFrame) -> DataFrame:
@@ -331,4 +351,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class stays: that with the class's smallest id. Columns as given."""
     classes = link_classes(docs)
     gone = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "join-gone"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialize(gone, "join-gone")
+    discard(classes)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

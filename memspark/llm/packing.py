@@ -11,7 +11,8 @@ into powers of two, so padding arises nowhere.
 Packing is local to a task and needs no shuffle; sequence ids hold the partition's
 number. Null texts are empty, so such a document is its end id alone. Very long texts
 give many whole windows. Repeated rows are packed each on its own; an empty table
-gives no rows; other columns aren't read.
+gives no rows; other columns aren't read. A null id is kept as it is. Equal slacks of a window
+are told apart by the order of lengths, equal lengths by the order of arrival.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from memspark.llm.common import bounded_batches
+from memspark.llm.common import slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -160,9 +162,8 @@ class Packer:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; every id of every document lies in exactly one."""
-    bounded_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    kind = pa.int64() if "bigint" in schema else None
+    kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).ids
@@ -173,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
             packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(doc, kind), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, sequence, offset))], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc, np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4", copy=False))
             if packer.out:

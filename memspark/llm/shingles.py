@@ -10,45 +10,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from memspark.llm.common import STEP_BYTES, mix64, steps, text_bytes
 
 WIDTH = 5
-_BASE = 0x5851F42D4C957F2D | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-#: A fixed odd-looking value for every byte.
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps_ = np.full(size, base, dtype=np.uint64)
-            steps_[0] = 1
-            _POWERS[name] = np.cumprod(steps_, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"]
+#: Longest word that is hashed in steps of eight bytes; longer ones go to xxhash one by one.
+_STEPPED = 256
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and the row it stands in."""
-    n = len(raw)
+    """Hash of each word and the row it stands in. Eight bytes at a time pass a mixer, so no word's hash follows from others'."""
     low = _LOWER[raw]
     word = ~_BLANK[low]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], word[:-1]]) & ~edge[:-1]
     after = np.concatenate([word[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * up, dtype=np.uint64)])
-    h = (total[ends] - total[starts]) * down[starts]
-    h = mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sizes = ends - starts
+    h = mix64(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from every place on
+    left = np.flatnonzero(sizes <= _STEPPED)
+    at = 0
+    while len(left):
+        rest = sizes[left] - at
+        keep = np.minimum(rest, 8).astype(np.uint64)
+        part = eight[starts[left] + at] & (~np.uint64(0) >> (np.uint64(64) - keep * np.uint64(8)))
+        h[left] = mix64((h[left] ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at))
+        left = left[rest > 8]
+        at += 8
+    for k in np.flatnonzero(sizes > _STEPPED):
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]].data)
     return h, np.searchsorted(offsets, starts, side="right") - 1
 
 
