@@ -8,12 +8,14 @@ equal canonical texts and equal texts have equal fingerprints.
 
 The comparison moves only texts of buckets with several rows, compressed, and one copy per
 task: per bucket the smallest and largest canonical text are found by partial aggregation
-and must be the same. Likeness of exact fingerprints is 1 or 0.
+and must be the same. Should a bucket hold different texts, the texts of its digest are
+numbered by byte order, those of documents and edited ones alike (edited texts alone open no
+bucket). Likeness of exact fingerprints is 1 or 0.
 
 Nulls are empty texts; the fingerprint of an empty text is a valid one. Very long texts
 are hashed whole. Repeated rows share a fingerprint; rows of one id are ordered by the
-hash of their text, null ids come last. An empty table gives no rows, and other columns
-are ignored.
+hash of their text, then by the text, and null ids come last. An empty table gives no
+rows, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,8 +44,8 @@ def canonical(text: str) -> bytes:
     return " ".join(text.split()).encode("utf-8", "surrogatepass")
 
 
-def digest(text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text))
+def digest(canon: bytes, digits: int = 32) -> str:
+    return xxhash.xxh3_128_hexdigest(canon)[:digits]
 
 
 def edited(text: str, following: str) -> str:
@@ -51,132 +54,123 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def bucket_digests(docs: DataFrame) -> DataFrame:
+def bucket_digests(docs: DataFrame, digits: int = 32) -> DataFrame:
     """doc_id, digest and text size of every row; texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t or "") for t in batch.column(1).to_pylist()], pa.string()), sizes], ["doc_id", "digest", "size"])
+            names = [digest(canonical(t or ""), digits) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), sizes], ["doc_id", "digest", "size"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string, size long")
 
 
-class Ranges:
-    """Id ranges of about equal size, counted from the largest ids down; null ids are in the last."""
-
-    def __init__(self, ids: DataFrame, parts: int) -> None:
-        at = [k / parts for k in range(1, parts)]
-        self.cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", at, 0.2 / parts)}) if at else []
-        self.last = len(self.cuts)
-        tops = ids.filter("doc_id is not null").groupBy(self.of(F.col("doc_id")).alias("r")).agg(F.max("doc_id").alias("top")).collect()  # one row a range
-        known = sorted((r["r"], r["top"]) for r in tops)
-        self.last = known[-1][0] if known else self.last
-        #: The first id of a range, and the ranges it follows; the first of all follows the last range.
-        self.heads: dict[int, list[int]] = {}
-        for k, (r, _) in enumerate(known):
-            self.heads.setdefault(known[(k + 1) % len(known)][1], []).append(r)
-
-    def of(self, id_col: Column) -> Column:
-        reached = F.size(F.filter(F.array(*map(F.lit, self.cuts)).cast("array<long>"), lambda c: c <= id_col))
-        return F.when(id_col.isNull(), F.lit(self.last)).otherwise(F.lit(len(self.cuts)) - reached)
-
-    def followed(self, id_col: Column) -> Column:
-        """The ranges whose last document the first row of this id follows."""
-        none = F.array().cast("array<int>")
-        if not self.heads:
-            return none
-        pairs = [x for top, to in self.heads.items() for x in (F.lit(top).cast("long"), F.array(*map(F.lit, to)))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), id_col), none)
-
-
-#: The cuts between ranges are part of the plan, so beyond this many the ranges grow instead; their rows
-#: are sorted with spilling and streamed, so a large range costs time, not memory.
-MAX_RANGES = 4096
-MARK, FOLLOWER, TEXT = 1, 2, 0
-_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon binary"
-_FOUND_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
-
-
-def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (r, kind, doc_id, text), range by range: the follower, then by descending id marks and texts."""
-    pack = zstandard.ZstdCompressor(level=3)
-    out: list[tuple] = []
-    current, mark = None, None
-    follower = first = waiting = None
-
-    def finish(row: tuple, text: str, canon: bytes) -> None:
-        doc, own, own_canon, marked = row
-        changed = edited(own, text)
-        changed_canon = canonical(changed)
-        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((doc, len(own), sha, xxhash.xxh3_128_hexdigest(own_canon), xxhash.xxh3_128_hexdigest(changed_canon), float(changed_canon == own_canon), float(canon == own_canon), pack.compress(own_canon) if marked else None))
-
-    def close() -> None:
-        if waiting:
-            text = follower if follower is not None else first
-            finish(waiting, text, canonical(text))
-
-    for batch in batches:
-        for r, kind, doc, text in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            if r != current:
-                close()
-                current, mark, follower, first, waiting = r, None, None, None, None
-            if kind == FOLLOWER:
-                follower = text if follower is None else follower
-            elif kind == MARK:
-                mark = doc
-            else:
+#: Text that one range of ids holds, on average.
+RANGE_BYTES = 64 << 20
+TEXT, MARK = 0, 1
+FIRST, LAST = "first", "last"
+RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_FACTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon binary, edited_canon binary"
+_WALKED = _FACTS + ", r int, edge string, marked boolean, text string"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _facts(doc: int | None, own: str, own_canon: bytes, following: str, next_canon: bytes, keep: tuple[bool, bool], digits: int) -> tuple:
+    """The facts of a document; keep says whether its canonical text and the edited one's go along."""
+    changed = edited(own, following)
+    changed_canon = canonical(changed)
+    sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    packed = [zstandard.compress(c) if k else None for c, k in zip((own_canon, changed_canon), keep, strict=True)]
+    return (doc, len(own), sha, digest(own_canon, digits), digest(changed_canon, digits), float(changed_canon == own_canon), float(next_canon == own_canon), *packed)
+
+
+def walk(rows: DataFrame, marks: DataFrame, parts: int, every: bool = False, digits: int = 32) -> DataFrame:
+    """Facts of all documents, each with the one that follows it by descending id.
+
+    One exchange deals texts to ranges of ids, and every range is walked in order. The last text of
+    a range is followed by the first of the next one that holds any, so these two of each range are written
+    apart and joined by the number of the range. `marks` are ids whose canonical text is wanted; `every` wants all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, mark, waiting = TaskContext.get().partitionId(), None, None
+        none = (None,) * 7
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for kind, doc, text in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                if kind == MARK:
+                    mark = doc
+                    continue
                 canon = canonical(text)
                 if waiting:
-                    finish(waiting, text, canon)
+                    out.append((*_facts(*waiting[:3], text, canon, (waiting[3] or every, every), digits), here, None, None, None))
                 else:
-                    first = text
-                waiting = (doc, text, canon, mark == doc and doc is not None)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _FOUND_TYPES, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
-            out.clear()
-    close()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _FOUND_TYPES, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
-
-
-def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+                    out.append((doc, None, *none, here, FIRST, None, text))
+                waiting = (doc, text, canon, doc is not None and mark == doc)
+            if out:
+                yield _batch(out, _WALKED)
+        if waiting:
+            yield _batch([(waiting[0], None, *none, here, LAST, waiting[3], waiting[1])], _WALKED)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield _batch([_facts(doc, text, canonical(text), after, canonical(after), (marked or every, every), digits) for doc, marked, text, after in rows], _FACTS)
+
+    both = rows.select(F.lit(TEXT).alias("kind"), "doc_id", "text").union(marks.select(F.lit(MARK), "doc_id", F.lit(None).cast("string")))
+    down = F.col("doc_id").desc_nulls_last()
+    dealt = both.repartitionByRange(parts, down).sortWithinPartitions(down, F.col("kind").desc(), F.xxhash64("text"), F.col("text"))
+    walked = materialize(dealt.select("kind", "doc_id", "text").mapInArrow(run, _WALKED), "fingerprints")
+    ends = walked.filter(F.col("edge") == LAST)
+    order = Window.orderBy("r")  # a row a range, without its text
+    follows = ends.select("r").select("r", F.coalesce(F.lead("r").over(order), F.min("r").over(Window.partitionBy())).alias("to"))
+    firsts = walked.filter(F.col("edge") == FIRST).select(F.col("r").alias("to"), F.col("text").alias("after"))
+    last = ends.select("r", "doc_id", "marked", "text").join(follows, "r").join(firsts, "to").select("doc_id", "marked", "text", "after").mapInArrow(close, _FACTS)
+    return walked.filter("edge is null").drop("r", "edge", "marked", "text").union(last)
+
+
+def compare_with_next(docs: DataFrame, parts: int | None = None, digits: int = 32) -> DataFrame:
     """Fingerprints of each document, of its edited text and how like its own the next one's is.
 
-    One shuffle moves each text to the range of its id; the first text of a range also goes
-    to the range before it, whose last document it follows.
+    `digits` is the length of a digest; short ones only serve to test what happens when digests clash.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = materialize(bucket_digests(own), "digests")
+    digests = materialize(bucket_digests(own, digits), "digests")
     # Written out, so both sides of the join come from an exchange and AQE can split a large group of copies.
     repeated = materialize(digests.groupBy(F.col("digest").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "repeated")
-    marked = digests.join(repeated, F.col("digest") == F.col("again"), "left_semi").filter("doc_id is not null").select("doc_id").distinct()
-
-    if not parts:  # ranges of 64 MB of text, whatever the session's number of partitions is
+    marks = materialize(digests.join(repeated, F.col("digest") == F.col("again"), "left_semi").filter("doc_id is not null").select("doc_id").distinct(), "marks")
+    if not parts:  # whatever the session's number of partitions is
         size = digests.agg(F.sum("size")).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 26, MAX_RANGES))
-    ranges = Ranges(digests.select("doc_id"), parts)
-    place, none = ranges.of(F.col("doc_id")), F.lit(None).cast("string")
-    to = F.concat(F.array(F.struct(place.alias("r"), F.lit(TEXT).alias("kind"))), F.transform(ranges.followed(F.col("doc_id")), lambda r: F.struct(r.alias("r"), F.lit(FOLLOWER).alias("kind"))))
-    rows = own.select(F.explode(to).alias("to"), "doc_id", "text").select("to.r", "to.kind", "doc_id", "text")
-    marks = marked.select(place.alias("r"), F.lit(MARK).alias("kind"), "doc_id", none.alias("text"))
-    order = [F.col("r"), (F.col("kind") != FOLLOWER), F.col("doc_id").desc_nulls_last(), F.col("kind").desc(), F.xxhash64("text"), F.col("text")]
-    dealt = rows.unionByName(marks).repartition(parts, "r").sortWithinPartitions(*order)
-    found = materialize(dealt.mapInArrow(_in_order, _FOUND), "fingerprints")
-    discard(digests)
-    return without_collisions(found)
-
-
-def without_collisions(found: DataFrame) -> DataFrame:
-    """Number the fingerprints of different canonical texts that share a digest (byte comparison)."""
-    bytes_ = found.filter("canon is not null")
-    clash = bytes_.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).filter("least <> most").select("fingerprint")
-    clash = materialize(clash, "fingerprint-clashes")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    found = walk(own, marks, parts, digits=digits)
+    clash = materialize(clashing(found), "fingerprint-clashes")
+    discard(digests, repeated)
     if clash.isEmpty():
-        return found.drop("canon")
-    texts = bytes_.join(clash, "fingerprint", "left_semi").select("fingerprint", "canon").distinct()
-    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")))
-    name = F.when(F.col("rank") > 1, F.concat_ws("-", "fingerprint", "rank")).otherwise(F.col("fingerprint"))
-    return found.join(ranked, ["fingerprint", "canon"], "left").withColumn("fingerprint", name).drop("canon", "rank")
+        discard(marks)
+        return found.select(*RESULT)
+    return numbered(walk(own, marks, parts, True, digits), clash).select(*RESULT)
+
+
+def clashing(found: DataFrame) -> DataFrame:
+    """Fingerprints that different canonical texts share, by comparing bytes."""
+    ends = found.filter("canon is not null").groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    return ends.filter("least <> most").select("fingerprint")
+
+
+def numbered(found: DataFrame, clash: DataFrame) -> DataFrame:
+    """Clashing fingerprints get a number for each text but the first by bytes, in both columns alike."""
+    both = found.select("fingerprint", "canon").union(found.select("edited_fingerprint", "edited_canon"))
+    texts = both.join(clash, "fingerprint", "left_semi").distinct()
+    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon"))
+    names = materialize(texts.select("fingerprint", "canon", rank.alias("rank")).filter("rank > 1"), "fingerprint-names")
+    for name, canon in (("fingerprint", "canon"), ("edited_fingerprint", "edited_canon")):
+        new = names.select(F.col("fingerprint").alias(name), F.col("canon").alias(canon), "rank")
+        found = found.join(new, [name, canon], "left").withColumn(name, F.concat_ws("-", name, "rank")).drop("rank")
+    return found

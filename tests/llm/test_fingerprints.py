@@ -53,10 +53,25 @@ def test_small_tables_null_ids_and_repeated_rows(spark):
     assert fp.compare_with_next(spark.createDataFrame([(None, "a"), (None, "a")], schema), 3).count() == 2
 
 
-def test_colliding_digests_are_told_apart(spark):
-    found = spark.createDataFrame([(1, "f", b"a"), (2, "f", b"b"), (3, "f", b"a"), (4, "g", b"a"), (5, "h", None)], "doc_id long, fingerprint string, canon binary")
-    got = {r.doc_id: r.fingerprint for r in fp.without_collisions(found).collect()}
-    assert got == {1: "f", 2: "f-2", 3: "f", 4: "g", 5: "h"}
+@pytest.mark.parametrize("digits", [0, 1])
+def test_clashing_digests_are_told_apart_in_both_columns(spark, digits):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abC") for _ in range(rng.randint(0, 3)))) for i in range(70)]
+    got = {r.doc_id: r for r in fp.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), 3, digits).collect()}
+    prints, owns = {}, set()
+    for i, (n, sha, near, nxt, own, changed) in brute(rows).items():
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].near_edited, got[i].near_next) == (n, sha, near, nxt)
+        owns.add(own)
+        prints.setdefault(own, set()).add(got[i].fingerprint)
+        prints.setdefault(changed, set()).add(got[i].edited_fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+    assert len({next(iter(prints[t])) for t in owns}) == len(owns)
+
+
+def test_a_common_id_and_a_long_text(spark):
+    rows = [(3, "x" * 400_000), *[(5, f"t{i % 3}") for i in range(200)], (9, None)]
+    got = fp.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(rows) and {r.n_chars for r in got} == {0, 2, 400_000}
 
 
 def test_ascii_shortcut_agrees():
