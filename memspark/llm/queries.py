@@ -58,7 +58,7 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join)}
 
 _OP1_SQL = f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+WITH p AS (SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
 f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d),
 u AS (SELECT *, CASE WHEN url LIKE '%://%' THEN regexp_replace(url, '^.*?://', '') ELSE url END AS rest FROM f)

@@ -1,57 +1,77 @@
 """WARC archives and a globally ordered capture index.
 
 Writing: each page becomes one WARC/1.1 record, a `response` or, where an earlier page
-has the same payload of at least `MIN_REVISIT` bytes, a `revisit` without payload. Spark's
-text sink writes the records (gzip, CR LF CR LF between them), so archives land in any
-store Spark can write.
-
-Reading: each task parses whole archive files and keeps a locally sorted run of index
-rows. External merge: the runs are dealt into key ranges, and in each range a k-way
-loser tree merges them by URL key and capture time. Range r comes before range r + 1,
-so the merged index is globally ordered; the capture time and page id are part of the
-key, so a hot host or URL is split like any other.
+has the same payload of at least `MIN_REVISIT` bytes, a `revisit` without payload. Every
+record is a gzip member of its own, so a reader can seek to it: `record_offset` is the
+member's place in the packed file. A task closes an archive at `ARCHIVE_BYTES` of packed
+records. An archive's name holds the task's attempt, and only archives that a finished
+task has listed are read, so a lost executor leaves at worst a file nobody names.
+
+Reading: a task reads a listed archive member by member and sorts its index rows: a run.
+External merge: rows are dealt into key ranges by one exchange, which keeps each run's own
+order; in each range a k-way loser tree merges the runs by URL key and capture time. A run
+waits in memory or, beyond `HELD_BYTES` of a range, in a scratch file of the task, and the
+tree holds one chunk of each run; more than `FAN_IN` runs are merged in several passes.
+Range r comes before range r + 1, so the merged index is globally ordered; capture time
+and page id are part of the key, so a hot host or URL is split like any other.
+
+Hot payloads: digests are joined without payloads, and the table of revisits is written
+out, so the pages meet it by page id and digest, which no group of copies shares.
 
 Nulls: a null html is an empty payload, a null url gives a record without a target and
 sorts first, a null page id is never referred to. Equal rows: all copies of the
-smallest page id are responses. Payloads under 100 bytes are never revisits. Other
-columns aren't read; an empty table gives an empty index.
+smallest page id are responses. Payloads under 100 bytes are never revisits. A long page
+is one record, held once by its task. A url's line ends are written as %0D and %0A, as
+the index has them. Other columns aren't read; an empty table gives an empty index.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import tempfile
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import materialize, shared_path
+from memspark.llm.common import discard, materialize, remove, shared_path, slices
 
 MIN_REVISIT = 100
 GAP = "\r\n\r\n"
-#: Most records in one archive file, and index rows aimed at in one merged range.
-FILE_RECORDS = 5_000
-RANGE_ROWS = 200_000
+#: Packed bytes of one archive, and index bytes aimed at in one merged range.
+ARCHIVE_BYTES = 32 << 20
+RANGE_BYTES = 64 << 20
+#: Bytes of a range's runs that wait in memory, runs merged at once, and rows of a run held as objects.
+HELD_BYTES, FAN_IN, CHUNK = 64 << 20, 256, 256
 #: Pages carry no capture time; the archive dates page n to this moment plus n seconds, n modulo DATED.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
 DATED = 1 << 32
 INDEX = "url_key string, capture_ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long"
-
-
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """Payload length, digest and, for revisits, the page that holds the payload."""
-    body = F.coalesce(F.col("html"), F.lit(""))
-    facts = pages.select("page_id", "url", body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
-    firsts = facts.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return facts.join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
-
-
-def records(pages: DataFrame) -> DataFrame:
-    """One text column `value` with a WARC record per page, without the closing CR LF CR LF."""
+RUN = INDEX + ", seq long"
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, first_id) of the pages whose payload an earlier one holds."""
+    facts = pages.select("page_id", F.octet_length("html").alias("size"), F.sha2("html", 256).alias("digest")).filter(F.col("size") >= MIN_REVISIT).select("page_id", "digest")
+    facts = materialize(facts, "warc-digests")
+    firsts = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first_id")
+    firsts = materialize(firsts, "warc-firsts")  # written out, so AQE can split the rows of a common payload
+    out = facts.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()).distinct()
+    out = materialize(out, "warc-revisits")
+    discard(facts, firsts)
+    return out
+
+
+def records(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """One text column `value` with a WARC record per page, its closing CR LF CR LF included."""
+    body = pages.select("page_id", "url", "html", F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("digest"))
+    known = found.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), F.col("first_id").alias("refers_to"))
+    pages = body.join(known, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
     clean = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(name + ": "), value)
@@ -71,16 +91,49 @@ def records(pages: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response"),
         line("Content-Length", F.octet_length(block)),
     )
-    return pages.select(F.concat(head, F.lit(GAP), block).alias("value"))
+    return pages.select(F.concat(head, F.lit(GAP), block, F.lit(GAP)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> str:
-    """Write gzipped archives below path, at most FILE_RECORDS records a file.
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
-    The pages come as the join on digests deals them; large or hot partitions are split by AQE.
+
+def write_archives(pages: DataFrame, path: str) -> DataFrame:
+    """Write archives below path; their names, records and packed bytes.
+
+    The pages come as the join on page ids deals them, so no task gets a group of copies.
     """
-    records(with_revisits(pages)).write.option("compression", "gzip").option("lineSep", GAP).option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    return path
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    found = revisits(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        task = TaskContext.get()
+        done: list[tuple[str, int, int]] = []
+        out = None
+        store.create_dir(root, recursive=True)
+        for batch in slices(batches, 16):
+            for value in batch.column(0):
+                if out is None:
+                    name = f"part-{task.partitionId():06}-{len(done):04}-{task.taskAttemptId()}.warc.gz"
+                    out, count, size = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = pack.compress(value.as_buffer()) + pack.flush()
+                out.write(member)
+                count, size = count + 1, size + len(member)
+                if size >= ARCHIVE_BYTES:
+                    out.close()
+                    done.append((name, count, size))
+                    out = None
+        if out is not None:
+            out.close()
+            done.append((name, count, size))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["archive", "records", "bytes"])
+
+    listed = materialize(records(own, found).mapInArrow(run, "archive string, records long, bytes long"), "warc-listed")
+    discard(found)
+    return listed
 
 
 def url_key(url: str | None) -> str:
@@ -93,18 +146,35 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + rest[cut:]
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no WARC record at {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        yield at, head, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def members(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Packed offset and content of each gzip member of a stream; one member is held at a time."""
+    at, data = 0, b""
+    while data or (data := stream.read(size)):
+        unpack, parts, used = zlib.decompressobj(31), [], 0
+        while not unpack.eof:
+            if not data and not (data := stream.read(size)):
+                raise ValueError(f"the member at {at} is cut off")
+            try:
+                parts.append(unpack.decompress(data))
+            except zlib.error as e:
+                raise ValueError(f"no gzip member at {at}") from e
+            used += len(data) - len(unpack.unused_data)
+            data = unpack.unused_data
+        yield at, b"".join(parts)
+        at += used
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    end = raw.index(b"\r\n\r\n")
+    lines = raw[:end].decode().split("\r\n")
+    if not lines[0].startswith("WARC/1."):
+        raise ValueError("no WARC record")
+    head = dict(x.split(": ", 1) for x in lines[1:])
+    block = raw[end + 4 : end + 4 + int(head["Content-Length"])]
+    if raw[end + 4 + len(block) :] != b"\r\n\r\n":
+        raise ValueError("a record's length doesn't fit")
+    return head, block
 
 
 def index_entry(archive: str, offset: int, head: dict[str, str], block: bytes) -> tuple:
@@ -123,30 +193,29 @@ def _key(row: tuple) -> tuple:
     return row[0], row[1], row[2] is None, row[2] or 0, row[7], row[8]
 
 
-def _rows(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+def _schema(fields: str) -> pa.Schema:
+    return pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in fields.split(", "))])
 
 
-_INDEX_SCHEMA = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in INDEX.split(", "))])
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    """Index rows of all archives below path; the rows of an archive are a sorted run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+def read_runs(listed: DataFrame, path: str) -> DataFrame:
+    """Index rows of the listed archives; those of an archive are a run, `seq` is their order in it."""
+    parts = max(1, listed.count())
+    schema = _schema(RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                archive = name.as_py().rpartition("/")[2]
-                try:
-                    raw = gzip.decompress(content.as_buffer())
-                except zlib.error as e:
-                    raise ValueError(f"{archive} is no gzip file") from e
-                rows = sorted((index_entry(archive, *record) for record in parse_archive(raw)), key=_key)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    rows = sorted((index_entry(name, at, *parse_record(raw)) for at, raw in members(stream)), key=_key)
                 for k in range(0, len(rows), 10_000):
-                    yield _rows(rows[k : k + 10_000], _INDEX_SCHEMA.names, _INDEX_SCHEMA)
+                    yield _rows([(*r, k + j) for j, r in enumerate(rows[k : k + 10_000])], schema)
 
-    return files.mapInArrow(run, INDEX)
+    return listed.select("archive").repartition(parts).mapInArrow(run, RUN)  # round robin: an archive is a task's work
 
 
 class LoserTree:
@@ -187,33 +256,98 @@ class LoserTree:
             self._replay(best)
 
 
-def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+class Runs:
+    """Sorted runs of one task as Arrow batches, in memory up to a bound, then in a scratch file of the task."""
+
+    def __init__(self, held_bytes: int, chunk: int = CHUNK) -> None:
+        self.held_bytes, self.chunk = held_bytes, chunk
+        self.runs: list[list] = []
+        self.size = 0
+        self.scratch = None
+
+    def open(self) -> None:
+        self.runs.append([])
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for k in range(0, len(batch), self.chunk):
+            part = batch.slice(k, self.chunk)
+            if self.size + part.nbytes <= self.held_bytes:
+                self.size += part.nbytes
+                # A slice would keep its whole batch in memory.
+                self.runs[-1].append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema))
+                continue
+            if self.scratch is None:
+                self.scratch = tempfile.TemporaryFile()
+            packed = part.serialize()
+            at = self.scratch.seek(0, 2)
+            self.scratch.write(packed)
+            self.runs[-1].append((at, packed.size, part.schema))
+
+    def rows(self, run: list) -> Iterator[tuple]:
+        for item in run:
+            if isinstance(item, tuple):
+                at, size, schema = item
+                self.scratch.seek(at)
+                item = pa.ipc.read_record_batch(pa.py_buffer(self.scratch.read(size)), schema)
+            yield from zip(*(c.to_pylist() for c in item.columns), strict=True)
+
+    def merged(self, schema: pa.Schema, fan_in: int = FAN_IN) -> Iterator[tuple]:
+        """All rows in order; while there are more runs than fan_in, that many become one."""
+        while len(self.runs) > fan_in:
+            some, self.runs = self.runs[:fan_in], self.runs[fan_in:]
+            self.open()
+            out: list[tuple] = []
+            for row in LoserTree([self.rows(r) for r in some]):
+                out.append(row)
+                if len(out) == 4096:
+                    self.add(_rows(out, schema))
+                    out = []
+            if out:
+                self.add(_rows(out, schema))
+        yield from LoserTree([self.rows(r) for r in self.runs])
+
+
+def merge_runs(runs: DataFrame, range_bytes: int = RANGE_BYTES, held_bytes: int = HELD_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """The index in global order of (url_key, capture_ts, page_id): partition by partition, row by row."""
-    n = runs.count()
     spark = runs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows))
-    key = ["url_key", "capture_ts", "page_id"]
-    ranged = runs.repartitionByRange(parts, *key, "archive", "record_offset").sortWithinPartitions("archive", *key)
+    size = runs.agg(F.sum(F.octet_length("url_key") + F.octet_length("archive") + 128)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes)
+    # Only the exchange knows the key; within a range the rows come run by run, each in its own order.
+    ranged = runs.repartitionByRange(parts, "url_key", "capture_ts", F.col("page_id").asc_nulls_last(), "archive", "record_offset").sortWithinPartitions("archive", "seq")
+    schema = _schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple]] = {}
+        held = Runs(held_bytes)
+        current = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(row[7], []).append(row)
+            batch = batch.select(schema.names)
+            names = batch.column(7).to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if names[a] != current:
+                        current = names[a]
+                        held.open()
+                    held.add(batch.slice(a, b - a))
         out: list[tuple] = []
-        for row in LoserTree([sorted(r, key=_key) if None in (x[2] for x in r) else r for r in held.values()]):
+        for row in held.merged(schema, fan_in):
             out.append(row)
-            if len(out) == 10_000:
-                yield _rows(out, _INDEX_SCHEMA.names, _INDEX_SCHEMA)
+            if len(out) == 4096:
+                yield _rows(out, schema)
                 out = []
         if out:
-            yield _rows(out, _INDEX_SCHEMA.names, _INDEX_SCHEMA)
+            yield _rows(out, schema)
 
     return ranged.mapInArrow(run, INDEX)
 
 
-def capture_index(pages: DataFrame) -> DataFrame:
-    """Write archives of pages to shared storage, read them back and merge their index runs."""
+def capture_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """Write archives of pages below path, read them back and merge their index runs; without a path the archives are scratch."""
     spark = pages.sparkSession
-    path = write_archives(pages.select("page_id", "url", "html"), shared_path(spark, "warc"))
-    return merge_runs(materialize(read_runs(spark, path), "warc-runs"))
+    where = path or shared_path(spark, "warc")
+    listed = write_archives(pages.select("page_id", "url", "html"), where)
+    runs = materialize(read_runs(listed, where), "warc-runs")
+    discard(listed)
+    if not path:
+        remove(spark, where)
+    return merge_runs(runs)

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import zlib
+
+import pytest
 
 from memspark.llm import warc
 
@@ -61,6 +64,43 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted([x for r in runs for x in r], key=warc._key)
 
 
+@pytest.mark.parametrize("held, fan_in", [(1 << 30, 256), (0, 256), (2000, 3), (0, 2)])
+def test_runs_in_memory_or_scratch_and_in_several_passes(held, fan_in):
+    rng = random.Random(held + fan_in)
+    schema = warc._schema(warc.INDEX)
+    runs = warc.Runs(held, chunk=4)
+    everything = []
+    for j in range(17):
+        rows = sorted([(f"k{rng.randint(0, 9)}", rng.randint(0, 3), i if i % 5 else None, 0, "", "", None, f"r{j:02}", i) for i in range(rng.randint(1, 30))], key=warc._key)
+        everything += rows
+        runs.open()
+        runs.add(warc._rows(rows, schema))
+    assert list(runs.merged(schema, fan_in)) == sorted(everything, key=warc._key)
+
+
+def test_archives_are_bounded_and_seekable(spark, tmp_path):
+    rows = [(i, f"http://a{i}.org/", f"page {i} " * 200 + "é" * 2_000_000 * (i == 3), None) for i in range(40)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    got = warc.capture_index(pages, str(tmp_path)).collect()
+    assert len(got) == 40
+    for r in got:
+        with open(tmp_path / r.archive, "rb") as f:
+            f.seek(r.record_offset)
+            head, block = warc.parse_record(zlib.decompressobj(31).decompress(f.read()))
+        assert head["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and block.endswith(rows[r.page_id][2].encode())
+
+
+def test_most_pages_share_a_payload(spark):
+    same = "s" * 150
+    rows = [(i, f"http://a.org/{i}", same if i % 5 < 3 else f"own {i} " * 30, None) for i in range(500)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = index(spark, rows)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == expected(rows)
+    own = pages.select("page_id", "url", "html")
+    parts = warc.records(own, warc.revisits(own)).rdd.glom().map(len).collect()
+    assert sum(parts) == 500
+
+
 def test_url_key():
     assert warc.url_key("http://WWW.Example.com/a?b") == "com,example,www)/a?b"
     assert warc.url_key(None) == ""
