@@ -1,14 +1,17 @@
 """Nearest neighbours by learned partitions.
 
-A bounded sample (`SAMPLE` vectors by hash of the id) gives a nearest-neighbour graph,
-which is cut into `PARTS` parts of equal size by label propagation under a capacity. A
-softmax classifier learns, from a vector, how its neighbours spread over the parts. All
-vectors go to their most probable part; a query visits its most probable parts and is
-reranked there by exact distances in double precision. How many parts it visits is the
-smallest number that finds `RECALL` of the true neighbours of held-out sample vectors.
-
-Parts are split into blocks by hash of the id, so a part that a common vector fills is
-many small tasks. Each block returns a query's best rows, of which the best are kept.
+The number of parts follows the table: about an eighth of the root of its rows, a power of
+two of at most `MAX_PARTS`. A sample of `PER_PART` vectors a part, by hash of the id
+(`LEAST_SAMPLE` at least, so at most MAX_PARTS * PER_PART), gives a nearest-neighbour graph,
+which is cut into parts of equal size by label propagation under a capacity. A softmax
+classifier learns, from a vector, how its neighbours spread over the parts. All vectors go
+to their most probable part; a query visits its most probable parts and is reranked there
+by exact distances in double precision. How many parts it visits is the smallest number
+that finds `RECALL` of the true neighbours of held-out sample vectors.
+
+Rows and visiting queries of a part are both split into blocks by hash of the id, so a part
+that a common vector fills is many small tasks, and a task compares one block of queries
+with one of rows. Each returns a query's best rows, of which the best are kept.
 
 Vectors that are null, zero, of another length than most of the sample, or hold a null or
 non-finite component take no part. Equal distances go to the smaller id; rows with the
@@ -19,6 +22,7 @@ smallest vector asks. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memspark.llm.common import materialize
+from memspark.llm.common import discard, materialize, slices
 
-SAMPLE = 4096
-PARTS = 16
+LEAST_SAMPLE, PER_PART = 4096, 64
+MAX_PARTS = 4096
 NEIGHBOURS = 10
-RECALL = 0.94
-BLOCK_ROWS = 1024
+RECALL = 0.96
+#: Rows and queries of one comparison.
+BLOCK_ROWS = 4096
+#: Sample vectors of one step of the classifier's fit, and steps.
+BATCH, STEPS = 4096, 300
+
+
+def parts_for(rows: int) -> int:
+    """Parts of a table: a power of two near sqrt(rows) / 8."""
+    return min(MAX_PARTS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(rows) / 8)))))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
@@ -49,6 +61,17 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, own: bool = False) -> np.ndarray:
+    """The k nearest rows of b for each row of a, in no order; a block of rows at a time."""
+    out = []
+    for s in range(0, len(a), 1024):
+        d = _squared(a[s : s + 1024], b)
+        if own:
+            d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+    return np.concatenate(out)
+
+
 def balanced_parts(near: np.ndarray, x: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
     """Equal parts of a neighbour graph: start from cuts along main directions, then move nodes to where their neighbours are."""
     n = len(near)
@@ -98,7 +121,7 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")
 
 
-def fit_router(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> Router:
+def fit_router(x: np.ndarray, parts: int, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> Router:
     """Router for the rows of x; parts is a power of two."""
     n = len(x)
     parts = max(1, min(parts, 1 << max(0, (n // 16).bit_length() - 1)))
@@ -107,39 +130,44 @@ def fit_router(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS,
     held = np.arange(n) % 8 == 7
     fit_x, test_x = x[~held], x[held]
     k = min(neighbours, len(fit_x) - 1)
-    d = _squared(fit_x, fit_x)
-    np.fill_diagonal(d, np.inf)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    near = _nearest(fit_x, fit_x, k, own=True)
     part = balanced_parts(near, fit_x, parts)
-    target = (np.eye(parts)[part] + np.eye(parts)[part[near]].sum(1)) / (k + 1)
     u = fit_x / np.linalg.norm(fit_x, axis=1, keepdims=True)
     w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(300):  # gradient descent with momentum on the cross entropy
-        z = u @ w + b
+    for step in range(STEPS):  # gradient descent with momentum on the cross entropy
+        pick = np.arange(step * BATCH, (step + 1) * BATCH) % len(u) if len(u) > BATCH else slice(None)
+        target = np.zeros((len(u[pick]), parts))
+        for j in np.concatenate([part[pick][:, None], part[near[pick]]], axis=1).T:
+            target[np.arange(len(target)), j] += 1 / (k + 1)
+        z = u[pick] @ w + b
         z = np.exp(z - z.max(1, keepdims=True))
-        g = (z / z.sum(1, keepdims=True) - target) / len(u)
-        speed_w = 0.9 * speed_w - 4.0 * (u.T @ g + 1e-5 * w)
+        g = (z / z.sum(1, keepdims=True) - target) / len(target)
+        speed_w = 0.9 * speed_w - 4.0 * (u[pick].T @ g + 1e-5 * w)
         speed_b = 0.9 * speed_b - 4.0 * g.sum(0)
         w, b = w + speed_w, b + speed_b
     router = Router(w, b, parts)
-    home = router.order(fit_x)[:, 0]
-    true = np.argpartition(_squared(test_x, fit_x), k - 1, axis=1)[:, :k]
-    rank = np.argsort(router.order(test_x), axis=1)  # when each part is visited
-    visit = np.take_along_axis(rank, home[true], axis=1)
-    found = [(visit < m).mean() for m in range(1, parts + 1)]
-    router.probes = 1 + next(i for i, f in enumerate(found) if f >= recall or i == parts - 1)
+    home = np.concatenate([router.order(fit_x[s : s + 1024])[:, 0] for s in range(0, len(fit_x), 1024)])
+    found = np.zeros(parts)
+    for s in range(0, len(test_x), 1024):
+        some = test_x[s : s + 1024]
+        rank = np.argsort(router.order(some), axis=1)  # when each part is visited
+        found += np.bincount(np.take_along_axis(rank, home[_nearest(some, fit_x, k)], axis=1).ravel(), minlength=parts)
+    share = np.cumsum(found) / found.sum()
+    router.probes = int(np.argmax(share >= recall - 1e-12)) + 1
     return router
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Router | None, int]:
+def fit(vectors: DataFrame, parts: int | None = None) -> tuple[Router | None, int]:
     """Router and vector length from the sample."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not rows:
+    parts = parts or parts_for(vectors.count())
+    size = max(LEAST_SAMPLE, PER_PART * parts)
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(size).select("v").toArrow().column(0).combine_chunks()
+    if not len(rows):
         return None, 0
-    sizes = [len(r["v"]) for r in rows]
+    sizes = rows.value_lengths().to_pylist()
     dim = max(sorted(set(sizes)), key=sizes.count)
-    return fit_router(np.array([r["v"] for r in rows if len(r["v"]) == dim])), dim
+    return fit_router(_matrix(rows.filter(pa.array([n == dim for n in sizes]))), parts), dim
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -167,30 +195,33 @@ def best_in_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray
     return out
 
 
-def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows found; is_query is SQL over vec_id."""
     spark = vectors.sparkSession
-    router, dim = fit(usable(vectors, id_col, vec_col))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    router, dim = fit(usable(vectors, id_col, vec_col), parts)
     if router is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                order = shared.value.order(_matrix(batch.column(1)))[:, : shared.value.probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
-
-    routed = usable(vectors, id_col, vec_col, dim).mapInArrow(route, "vec_id long, v array<double>, parts array<int>")
+        for batch in slices(batches, BLOCK_ROWS):
+            # Only a query needs all parts it visits.
+            order = shared.value.order(_matrix(batch.column(1)))[:, : shared.value.probes].astype(np.int32)
+            asks = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order[:, 0]), pa.array([list(o) if q else None for o, q in zip(order, asks, strict=True)], pa.list_(pa.int32()))], ["vec_id", "v", "part", "visits"])
+
+    whole = usable(vectors, id_col, vec_col, dim)
+    routed = whole.withColumn("asks", F.coalesce(F.expr(is_query), F.lit(False))).mapInArrow(route, "vec_id long, v array<double>, part int, visits array<int>")
     routed = materialize(routed, "ann-routed")
-    sizes = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0].alias("part")).count().collect()}  # one row a part
-    blocks = F.coalesce(*[F.when(F.col("part") == p, F.lit(-(-n // BLOCK_ROWS))) for p, n in sizes.items()], F.lit(0))
-    rows = routed.select(F.col("parts")[0].alias("part"), "vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
     # One vector a query id: a repeated query row would find every neighbour twice.
-    queries = routed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("q"))
-    queries = queries.select("vec_id", "q.v", F.explode("q.parts").alias("part")).filter(blocks > 0)
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    queries = routed.filter("visits is not null").groupBy("vec_id").agg(F.min(F.struct("v", "visits")).alias("q"))
+    queries = queries.select("vec_id", "q.v", F.explode("q.visits").alias("part"))
+    blocks = lambda t, name: t.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    sizes = materialize(blocks(routed, "row_blocks").join(blocks(queries, "query_blocks"), "part"), "ann-sizes")
+    sizes = F.broadcast(sizes)  # a row a part, MAX_PARTS at most
+    draw, every = F.xxhash64("vec_id"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = routed.select("part", "vec_id", "v").join(sizes, "part").select(F.col("part").alias("part"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.pmod(draw, F.col("row_blocks")).alias("i"), every("query_blocks").alias("j"))
+    queries = queries.join(sizes, "part").select("part", "vec_id", "v", F.pmod(draw, F.col("query_blocks")).alias("j"), every("row_blocks").alias("i"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -200,6 +231,10 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
         q, v, s = zip(*found, strict=True) if found else ((), (), ())
         return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-    near = queries.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    keys = ["part", "i", "j"]
+    near = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = materialize(best, "ann-found")
+    discard(routed, sizes)
+    return best

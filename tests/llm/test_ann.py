@@ -41,6 +41,27 @@ def test_recall_and_exact_scores(spark, monkeypatch):
             assert s == pytest.approx(float(np.sqrt(((vectors[q] - vectors[i]) ** 2).sum())), abs=1e-15)
 
 
+def test_parts_follow_the_table_and_visits_fall_on_clustered_vectors():
+    assert [ann.parts_for(n) for n in (0, 500, 2000, 51_282, 10**6, 10**9, 10**15)] == [1, 2, 4, 32, 128, 4096, 4096]
+    rng = np.random.default_rng(1)
+    shares = []
+    for n, parts in ((4096, 16), (8192, 64)):
+        centres = rng.normal(size=(parts * 2, 32)) * 3
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 32))
+        router = ann.fit_router(x, parts)
+        shares.append(router.probes / parts)
+        assert np.bincount(router.order(x)[:, 0], minlength=parts).max() < 8 * n / parts
+    assert shares[1] < shares[0] < 0.5
+
+
+def test_blocks_of_queries_and_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.normal(size=(600, 8)))]
+    want = run(spark, rows, parts=4)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    assert run(spark, rows, parts=4) == want
+
+
 def test_bad_vectors_ties_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [0.0, 1.0]), (1, [0.0, 1.0]), (10, None), (20, [0.0, 0.0]), (30, [1.0, None]), (40, [float("nan"), 1.0]), (50, [float("inf"), 1.0]), (60, [1.0, 2.0, 3.0]), (5, [2.0, 0.0])]
     got = run(spark, rows)
