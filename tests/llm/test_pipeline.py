@@ -4,13 +4,16 @@ import hashlib
 import math
 import os
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from memspark.llm import langid, mixing
 from memspark.llm.common import table
+from tests.llm.test_mixing import plain_rake
 from tests.llm.test_ngram_join import brute as brute_classes
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_secrets import plain as plain_spans
@@ -50,9 +53,8 @@ def plain_redact(rows):
 
 def plain_mix(rows):
     def topic(text):
-        best = ""
-        for w in text.split("\n", 1)[0].split(" "):
-            best = w if len(w) > len(best) else best
+        counts = Counter(regex.findall(r"\p{L}{6,}", text.lower()))
+        best = min(counts, key=lambda w: (-counts[w], w.encode()), default="")
         return int(hashlib.md5(best.encode()).hexdigest()[:4], 16) % mixing.TOPICS
 
     cells = {}
@@ -67,14 +69,8 @@ def plain_mix(rows):
             sums[c[m]] = sums.get(c[m], 0) + n
         w = {k: (v / total) ** mixing.TEMPER for k, v in sums.items()}
         wants.append({k: v / sum(w.values()) for k, v in w.items()})
-    share = {c: n / total for c, n in cells.items()}
-    for _ in range(mixing.ROUNDS):
-        for m in range(3):
-            sums = {}
-            for c, s in share.items():
-                sums[c[m]] = sums.get(c[m], 0) + s
-            share = {c: s * wants[m][c[m]] / sums[c[m]] for c, s in share.items()}
-    keep = lambda r: int(hashlib.md5(f"mix{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32 < round(min(1, share[r["cell"]] * mixing.BUDGET * total / cells[r["cell"]]), 6)
+    share = plain_rake(cells, wants, mixing.BUDGET, 100)
+    keep = lambda r: int(hashlib.md5(f"mix{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32 < share[r["cell"]] * mixing.BUDGET * total / cells[r["cell"]]
     return [r for r in rows if keep(r)]
 
 
