@@ -141,3 +141,15 @@ def test_long_rows_are_hashed_in_pieces(monkeypatch):
     want = [s.tolist() for s in shingle_sets(pa.array(texts))]
     monkeypatch.setattr(shingles, "STEP_BYTES", 64)
     assert [s.tolist() for s in shingle_sets(pa.array(texts))] == want
+
+
+def test_words_that_a_linear_hash_cannot_tell_apart():
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    odd = "".join("ba"[bin(i).count("1") % 2] for i in range(1024))
+    for n in (8, 64, 256, 1024):
+        rest = " one two three four five"
+        a, b = shingle_sets(pa.array([even[:n] + rest, odd[:n] + rest]))
+        assert len(a) == len(b) == 2 and len(np.intersect1d(a, b)) == 1
+    for n in range(1, 40):
+        a, b, c = shingle_sets(pa.array(["x" * n, "x" * (n + 1), "X" * n]))
+        assert a.tolist() != b.tolist() and a.tolist() == c.tolist()

@@ -1,9 +1,11 @@
+import os
 import random
 import zlib
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,3 +75,18 @@ def test_fast_ids_equal_the_tokenizer():
     for _ in range(400):
         t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
         assert e.ids(t).tolist() == e.slow.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_fast_ids_equal_the_tokenizer_on_the_tables_and_on_long_runs():
+    e = packing.encoder(VOCABULARY)
+    texts = ["1234567890" * 300, "٣" * 50, "\r\n" * 400, "a\r\n\r\n b\r", "!?!?" * 500, "-" * 3000, "'s't're" * 40, " " * 3999 + "x", "\t\n " * 900, "e\u0301" * 60, "\u00a0\u2003x", "<|endoftext|>a", "x" * 20_000]
+    folder = "/root/testdata/sf0.01"
+    if os.path.isdir(folder):
+        texts += [t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    for t in texts:
+        assert e.ids(t).tolist() == e.slow.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_null_and_text_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), ("k", "c"), ("k", "c")], "doc_id string, text string")
+    assert sorted((p.doc_id or "", p.start) for p in packing.pack(docs, VOCABULARY, 4).collect() if p.start == 0) == [("", 0), ("k", 0), ("k", 0)]
