@@ -243,17 +243,24 @@ def file_uri(path: Column) -> Column:
     return F.when(path.rlike("^[a-z]+://"), path).when(path.startswith("/"), F.concat(F.lit("file://"), path)).otherwise(path)
 
 
+#: What a sentence is about, by the words it holds; the first kind that fits counts.
+SENTENCE_WORDS = {"decision": ("decided", "decision"), "task": ("todo", "task", "need to"), "fact": ("remember", "fact")}
+#: Which role a line of a tool trace belongs to, likewise.
+TRACE_WORDS = {"memory_steward": ("mark_attention",), "solver": ("response_context",), "critic": ("critique",), "retriever": ("memory_", "web_search", "retrieval")}
+
+
+def first_kind(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The first kind of a table of words of which the text holds one, else null."""
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    return F.coalesce(*[F.when(holds(words), F.lit(kind)) for kind, words in table.items()])
+
+
 def sentence_kind(sentence: Column) -> Column:
-    """decision, task, fact or null by keywords, tested in that order."""
-    low = F.lower(sentence)
-    return F.when(low.contains("decided") | low.contains("decision"), "decision").when(low.contains("todo") | low.contains("task") | low.contains("need to"), "task").when(low.contains("remember") | low.contains("fact"), "fact")
-
-
-def trace_role(line: Column) -> Column:
-    return (
-        F.when(line.contains("mark_attention"), "memory_steward")
-        .when(line.contains("response_context"), "solver")
-        .when(line.contains("critique") | line.rlike("^\\S+ round"), "critic")
-        .when(line.contains("memory_") | line.contains("web_search") | line.contains("retrieval"), "retriever")
-        .otherwise("planner")
-    )
+    """decision, task, fact or null."""
+    return first_kind(F.lower(sentence), SENTENCE_WORDS)
+
+
+def trace_role(line: Column, round_mark: str | None = None) -> Column:
+    """Role of a trace line; round_mark is what a line says that opens a critic's round, if lines do."""
+    table = TRACE_WORDS if round_mark is None else {**TRACE_WORDS, "critic": (*TRACE_WORDS["critic"], round_mark)}
+    return F.coalesce(first_kind(line, table), F.lit("planner"))

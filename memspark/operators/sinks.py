@@ -17,18 +17,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFram
     return existing.join(incoming.select(*key).distinct(), key, "left_anti").unionByName(incoming)
 
 
-def save_version(tables: dict[str, DataFrame], root: str, version: str) -> str:
+def save_version(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> str:
     """Write every table under root/version, then point to it; earlier versions stay as backups."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-        spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/_versions")
+    row = spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("saved_at"))
+    row.coalesce(1).write.mode("append").json(f"{root}/_versions")
     return version
 
 
 def load_version(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
+    """A table of a version, of the one saved last if none is named."""
     if version is None:
-        version = spark.read.schema("version string").json(f"{root}/_versions").agg(F.max("version")).first()[0]
+        version = spark.read.schema("version string, saved_at long").json(f"{root}/_versions").agg(F.max_by("version", F.struct("saved_at", "version"))).first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
 
 

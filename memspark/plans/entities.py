@@ -27,14 +27,24 @@ def lookup(c, table: dict):
     return out
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A table is dealt to all cores if it is larger than the first and has fewer bytes a core than the second.
+WORTH_BYTES, SMALL_BYTES = 1 << 20, 8 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The table, over all cores where its few files are too small for the scan to be split.
 
+    Larger tables stay as their scan deals them, so their texts pass no shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if WORTH_BYTES <= size < cores * SMALL_BYTES and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, title (first words), text, family and language."""
-    d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("document_id"), T.chunk_label(F.substring("text", 1, 200)).alias("title"), F.substring("text", 1, T.MAX_DOCUMENT_CHARS).alias("text"), T.slugify(F.col("source")).alias("family"), "lang")
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,17 +48,25 @@ def j16(spark, d):
     return E.findings(spark, d).filter(F.col("retrieved_at") + 10 * D.DAY <= NOW).select("page_id", "domain").join(pins, "page_id", "left_semi")
 
 
-@query("j18_provenance", "SELECT 'document' AS kind, doc_id::VARCHAR AS id, source AS origin FROM documents WHERE doc_id % 100 = 7 UNION ALL SELECT 'page', page_id::VARCHAR, url FROM pages WHERE page_id % 100 = 7 UNION ALL SELECT 'message', conv_id || '/' || turn, role FROM conversations WHERE conv_id = 7 UNION ALL SELECT 'access', event_id::VARCHAR, event_type FROM events WHERE event_id % 1000 = 7")
+_REFS = """refs AS (SELECT 'document' AS kind, user_id::VARCHAR AS id FROM events UNION SELECT 'document', doc_id::VARCHAR FROM labels UNION SELECT 'page', doc_id::VARCHAR FROM labels UNION SELECT 'message', conv_id || '/' || max(turn) FROM conversations GROUP BY conv_id
+  UNION SELECT 'access', max(event_id)::VARCHAR FROM events GROUP BY user_id UNION SELECT 'mark', doc_id::VARCHAR FROM labels UNION SELECT 'item', user_id::VARCHAR FROM events),
+known AS (SELECT 'document' AS kind, doc_id::VARCHAR AS id, source AS origin FROM documents UNION ALL SELECT 'page', page_id::VARCHAR, url FROM pages UNION ALL SELECT 'message', conv_id || '/' || turn, role FROM conversations
+  UNION ALL SELECT 'access', event_id::VARCHAR, event_type FROM events UNION ALL SELECT 'mark', doc_id::VARCHAR, CASE WHEN toxic = 1 THEN 'suppress' WHEN quality = 1 THEN 'promote' ELSE 'cold' END FROM labels UNION ALL SELECT 'item', item_id::VARCHAR, 'benchmark' FROM benchmark)"""
+
+
+@query("j18_provenance", f"WITH {_REFS} SELECT kind, id, origin FROM known SEMI JOIN refs USING (kind, id)")
 def j18(spark, d):
-    """Point look-ups over the entity kinds as one union; each filter reaches its scan."""
+    """All entities of six kinds that a table of references names: targets of accesses and marks, last messages and accesses."""
     e = lambda t: E.read(spark, d, t)
-    row = lambda df, kind, key, origin: df.select(F.lit(kind).alias("kind"), key.alias("id"), F.col(origin).alias("origin"))
-    return (
-        row(e("documents").filter("doc_id % 100 = 7"), "document", F.col("doc_id").cast("string"), "source")
-        .union(row(e("pages").filter("page_id % 100 = 7"), "page", F.col("page_id").cast("string"), "url"))
-        .union(row(e("conversations").filter("conv_id = 7"), "message", F.concat_ws("/", "conv_id", "turn"), "role"))
-        .union(row(e("events").filter("event_id % 1000 = 7"), "access", F.col("event_id").cast("string"), "event_type"))
-    )
+    text = lambda c: F.col(c).cast("string")
+    ref = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("id"))
+    row = lambda df, kind, key, origin: df.select(F.lit(kind).alias("kind"), key.alias("id"), origin.alias("origin"))
+    events, labels = e("events"), e("labels")
+    refs = ref(events, "document", text("user_id")).union(ref(labels, "document", text("doc_id"))).union(ref(labels, "page", text("doc_id"))).union(ref(labels, "mark", text("doc_id"))).union(ref(events, "item", text("user_id")))
+    refs = refs.union(ref(e("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn")), "message", F.concat_ws("/", "conv_id", "turn"))).union(ref(events.groupBy("user_id").agg(F.max("event_id").alias("event_id")), "access", text("event_id")))
+    known = row(e("documents"), "document", text("doc_id"), F.col("source")).union(row(e("pages"), "page", text("page_id"), F.col("url"))).union(row(e("conversations"), "message", F.concat_ws("/", "conv_id", "turn"), F.col("role")))
+    known = known.union(row(events, "access", text("event_id"), F.col("event_type"))).union(row(E.marks(spark, d), "mark", text("target_id"), F.col("action"))).union(row(e("benchmark"), "item", text("item_id"), F.lit("benchmark")))
+    return known.join(refs.distinct(), ["kind", "id"], "left_semi")
 
 
 @query("a5_document_centroids", f"""WITH {O.CHUNKS}, {O.embeddings('chunks', 'document_id, ordinal')}, x AS (SELECT document_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb)
@@ -115,14 +123,14 @@ def i4(spark, d):
 
 @query("i3_graph_search")
 def i3(spark, d):
-    """Greedy walks of the queries (ids divisible by 100) in every region's four-neighbour graph."""
+    """Greedy walks of the queries (ids divisible by 20) in every region's four-neighbour graph."""
     from memspark.operators.graph import semantic_links
     from memspark.operators.search import greedy_search
 
     e = E.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding")).alias("v"), "label")
     edges = semantic_links(e, -1.0, 4, "label").select(F.col("a").alias("id"), F.col("b").alias("neighbour"))
     rows = e.select(F.col("label").alias("region"), "id", F.col("id").alias("ordinal"), "v")
-    asked = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    asked = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     return greedy_search(asked, rows, edges.persist(), 5).select("query_id", "region", "id", "score", "rank")
 
 
@@ -258,8 +266,7 @@ def b9(spark, d):
 @query("t8_role_events", "SELECT conv_id, role_name, count(*) AS events FROM (SELECT conv_id, CASE WHEN text LIKE '%mark_attention%' THEN 'memory_steward' WHEN text LIKE '%response_context%' THEN 'solver' WHEN text LIKE '%critique%' THEN 'critic' WHEN role <> 'user' THEN 'retriever' ELSE 'planner' END AS role_name FROM conversations) GROUP BY ALL")
 def t8(spark, d):
     line = F.concat(F.when(F.col("role") != "user", "memory_search ").otherwise(""), "content")
-    plain = F.when(~F.col("content").rlike("^\\S+ round"), T.trace_role(line)).otherwise(F.when(F.col("role") != "user", "retriever").otherwise("planner"))
-    return E.messages(spark, d).groupBy(F.col("session_id").alias("conv_id"), plain.alias("role_name")).agg(F.count("*").alias("events"))
+    return E.messages(spark, d).groupBy(F.col("session_id").alias("conv_id"), T.trace_role(line).alias("role_name")).agg(F.count("*").alias("events"))
 
 
 @query("u6_missing_tasks", f"WITH {_RECORDS}, have AS (SELECT DISTINCT task FROM records WHERE split = 'eval' AND family = 'src1' AND chunk_id LIKE '1:%'), firsts AS (SELECT task, min(chunk_id) AS chunk_id FROM records WHERE split = 'test' GROUP BY task) SELECT task, chunk_id AS source_id FROM firsts WHERE task NOT IN (SELECT task FROM have)")

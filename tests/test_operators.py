@@ -44,9 +44,26 @@ def test_session_replay(spark):
 
 
 def test_gates(spark):
-    rows = [("query_to_region", "q", "route_region:x"), ("query_to_region", " ", "route_region:x"), ("recursive_sufficiency_eval", "", "sufficient:false next_action:x"), ("unknown", "", "x"), ("recursive_role_trace", "", "roles: planner critic")]
-    df = spark.createDataFrame(rows, "task string, input string, target string")
-    assert [r.ok for r in df.select(training.passes_gate(F.col("task"), F.col("input"), F.col("target")).alias("ok")).collect()] == [True, False, True, False, False]
+    """A passing target for each alternative of each task, and a failing one for each part left out."""
+    rows = [("query_to_region", " ", "route_region:x", False), ("query_to_region", None, "route_region:x", False), ("query_to_region", "q", "to route_region:x", False), ("unknown", "", "x", False), ("recursive_role_trace", "", "Roles: planner, CRITIC; latent_status:research_only", True), (None, "q", "x", False), ("web_needed_or_not", "q", None, False)]
+    for task, ways in training.GATES.items():
+        for way in ways:
+            parts = way.replace("^", "").split(" ")
+            rows.append((task, "q", "; ".join(parts), True))
+            rows += [(task, "q", "; ".join(p for p in parts if p != left), False) for left in parts]
+    df = spark.createDataFrame(rows, "task string, input string, target string, want boolean")
+    assert [r for r in df.withColumn("ok", training.passes_gate(F.col("task"), F.col("input"), F.col("target"))).collect() if r.ok != r.want] == []
+    assert training.evaluate(df.filter("task = 'query_to_region'")).first().score == round(1 / 5, 6)
+
+
+def test_j18_and_spread(spark, tmp_path):
+    from memspark.plans import entities
+
+    big = spark.range(400_000).selectExpr("id", "uuid() AS u").coalesce(1)
+    big.write.parquet(str(tmp_path / "big.parquet"))
+    assert entities.read(spark, str(tmp_path), "big").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "tiny.parquet"))
+    assert entities.read(spark, str(tmp_path), "tiny").count() == 5
 
 
 def test_chat_and_queue(spark):
@@ -61,9 +78,9 @@ def test_sinks(spark, tmp_path):
     both = sinks.upsert(a, spark.createDataFrame([(2, "z"), (3, "w")], "id long, v string"), ["id"])
     assert sorted(map(tuple, both.collect())) == [(1, "x"), (2, "z"), (3, "w")]
     root = str(tmp_path / "store")
-    sinks.save_version({"docs": a}, root, "0001")
-    sinks.save_version({"docs": both}, root, "0002")
-    assert sinks.load_version(spark, root, "docs").count() == 3 and sinks.load_version(spark, root, "docs", "0001").count() == 2
+    sinks.save_version(spark, {"docs": a}, root, "v9")
+    sinks.save_version(spark, {"docs": both}, root, "v10")
+    assert sinks.load_version(spark, root, "docs").count() == 3 and sinks.load_version(spark, root, "docs", "v9").count() == 2
     r = spark.createDataFrame([("t", "train", "in", "out"), ("t", "test", "i2", "o2")], "task string, split string, input string, target string")
     sinks.export_records(r, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
