@@ -1,38 +1,44 @@
 """Source-aware vector regions: farthest-first seeds per family and one assignment pass.
 
-Every step is a grouped reduction over all chunks of a family (min_by with map-side
-combining), at most three passes, so no family is gathered in one task.
+Vectors are written out once. Every step is a grouped reduction over them (min_by with
+map-side combining) that meets the few seeds of its family, so no family is gathered in one
+task and no similarity is carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.functions import vector as V
+from memspark.plans.scratch import written
 
 MAX_REGIONS = 4
 
 
+def _similarities(seeds: Column) -> Column:
+    return F.transform(seeds, lambda s: F.round(V.cosine(F.col("embedding"), s), 6))
+
+
 def assign_regions(chunks: DataFrame) -> DataFrame:
     """Adds region (0 to 3) within the family: the most similar seed, the first among equals.
 
     chunks: family, document_id, ordinal, embedding. Seeds: the lowest chunk, then the chunk
     whose largest similarity to the seeds is least. Similarities are rounded to six places.
-    Every pass reads the rows twice (for the seed, then against it), so they are persisted
-    with spill to disk; a lost block is recomputed.
     """
-    key = F.struct("document_id", "ordinal")
-    chunks = chunks.persist()
-    sizes = chunks.groupBy("family").agg(F.least(F.lit(MAX_REGIONS), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("k"), F.min_by("embedding", key).alias("seed0"))
-    rows = chunks.join(sizes, "family").withColumn("s0", F.round(V.cosine("embedding", "seed0"), 6)).drop("seed0").withColumn("near", F.col("s0"))
+    chunks = written(chunks, "region-vectors")
+    vectors = chunks.select("family", "document_id", "ordinal", "embedding")
+    first = vectors.groupBy("family").agg(F.least(F.lit(MAX_REGIONS), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("k"), F.min_by("embedding", F.struct("document_id", "ordinal")).alias("seed"))
+    seeds = written(first.select("family", "k", F.array("seed").alias("seeds")), "region-seeds")  # a row a family
     for i in range(1, MAX_REGIONS):
-        rows = rows.persist()
-        seed = rows.filter(F.col("k") > i).groupBy("family").agg(F.min_by("embedding", F.struct("near", "document_id", "ordinal")).alias("seed"))
-        rows = rows.join(seed, "family", "left").withColumn(f"s{i}", F.round(V.cosine("embedding", "seed"), 6)).drop("seed").withColumn("near", F.greatest("near", F.coalesce(f"s{i}", F.lit(-2.0))))
-    best = F.array(*[F.coalesce(f"s{i}", F.lit(-2.0)) for i in range(MAX_REGIONS)])
-    return rows.withColumn("region", (F.array_position(best, F.array_max(best)) - 1).cast("int")).select(*chunks.columns, "region")
+        near = F.array_max(_similarities(F.col("seeds"))).alias("near")
+        open_ = seeds.filter(F.col("k") > i)
+        far = vectors.join(open_, "family").select("family", "document_id", "ordinal", "embedding", near).groupBy("family").agg(F.min_by("embedding", F.struct("near", "document_id", "ordinal")).alias("seed"))
+        more = seeds.join(far, "family", "left")
+        seeds = written(more.select("family", "k", F.when(F.col("seed").isNull(), F.col("seeds")).otherwise(F.concat("seeds", F.array("seed"))).alias("seeds")), "region-seeds")
+    best = _similarities(F.col("seeds"))
+    return chunks.join(seeds, "family").withColumn("near", best).withColumn("region", (F.array_position("near", F.array_max("near")) - 1).cast("int")).select(*chunks.columns, "region")
 
 
 def top_terms(chunks: DataFrame, keys: list[str], k: int = 3) -> DataFrame:

@@ -1,35 +1,91 @@
 """Routing and hybrid retrieval for batches of queries.
 
-Query texts are a stated set and come in blocks: a block's vectors and tokens go to every
-task, chunks are read once a block, and each Arrow batch returns only the best rows per
-query, so no query-by-chunk product is ever made as rows.
+Query texts are a stated set: their vectors and tokens go to every task, chunks are read,
+tokenized and embedded once, and the queries meet them in blocks as matrix products. Each
+step returns only the best rows per query, so no query-by-chunk product is made as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.functions import vector as V
 
-BLOCK = 512
+#: Queries and chunks of one matrix product.
+BLOCK, ROWS = 512, 1000
 
 
-def _blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
-    """Rows of the query set, at most size at a time on the driver."""
-    held = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+class Asked:
+    """A block of queries: ids, vectors, and how often each holds each word of the whole set's vocabulary."""
+
+    def __init__(self, rows: list, words: dict[str, int]) -> None:
+        self.ids = np.array([r["query_id"] for r in rows])
+        self.sizes = np.array([max(1, len(r["tokens"])) for r in rows])
+        self.vectors = np.array([r["v"] for r in rows]) if rows[0]["v"] is not None else None
+        own = sorted({words[t] for r in rows for t in r["tokens"]})
+        self.column = np.full(len(words) + 1, -1)
+        self.column[own] = np.arange(len(own))
+        self.uses = np.zeros((len(own), len(rows)), np.float32)
+        for q, r in enumerate(rows):
+            for t in r["tokens"]:
+                self.uses[self.column[words[t]], q] += 1
+
+    def overlap(self, row: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """Share of each query's tokens that each of n chunks holds; (row, word) are the chunks' distinct words."""
+        at = self.column[word]
+        held = np.zeros((n, len(self.uses)), np.float32)
+        held[row[at >= 0], at[at >= 0]] = 1
+        return (held @ self.uses).astype(np.float64) / self.sizes
+
+
+def _best(rows: DataFrame, queries: DataFrame, k: int, score: Callable) -> DataFrame:
+    """The k rows (document_id, ordinal, tokens, embedding) that score best per query (query_id, tokens, v); only scores above 0."""
+    spark = rows.sparkSession
+    asked = queries.orderBy("query_id").collect()
+    if not asked:
+        return spark.createDataFrame([], "query_id long, document_id long, ordinal int, score double, rank int")
+    words = {w: i for i, w in enumerate(sorted({t for r in asked for t in r["tokens"]}))}
+    blocks = [Asked(asked[i : i + BLOCK], words) for i in range(0, len(asked), BLOCK)]
+    shared = spark.sparkContext.broadcast((list(words), blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, blocks = shared.value
+        known = pa.array(names, pa.string())
+        for whole in batches:
+            for begin in range(0, len(whole), ROWS):
+                batch = whole.slice(begin, ROWS)
+                n = len(batch)
+                word = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=known), len(names)).to_numpy()
+                row = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy())
+                x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if batch.column(3).null_count == 0 else None
+                doc, ordinal = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for block in blocks:
+                    value = np.round(score(block, x, block.overlap(row, word, n)), 6)
+                    found = []
+                    for q in range(len(block.ids)):
+                        own = value[:, q]
+                        least = np.partition(own, n - k)[n - k] if n > k else -np.inf
+                        pick = np.flatnonzero((own >= least) & (own > 0))
+                        pick = pick[np.lexsort((ordinal[pick], doc[pick], -own[pick]))[:k]]
+                        found.append((np.full(len(pick), q), pick))
+                    q, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(block.ids[q], pa.int64()), pa.array(doc[c], pa.int64()), pa.array(ordinal[c], pa.int32()), pa.array(value[c, q])], ["query_id", "document_id", "ordinal", "score"])
+
+    found = rows.mapInArrow(run, "query_id long, document_id long, ordinal int, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _tokens() -> Column:
+    return F.array_distinct(T.tokenize(F.col("text"))).alias("tokens")
 
 
 def hybrid_scores(chunks: DataFrame, queries: DataFrame, k: int, floor: float = 0.05) -> DataFrame:
@@ -38,93 +94,47 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, k: int, floor: float =
     chunks: document_id, ordinal, text, embedding; queries: query_id, text. Scores are
     rounded to six places; ties go to the smaller document, then ordinal.
     """
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    asked = queries.select("query_id", T.tokenize(F.col("text")).alias("tokens"), V.embed(F.col("text")).alias("v")).orderBy("query_id")
-    rows = chunks.select("document_id", "ordinal", F.array_distinct(T.tokenize(F.col("text"))).alias("tokens"), "embedding")
-    parts = []
-    for block in _blocks(asked):
-        uses: dict[str, list[tuple[int, float]]] = {}
-        for q, r in enumerate(block):
-            for t in r["tokens"]:
-                uses.setdefault(t, []).append((q, 1 / len(r["tokens"])))
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), np.array([r["v"] for r in block]), uses))
+    asked = queries.select("query_id", T.tokenize(F.col("text")).alias("tokens"), V.embed(F.col("text")).alias("v"))
+    rows = chunks.select("document_id", "ordinal", _tokens(), "embedding")
+    return _best(rows, asked, k, lambda b, x, lex: np.maximum(0.7 * (x @ b.vectors.T) + 0.3 * lex, np.where(lex > 0, np.maximum(lex, floor), 0)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors, uses = shared.value
-            for batch in batches:
-                n = len(batch)
-                if not n:
-                    continue
-                x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                lex = np.zeros((n, len(ids)))
-                for i, tokens in enumerate(batch.column(2).to_pylist()):
-                    for t in tokens:
-                        for q, share in uses.get(t, ()):
-                            lex[i, q] += share
-                score = np.round(np.maximum(0.7 * (x @ vectors.T) + 0.3 * lex, np.where(lex > 0, np.maximum(lex, floor), 0)), 6)
-                doc, ordinal = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                top = np.stack([np.lexsort((ordinal, doc, -score[:, q]))[:k] for q in range(len(ids))])
-                q = np.repeat(np.arange(len(ids)), top.shape[1])
-                c = top.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(doc[c], pa.int64()), pa.array(ordinal[c], pa.int32()), pa.array(score[c, q])], ["query_id", "document_id", "ordinal", "score"])
 
-        parts.append(rows.mapInArrow(run, "query_id long, document_id long, ordinal int, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, document_id long, ordinal int, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best k rows per query by cosine of hash embeddings alone; rows: document_id, ordinal, text."""
+    asked = queries.select("query_id", F.array().cast("array<string>").alias("tokens"), V.embed(F.col("text")).alias("v"))
+    rows = rows.select("document_id", "ordinal", F.array().cast("array<string>").alias("tokens"), V.embed(F.col("text")).alias("embedding"))
+    return _best(rows, asked, k, lambda b, x, lex: x @ b.vectors.T)
 
 
 def lexical_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k chunks per query by lexical overlap alone, as an equi-join on tokens.
-
-    Each query token (with its repeats) joins the chunks' distinct tokens; hits add up map-side.
-    """
-    asked = queries.select("query_id", F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("uses"))
-    sizes = asked.groupBy("query_id").agg(F.sum("uses").alias("size"))
-    held = chunks.select("document_id", "ordinal", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
-    hits = held.join(asked, "token").groupBy("query_id", "document_id", "ordinal").agg(F.sum("uses").alias("hits")).join(sizes, "query_id")
-    scored = hits.select("query_id", "document_id", "ordinal", F.round(F.col("hits") / F.col("size"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """Best k chunks per query by lexical overlap alone, of those that share a word."""
+    none = F.lit(None).cast("array<double>")
+    asked = queries.select("query_id", T.tokenize(F.col("text")).alias("tokens"), none.alias("v"))
+    return _best(chunks.select("document_id", "ordinal", _tokens(), none.alias("embedding")), asked, k, lambda b, x, lex: lex)
 
 
 def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where an item's text occurs verbatim in a document; empty items occur nowhere.
 
-    The items are a stated set: each block of them is one automaton, run once over every text.
+    The items are a stated set: they are one automaton, run once over every text.
     """
     import ahocorasick
 
-    spark = texts.sparkSession
-    asked = items.filter("text is not null and text <> ''").select("item_id", "text").orderBy("item_id")
-    parts = []
-    for block in _blocks(asked):
-        same: dict[str, list[int]] = {}
-        for r in block:
-            same.setdefault(r["text"], []).append(r["item_id"])
-        shared = spark.sparkContext.broadcast(same)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = ahocorasick.Automaton()
-            for text, ids in shared.value.items():
-                words.add_word(text, ids)
-            words.make_automaton()
-            for batch in batches:
-                found = {(i, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, ids in words.iter(text or "") for i in ids}
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["item_id", "doc_id"])
-
-        parts.append(texts.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long"))
-    if not parts:
-        return spark.createDataFrame([], "item_id long, doc_id long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    same: dict[str, list[int]] = {}
+    for r in items.filter("text is not null and text <> ''").select("item_id", "text").orderBy("item_id").collect():
+        same.setdefault(r["text"], []).append(r["item_id"])
+    shared = texts.sparkSession.sparkContext.broadcast(same)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ahocorasick.Automaton()
+        for text, ids in shared.value.items():
+            words.add_word(text, ids)
+        words.make_automaton()
+        for batch in batches:
+            found = {(i, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, ids in words.iter(text or "") for i in ids} if shared.value else set()
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["item_id", "doc_id"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
 
 
 def route_score(tokens: Column, label: Column, summary: Column, filters: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from memspark import oracle as O
@@ -13,6 +10,7 @@ from memspark.operators import chat as C
 from memspark.operators import library as L
 from memspark.operators import retrieval as R
 from memspark.plans import entities as E
+from memspark.plans.scratch import shared_path
 from memspark.registry import query
 from memspark.streaming import accesses as A
 
@@ -124,8 +122,7 @@ def b7(spark, d):
 
 
 def _paths(spark, tag):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/memspark"
-    root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    root = shared_path(spark, tag)
     return f"{root}/out", f"{root}/state"
 
 

@@ -131,7 +131,7 @@ def i3(spark, d):
     edges = semantic_links(e, -1.0, 4, "label").select(F.col("a").alias("id"), F.col("b").alias("neighbour"))
     rows = e.select(F.col("label").alias("region"), "id", F.col("id").alias("ordinal"), "v")
     asked = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return greedy_search(asked, rows, edges.persist(), 5).select("query_id", "region", "id", "score", "rank")
+    return greedy_search(asked, rows, edges, 5).select("query_id", "region", "id", "score", "rank")
 
 
 @query("a21_single_folder", "SELECT host, CASE WHEN count(DISTINCT folder) = 1 THEN min(folder) END AS folder FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, split_part(split_part(url, '://', 2), '/', 2) AS folder FROM pages) GROUP BY host")
