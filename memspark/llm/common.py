@@ -18,8 +18,17 @@ STEP_BYTES = 1 << 20
 BATCH_ROWS = 500
 
 
+#: A table is dealt to all cores if it is larger than the first and has fewer bytes a core than the second.
+WORTH_BYTES, SMALL_BYTES = 1 << 20, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of few small files, which a scan can't split, is dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    small = WORTH_BYTES <= size < cores * SMALL_BYTES and len(df.inputFiles()) < cores
+    return df.repartition(cores) if small else df
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

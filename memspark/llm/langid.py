@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memspark.llm.common import slices
+from memspark.llm.common import materialize, slices
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -146,13 +146,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on rows that aren't held out and have a language and a letter."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("draw", F.xxhash64(F.lit("langid"), "id"))
-    langs = labelled.select("lang").distinct().count()
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    langs = counts.count()
     if not langs:
         return fit_rows([])
     rows = min(per_lang, max(LEAST, total // langs))
-    # The draws go first, without texts; the last draw of each language then picks the rows.
-    last = first_rows(labelled.select("lang", "draw"), "lang", [F.col("draw")], rows).groupBy("lang").agg(F.max("draw").alias("last"))
-    sample = labelled.join(last.select(F.col("lang").alias("of"), "last"), (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("last"))).select("draw", "lang", "text")
+    # Four times the rows are drawn by hash, without texts; their smallest hashes then pick the rows.
+    counts = F.broadcast(counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n")).alias("part")))  # a row a language, fewer than the fit's rows
+    drawn = labelled.select("lang", "draw").join(counts, F.col("lang") == F.col("of")).filter(F.col("draw").cast("double") / 2.0**64 + 0.5 <= F.col("part")).select("lang", "draw")
+    last = first_rows(drawn, "lang", [F.col("draw")], rows).groupBy("lang").agg(F.max("draw").alias("last"))
+    last = F.broadcast(last.select(F.col("lang").alias("of"), "last"))
+    sample = labelled.join(last, (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("last"))).select("draw", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
