@@ -62,11 +62,15 @@ def j7(spark, d):
     return L.canonical_pairs(L.semantic_links(_unit(spark, d), 0.25, 2, "label"))
 
 
-@query("g6_chunk_links")
+_CHUNK_LINKS = f"""{O.embeddings('chunks', 'document_id, ordinal')}, ev AS (SELECT document_id * {T.MAX_CHUNKS} + ordinal AS id, family, v FROM emb JOIN chunks USING (document_id, ordinal)),
+cl AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')}, 6) AS score FROM ev x JOIN ev y ON x.family = y.family AND x.id <> y.id WHERE round({O.dot('x.v', 'y.v')}, 6) >= 0.72 QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) <= 3) GROUP BY 1, 2)"""
+
+
+@query("g6_chunk_links", f"WITH {O.CHUNKS}, {_CHUNK_LINKS} SELECT a, b, score FROM cl")
 def g6(spark, d):
     """Chunks of one source with similarity of 0.72 or more: three best, each pair once."""
     c = E.embedded_chunks(spark, d).select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v"), "family")
-    return L.canonical_pairs(L.semantic_links(c, 0.72, 3, "family")).select("a", "b", F.round("score", 4).alias("score"))
+    return L.canonical_pairs(L.semantic_links(c, 0.72, 3, "family"))
 
 
 _ENT = rf"""t AS (SELECT DISTINCT item_id, lower(w) AS e FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{M}}\p{{N}}_-]+')) AS w FROM benchmark) WHERE (regexp_matches(w, '^[A-Z]+$') OR (regexp_matches(w, '^[A-Z]') AND regexp_matches(w, '^.+[a-z]'))) AND strlen(w) >= 4 AND lower(w) NOT IN {O.in_list(T.ENTITY_STOP_WORDS)})"""

@@ -227,7 +227,14 @@ def a27(spark, d):
     return E.read(spark, d, "embeddings").groupBy("label").agg(at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 
 
-@query("h2_vector_hash")
+#: Bits of a 32-bit float from its exponent and mantissa, which doubles hold exactly.
+_BITS = "CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + (e + 127) * 8388608 + ((abs(x) / pow(2.0, e) - 1) * 8388608)::BIGINT END"
+_EXPONENT = "CASE WHEN x = 0 THEN 0 WHEN pow(2.0, floor(log2(abs(x)))) > abs(x) THEN floor(log2(abs(x)))::BIGINT - 1 WHEN pow(2.0, floor(log2(abs(x))) + 1) <= abs(x) THEN floor(log2(abs(x)))::BIGINT + 1 ELSE floor(log2(abs(x)))::BIGINT END"
+
+
+@query("h2_vector_hash", f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), b AS (SELECT vec_id, i, {_BITS} AS bits FROM (SELECT *, {_EXPONENT} AS e FROM x)),
+v AS (SELECT vec_id, list(bits ORDER BY i) AS l FROM b GROUP BY vec_id)
+SELECT vec_id, lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, [((l[(j // 4 + 1)::INT] >> (8 * (j % 4))::INT) & 255)::HUGEINT for j in range(4 * len(l))]), lambda h, y: (xor(h, y) * 1099511628211) % 18446744073709551616)::UBIGINT), 16, '0')) AS digest FROM v""")
 def h2(spark, d):
     return E.read(spark, d, "embeddings").select("vec_id", H.fnv1a_floats("embedding").alias("digest"))
 

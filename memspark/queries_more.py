@@ -12,6 +12,7 @@ from memspark.functions import vector as V
 from memspark.operators import knowledge as K
 from memspark.operators.digests import group_digest, group_digest_sql
 from memspark.plans import entities as E
+from memspark.queries_graph import _PAIRS
 from memspark.queries_training import _RECORDS, records
 from memspark.registry import query
 
@@ -121,7 +122,16 @@ def i4(spark, d):
     return E.read(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.countDistinct("label").alias("regions"), F.when(n == 1, F.min(F.size("embedding"))).alias("dimension"))
 
 
-@query("i3_graph_search")
+_WALKS = f"""{_PAIRS}, near AS (SELECT a AS id, b AS neighbour FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 4),
+u AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+sim AS (SELECT q.id AS query_id, r.id, round(list_inner_product(q.v, r.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(r.v, r.v))), 6) AS s FROM u q, u r WHERE q.id % 20 = 0),
+walks AS (SELECT query_id, region, sim.id, s AS score, 0 AS hop FROM sim JOIN (SELECT label AS region, min(id) AS id FROM u GROUP BY label) USING (id)
+UNION ALL SELECT query_id, region, -best.m AS id, best.s AS score, hop FROM (SELECT w.query_id, w.region, w.hop + 1 AS hop, w.score AS was, max({{'s': sim.s, 'm': -near.neighbour}}) AS best FROM walks w JOIN near ON near.id = w.id JOIN sim ON sim.query_id = w.query_id AND sim.id = near.neighbour GROUP BY ALL) WHERE best.s > was),
+ends AS (SELECT query_id, region, id, score FROM walks QUALIFY row_number() OVER (PARTITION BY query_id, region ORDER BY hop DESC) = 1),
+around AS (SELECT * FROM ends UNION SELECT e.query_id, region, neighbour, s FROM ends e JOIN near USING (id) JOIN sim ON sim.query_id = e.query_id AND sim.id = neighbour)"""
+
+
+@query("i3_graph_search", f"WITH RECURSIVE {_WALKS} SELECT query_id, region, id, score, (row_number() OVER (PARTITION BY query_id, region ORDER BY score DESC, id))::INT AS rank FROM around QUALIFY rank <= 5")
 def i3(spark, d):
     """Greedy walks of the queries (ids divisible by 20) in every region's four-neighbour graph."""
     from memspark.operators.graph import semantic_links

@@ -17,14 +17,19 @@ from memspark.registry import query
 NOW = E.NOW_MS
 K = 8
 
-_HYBRID = f"""{O.CHUNKS}, {O.embeddings('chunks', 'document_id, ordinal')},
-asked AS (SELECT item_id, text, {O.tokens('text')} AS q FROM benchmark), {O.embeddings('asked', 'item_id', 'qe')},
+def hybrid_sql(asked: str = "SELECT item_id, text FROM benchmark", k: int = K) -> str:
+    """CTEs up to hits(item_id, document_id, ordinal, score, rank) for a query set (item_id, text)."""
+    return f"""{O.CHUNKS}, {O.embeddings('chunks', 'document_id, ordinal')},
+asked AS (SELECT item_id, text, {O.tokens('text')} AS q FROM ({asked})), {O.embeddings('asked', 'item_id', 'qe')},
 qtok AS (SELECT item_id, tok, count(*) AS uses FROM (SELECT item_id, unnest(q) AS tok FROM asked) GROUP BY ALL),
 ctok AS (SELECT DISTINCT document_id, ordinal, tok FROM emb_tok),
 lex AS (SELECT item_id, document_id, ordinal, sum(uses)::DOUBLE / any_value(len(q)) AS lex FROM ctok JOIN qtok USING (tok) JOIN asked USING (item_id) GROUP BY ALL),
 scored AS (SELECT q.item_id, c.document_id, c.ordinal, coalesce(lex, 0) AS lex, {O.dot('q.v', 'c.v')} AS cos FROM qe q CROSS JOIN emb c LEFT JOIN lex l ON l.item_id = q.item_id AND l.document_id = c.document_id AND l.ordinal = c.ordinal),
 final AS (SELECT item_id, document_id, ordinal, round(greatest(0.7 * cos + 0.3 * lex, CASE WHEN lex > 0 THEN greatest(lex, 0.05) ELSE 0 END), 6) AS score FROM scored),
-hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id, ordinal) AS rank FROM final QUALIFY rank <= {K})"""
+hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id, ordinal) AS rank FROM final WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+_HYBRID = hybrid_sql()
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -97,18 +102,24 @@ def r6(spark, d):
     return f.select("page_id", F.round(S.source_signal(F.lit("web_finding"), F.lit(0.58), conf, at, at + 2_592_000_000, NOW), 6).alias("signal"))
 
 
-_SEED = "round(list_inner_product(c.embedding, s.embedding) / (sqrt(list_inner_product(c.embedding, c.embedding)) * sqrt(list_inner_product(s.embedding, s.embedding))), 6)"
-_REGIONS = f"""e AS (SELECT 'l' || label AS family, vec_id AS document_id, embedding::DOUBLE[] AS embedding FROM embeddings),
-k AS (SELECT family, least(4, ceil(sqrt(count(*))))::INT AS k FROM e GROUP BY family),
-seed0 AS (SELECT family, arg_min(embedding, document_id) AS embedding FROM e GROUP BY family),
-r0 AS (SELECT c.*, {_SEED} AS s0 FROM e c JOIN seed0 s USING (family)),
-seed1 AS (SELECT family, arg_min(embedding, (s0, document_id)) AS embedding FROM r0 JOIN k USING (family) WHERE k > 1 GROUP BY family),
-r1 AS (SELECT c.*, {_SEED} AS s1 FROM r0 c LEFT JOIN seed1 s USING (family)),
-seed2 AS (SELECT family, arg_min(embedding, (greatest(s0, coalesce(s1, -2)), document_id)) AS embedding FROM r1 JOIN k USING (family) WHERE k > 2 GROUP BY family),
-r2 AS (SELECT c.*, {_SEED} AS s2 FROM r1 c LEFT JOIN seed2 s USING (family)),
-seed3 AS (SELECT family, arg_min(embedding, (greatest(s0, coalesce(s1, -2), coalesce(s2, -2)), document_id)) AS embedding FROM r2 JOIN k USING (family) WHERE k > 3 GROUP BY family),
-r3 AS (SELECT c.*, {_SEED} AS s3 FROM r2 c LEFT JOIN seed3 s USING (family)),
-regions AS (SELECT family, document_id, embedding, (list_position([s0, coalesce(s1, -2), coalesce(s2, -2), coalesce(s3, -2)], greatest(s0, coalesce(s1, -2), coalesce(s2, -2), coalesce(s3, -2))) - 1)::INT AS region FROM r3)"""
+def regions_sql(rows: str, tie: str = "document_id") -> str:
+    """CTEs from e (family, document_id, ..., embedding) to regions with a region number; tie tells rows apart."""
+    dot = "list_inner_product"
+    near = f"CASE WHEN {dot}(c.embedding, c.embedding) * {dot}(s.embedding, s.embedding) = 0 THEN 0 ELSE round({dot}(c.embedding, s.embedding) / (sqrt({dot}(c.embedding, c.embedding)) * sqrt({dot}(s.embedding, s.embedding))), 6) END"
+    parts = [f"e AS ({rows})", "k AS (SELECT family, least(4, ceil(sqrt(count(*))))::INT AS k FROM e GROUP BY family)", f"seed0 AS (SELECT family, arg_min(embedding, ({tie}, 0)) AS embedding FROM e GROUP BY family)", f"r0 AS (SELECT c.*, {near} AS s0 FROM e c JOIN seed0 s USING (family))"]
+    for i in range(1, 4):
+        seen = "greatest(" + ", ".join(f"coalesce(s{j}, -2)" for j in range(i)) + ")"
+        parts.append(f"seed{i} AS (SELECT family, arg_min(embedding, ({seen}, {tie})) AS embedding FROM r{i - 1} JOIN k USING (family) WHERE k > {i} GROUP BY family)")
+        parts.append(f"r{i} AS (SELECT c.*, CASE WHEN s.embedding IS NOT NULL THEN {near} END AS s{i} FROM r{i - 1} c LEFT JOIN seed{i} s USING (family))")
+    best = ", ".join(f"coalesce(s{j}, -2)" for j in range(4))
+    parts.append(f"regions AS (SELECT * EXCLUDE (s0, s1, s2, s3), (list_position([{best}], greatest({best})) - 1)::INT AS region FROM r3)")
+    return ",\n".join(parts)
+
+
+_REGIONS = regions_sql("SELECT 'l' || label AS family, vec_id AS document_id, embedding::DOUBLE[] AS embedding FROM embeddings")
+#: All chunks with their vectors, zero ones included.
+ALL_VECTORS = "SELECT family, document_id, ordinal, text, coalesce(v, [0::DOUBLE for i in range(64)]) AS embedding FROM chunks LEFT JOIN emb USING (document_id, ordinal)"
+_CHUNK_REGIONS = f"{O.CHUNKS}, {O.embeddings('chunks', 'document_id, ordinal')}, {regions_sql(ALL_VECTORS, 'document_id, ordinal')}"
 
 
 def label_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +132,7 @@ def c3(spark, d):
     return label_regions(spark, d).select("family", F.col("document_id").alias("vec_id"), "region")
 
 
-@query("c3_chunk_regions")
+@query("c3_chunk_regions", f"WITH {_CHUNK_REGIONS} SELECT family, region, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM regions GROUP BY ALL")
 def c3_chunks(spark, d):
     """The same over all chunks' hash embeddings."""
     return G.assign_regions(E.embedded_chunks(spark, d)).groupBy("family", "region").agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"))
@@ -136,7 +147,9 @@ def c8(spark, d):
     return G.neighbours(cards)
 
 
-@query("c6_region_cards")
+@query("c6_region_cards", f"""WITH {_CHUNK_REGIONS}, terms AS (SELECT family, region, term, row_number() OVER (PARTITION BY family, region ORDER BY count(*) DESC, term) AS n FROM (SELECT family, region, unnest({O.tokens('text')}) AS term FROM regions) WHERE term NOT IN {O.STOP} GROUP BY family, region, term QUALIFY n <= 3),
+named AS (SELECT family, region, string_agg(term, ' / ' ORDER BY n) AS terms FROM terms GROUP BY ALL), sizes AS (SELECT family, region, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM regions GROUP BY ALL)
+SELECT family, region, chunks, documents, left(upper(family[1]) || family[2:] || ': ' || coalesce(terms, 'memory'), 72) AS label, 'Hierarchical source-aware region with semantic terms ' || coalesce(terms, 'memory') || '; source type ' || family AS summary FROM sizes LEFT JOIN named USING (family, region)""")
 def c6(spark, d):
     """Regions of all chunks with label, summary and size."""
     return G.region_cards(G.assign_regions(E.embedded_chunks(spark, d))).select("family", "region", "chunks", "documents", "label", "summary")

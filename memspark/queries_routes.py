@@ -70,7 +70,12 @@ def n6(spark, d):
     return named.join(c, ["document_id", "ordinal"]).select("anchor", "document_id", "ordinal", "start", "end")
 
 
-@query("n14_trail_lengths")
+@query("n14_trail_lengths", """WITH RECURSIVE e AS (SELECT user_id AS session_id, CASE WHEN event_type = 'error' THEN 'back' ELSE 'open' END AS action, 'n' || (event_id % 50) AS node, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT session_id, 0::BIGINT AS k, NULL::VARCHAR AS current, []::VARCHAR[] AS history, []::VARCHAR[] AS visited FROM (SELECT DISTINCT session_id FROM e)
+UNION ALL SELECT session_id, k, current, history, CASE WHEN current IS NULL OR list_contains(visited, current) THEN visited ELSE list_append(visited, current) END FROM (SELECT s.session_id, e.k, CASE WHEN e.action = 'back' THEN coalesce(s.history[-1], s.current) ELSE e.node END AS current,
+CASE WHEN e.action = 'back' THEN CASE WHEN len(s.history) > 0 THEN s.history[:-2] ELSE s.history END WHEN s.current IS NULL THEN s.history ELSE list_append(s.history, s.current) END AS history, s.visited FROM s JOIN e ON e.session_id = s.session_id AND e.k = s.k + 1)),
+t AS (SELECT session_id, list_distinct(list_append(history, current)) AS trail, len(history) AS n, current, history, visited FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1)
+SELECT session_id, (len(trail) + CASE WHEN current IS NULL THEN 1 ELSE 0 END)::INT AS steps, len(list_filter(visited, lambda v: NOT list_contains(trail, v)))::INT AS left_out FROM t""")
 def n14(spark, d):
     """Trails of navigation sessions: the history, the current node and how many others were visited."""
     e = E.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "back").otherwise("open").alias("action"), F.concat(F.lit("n"), F.col("event_id") % 50).alias("node"))
