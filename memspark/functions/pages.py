@@ -30,8 +30,10 @@ def remove_blocks(html: Column, tag: str) -> Column:
     return F.regexp_replace(F.regexp_replace(html, f"(?is)<{tag}.*?</{tag}>", ""), f"(?is)<{tag}.*$", "")
 
 
-def page_text(html: Column, size: int = MAX_BODY) -> Column:
-    return F.substring(collapse(decode_entities(strip_tags(remove_blocks(remove_blocks(html, "script"), "style")))), 1, size)
+def page_text(html: Column, size: int | None = MAX_BODY) -> Column:
+    """The text of a page, whole or its first characters."""
+    text = collapse(decode_entities(strip_tags(remove_blocks(remove_blocks(html, "script"), "style"))))
+    return text if size is None else F.substring(text, 1, size)
 
 
 def url_domain(url: Column) -> Column:

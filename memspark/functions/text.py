@@ -49,24 +49,24 @@ def lexical_overlap(query_tokens: Column, doc_tokens: Column) -> Column:
     return F.when((n <= 0) | (F.size(doc_tokens) <= 0), F.lit(0.0)).otherwise(hit / n)
 
 
-def chunk_count(text: Column) -> Column:
+def chunk_count(text: Column, max_chars: int = MAX_DOCUMENT_CHARS, max_chunks: int = MAX_CHUNKS) -> Column:
     """Number of windows, from the length alone."""
-    n = F.least(F.length(text), F.lit(MAX_DOCUMENT_CHARS))
-    return F.when(n > 0, F.least(F.lit(MAX_CHUNKS), 1 + F.greatest(F.lit(0), F.ceil((n - CHUNK_CHARS) / CHUNK_STRIDE)))).otherwise(0).cast("int")
+    n = F.least(F.length(text), F.lit(max_chars))
+    return F.when(n > 0, F.least(F.lit(max_chunks), 1 + F.greatest(F.lit(0), F.ceil((n - CHUNK_CHARS) / CHUNK_STRIDE)))).otherwise(0).cast("int")
 
 
-def chunk_structs(text: Column, with_text: bool = True) -> Column:
+def chunk_structs(text: Column, with_text: bool = True, max_chars: int = MAX_DOCUMENT_CHARS, max_chunks: int = MAX_CHUNKS) -> Column:
     """Overlapping windows as structs (ordinal, start, end, text); without texts only lengths are read."""
-    n = F.least(F.length(text), F.lit(MAX_DOCUMENT_CHARS))
+    n = F.least(F.length(text), F.lit(max_chars))
 
     def one(i: Column) -> Column:
         start = i * CHUNK_STRIDE
         fields = [i.alias("ordinal"), start.alias("start"), F.least(n, start + CHUNK_CHARS).alias("end")]
         if with_text:
-            fields.append(F.substring(text, start + 1, F.least(F.lit(CHUNK_CHARS), F.lit(MAX_DOCUMENT_CHARS) - start)).alias("text"))
+            fields.append(F.substring(text, start + 1, F.least(F.lit(CHUNK_CHARS), F.lit(max_chars) - start)).alias("text"))
         return F.struct(*fields)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), chunk_count(text) - 1), one))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), chunk_count(text, max_chars, max_chunks) - 1), one))
 
 
 def excerpt(text: Column, start: Column, end: Column, pad: int) -> Column:

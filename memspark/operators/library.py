@@ -99,3 +99,34 @@ def reconcile(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming documents adopt the id that their file hash has already (the last existing one)."""
     known = existing.groupBy("file_hash").agg(F.max("id").alias("known_id"))
     return incoming.join(known, "file_hash", "left").withColumn("id", F.coalesce("known_id", "id")).drop("known_id")
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, trained: Column) -> DataFrame:
+    """Rows of each table (doc_id) before and after documents go, and whether a model was trained on one of them."""
+    marked = gone.select("doc_id").distinct().withColumn("gone", F.lit(True))
+    rows = None
+    for kind, table in tables.items():
+        part = table.select(F.lit(kind).alias("kind"), "doc_id")
+        rows = part if rows is None else rows.union(part)
+    stale = tables["documents"].join(marked, "doc_id", "left_semi").agg(F.coalesce(F.bool_or(trained), F.lit(False)).alias("model_stale"))
+    counts = rows.join(marked, "doc_id", "left").groupBy("kind").agg(F.count("*").alias("before"), F.count_if(F.col("gone").isNull()).alias("after"))
+    return counts.join(F.broadcast(stale))  # one row
+
+
+def rebuild(documents: DataFrame, chunks: DataFrame, present: DataFrame, deleted: DataFrame, cached: DataFrame) -> DataFrame:
+    """Per fate (kept, missing, deleted): documents, chunks, and how many of these reuse a cached vector or need one.
+
+    documents, present, deleted: doc_id; chunks: doc_id, text_hash; cached: text_hash.
+    """
+    flag = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    fate = documents.join(flag(present, "doc_id", "present"), "doc_id", "left").join(flag(deleted, "doc_id", "deleted"), "doc_id", "left")
+    fate = fate.select("doc_id", F.when(F.col("deleted"), "deleted").when(F.col("present").isNull(), "missing").otherwise("kept").alias("fate"))
+    known = chunks.join(flag(cached, "text_hash", "hit"), "text_hash", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    live = F.col("fate") != "deleted"
+    per = fate.join(known, "doc_id", "left").groupBy("fate")
+    return per.agg(F.countDistinct("doc_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.when(live, F.col("hits"))), F.lit(0)).alias("reused"), F.coalesce(F.sum(F.when(live, F.col("n") - F.col("hits"))), F.lit(0)).alias("embedded"))
+
+
+def audited(writes: DataFrame, event: str) -> DataFrame:
+    """The audit events of writes (kind, target_id, payload); an event's id follows from what was written."""
+    return writes.select("kind", F.lit(event).alias("event"), "target_id", F.md5(F.concat_ws(":", "kind", "target_id", "payload")).alias("event_id"))

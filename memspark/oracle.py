@@ -53,8 +53,9 @@ ACCESSES = f"""accesses AS (SELECT event_id, user_id AS target_id, {case('event_
 ACCESS_WEIGHT = case("kind", ACCESS_WEIGHTS)
 MARKS = "marks AS (SELECT doc_id AS target_id, CASE WHEN toxic = 1 THEN 'suppress' WHEN quality = 1 THEN 'promote' ELSE 'cold' END AS action FROM labels)"
 MARK_DELTA = case("action", MARK_DELTAS)
-PAGE_TEXT = r"""left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+WHOLE_PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', '', 'gis'), '<script.*$', '', 'gis'), '<style.*?</style>', '', 'gis'), '<style.*$', '', 'gis'), '<[^>]*>', ' ', 'g'), '<[^>]*$', '', 'gs'),
-  '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\s+', ' ', 'g')), 12000)"""
+  '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\s+', ' ', 'g'))"""
+PAGE_TEXT = f"left({WHOLE_PAGE_TEXT}, 12000)"
 DOMAIN = r"lower(trim(regexp_extract(list_last(string_split(regexp_extract(regexp_replace(url, '^.*?://', ''), '^[^/]*'), '@')), '^[^:]*')))"
-FINDINGS = f"""findings AS (SELECT page_id, url, {DOMAIN} AS domain, body, sha256(body) AS content_hash, {NOW_MS} - page_id * 3600000 AS retrieved_at FROM (SELECT page_id, url, {PAGE_TEXT} AS body FROM pages))"""
+FINDINGS = f"""findings AS (SELECT page_id, url, {DOMAIN} AS domain, left(whole, 12000) AS body, sha256(whole) AS content_hash, {NOW_MS} - page_id * 3600000 AS retrieved_at FROM (SELECT page_id, url, {WHOLE_PAGE_TEXT} AS whole FROM pages))"""

@@ -47,9 +47,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, family, ordinal, start, end, text."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("family"), F.explode(T.chunk_structs(F.col("text"))).alias("c"))
+def chunks(spark: SparkSession, sf_dir: str, max_chars: int = T.MAX_DOCUMENT_CHARS, max_chunks: int = T.MAX_CHUNKS) -> DataFrame:
+    """document_id, family, ordinal, start, end, text; larger bounds take whole texts however long."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("family"), F.explode(T.chunk_structs(F.col("text"), True, max_chars, max_chunks)).alias("c"))
     return d.select("document_id", "family", "c.ordinal", "c.start", "c.end", "c.text")
 
 
@@ -82,7 +82,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured pages: url, text, content hash, retrieval time (page n is n seconds old before the fixed now)."""
+    """Captured pages: url, text, hash of the whole page text, retrieval time (page n is n hours old)."""
     p = read(spark, sf_dir, "pages")
-    body = P.page_text(F.col("html"))
-    return p.select("page_id", "url", P.url_domain(F.col("url")).alias("domain"), body.alias("body"), F.sha2(body, 256).alias("content_hash"), (F.lit(NOW_MS) - F.col("page_id") * 3_600_000).alias("retrieved_at"))
+    p = p.select("page_id", "url", P.page_text(F.col("html"), None).alias("whole"))
+    return p.select("page_id", "url", P.url_domain(F.col("url")).alias("domain"), F.substring("whole", 1, P.MAX_BODY).alias("body"), F.sha2("whole", 256).alias("content_hash"), (F.lit(NOW_MS) - F.col("page_id") * 3_600_000).alias("retrieved_at"))

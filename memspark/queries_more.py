@@ -93,14 +93,18 @@ def a15(spark, d):
     return share("train_share", F.col("split") == "train").union(share("eval_share", F.col("split") == "eval")).union(majority).union(share("anchored", F.contains("target", F.lit("anchor"))))
 
 
-_LINES = f"WITH {O.CHUNKS} SELECT family, document_id || ':' || ordinal || ':' || md5(text) AS line FROM chunks"
+_LINES = "SELECT source AS family, doc_id || ':' || sha256(text) AS line FROM documents WHERE length(text) > 0"
+
+
+def _lines(spark, d):
+    """A line a document with the hash of its whole text, so a change anywhere is seen."""
+    return docs(spark, d).filter("length(text) > 0").select(F.col("source").alias("family"), "doc_id", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("line"))
 
 
 @query("a19_corpus_hash", group_digest_sql(_LINES, "family"))
 def a19(spark, d):
-    """Signature of each family's chunks; a rebuild is due where it differs."""
-    lines = E.chunks(spark, d).select("family", F.concat_ws(":", "document_id", "ordinal", F.md5("text")).alias("line"))
-    return group_digest(lines, ["family"])
+    """Signature of each family's documents; a rebuild is due where it differs."""
+    return group_digest(_lines(spark, d), ["family"])
 
 
 @query("c7_stable_region_ids", f"SELECT family, 'region-' || family || '-' || left(digest, 8) AS region_id FROM ({group_digest_sql(_LINES, 'family')})")
@@ -108,11 +112,11 @@ def c7(spark, d):
     return a19(spark, d).select("family", F.concat_ws("-", F.lit("region"), "family", F.substring("digest", 1, 8)).alias("region_id"))
 
 
-@query("i2_changed_signatures", f"WITH a AS ({group_digest_sql(_LINES, 'family')}), b AS ({group_digest_sql(_LINES + ' WHERE document_id % 50 <> 3', 'family')}) SELECT family, coalesce(a.digest = b.digest, false) AS reusable FROM a LEFT JOIN b USING (family)")
+@query("i2_changed_signatures", f"WITH a AS ({group_digest_sql(_LINES, 'family')}), b AS ({group_digest_sql(_LINES + ' AND doc_id % 50 <> 3', 'family')}) SELECT family, coalesce(a.digest = b.digest, false) AS reusable FROM a LEFT JOIN b USING (family)")
 def i2(spark, d):
     """Regions of an earlier state (some documents missing) whose index can be kept."""
-    c = E.chunks(spark, d).select("family", "document_id", F.concat_ws(":", "document_id", "ordinal", F.md5("text")).alias("line"))
-    before = group_digest(c.filter("document_id % 50 <> 3"), ["family"]).withColumnRenamed("digest", "old")
+    c = _lines(spark, d)
+    before = group_digest(c.filter("doc_id % 50 <> 3"), ["family"]).withColumnRenamed("digest", "old")
     return group_digest(c, ["family"]).join(before, "family", "left").select("family", F.coalesce(F.col("digest") == F.col("old"), F.lit(False)).alias("reusable"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from memspark.functions import text as T
+from memspark.operators.digests import group_digest
 
 MAX_TEXT_BYTES, MAX_PDF_BYTES = 2_000_000, 25_000_000
 
@@ -71,3 +74,31 @@ def watch_hashes(spark: SparkSession, roots: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "path string, file_hash string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     return files.select("path", F.sha2("content", 256).alias("file_hash"))
+
+
+def folder_digest(spark: SparkSession, path: str, leave_out: str | None = None) -> str:
+    """Digest of a folder: relative paths and contents of its files, in any order; leave_out is a pattern of paths that don't count."""
+    root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    base = path.rstrip("/").removeprefix("file:").removeprefix("//") + "/"
+    relative = F.regexp_replace("path", rf"^.*?\Q{base}\E", "")
+    files = root.select(relative.alias("name"), F.sha2("content", 256).alias("hash"))
+    if leave_out:
+        files = files.filter(~F.col("name").rlike(leave_out))
+    found = group_digest(files.select(F.lit(0).alias("folder"), F.concat_ws(":", "name", "hash").alias("line")), ["folder"]).first()
+    return found["digest"] if found else hashlib.sha256(b"").hexdigest()
+
+
+def managed_copy(files: DataFrame, root: str) -> DataFrame:
+    """Write each distinct content once under root, by the first digits of its hash; path, hash and where it lies.
+
+    files: path, content. Equal contents are one row, so a file copied often is stored once.
+    """
+    named = files.select("path", "content", F.sha2("content", 256).alias("file_hash"))
+    blobs = named.groupBy("file_hash").agg(F.first("content").alias("content"))
+    blobs.withColumn("shard", F.substring("file_hash", 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(root)
+    return named.select("path", "file_hash", F.concat(F.lit(f"{root}/shard="), F.substring("file_hash", 1, 2)).alias("stored"))
+
+
+def document_hash(file_hash, content_hash):
+    """The hash of a document's file, where it has one, else that of its content."""
+    return F.coalesce(F.when(F.trim(file_hash) != "", file_hash), content_hash)

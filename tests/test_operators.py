@@ -56,6 +56,34 @@ def test_gates(spark):
     assert training.evaluate(df.filter("task = 'query_to_region'")).first().score == round(1 / 5, 6)
 
 
+def test_folder_digests_copies_and_document_hashes(spark, tmp_path):
+    from memspark.sources import files
+
+    for root in ("a", "b"):
+        (tmp_path / root / "sub").mkdir(parents=True)
+        (tmp_path / root / "x.txt").write_text("one")
+        (tmp_path / root / "sub" / "y.txt").write_text("two")
+    (tmp_path / "b" / "manifest.json").write_text("{}")
+    digest = lambda name, **more: files.folder_digest(spark, str(tmp_path / name), **more)
+    assert digest("a") != digest("b") and digest("a") == digest("b", leave_out="^manifest")
+    (tmp_path / "b" / "sub" / "y.txt").rename(tmp_path / "b" / "y.txt")
+    assert digest("a") != digest("b", leave_out="^manifest")
+    rows = spark.createDataFrame([("p", b"same"), ("q", b"same"), ("r", b"other")], "path string, content binary")
+    copies = files.managed_copy(rows, str(tmp_path / "store")).collect()
+    assert len({r.file_hash for r in copies}) == 2 and spark.read.parquet(str(tmp_path / "store")).count() == 2
+    got = spark.createDataFrame([("f", "c"), (" ", "c"), (None, "c")], "f string, c string").select(files.document_hash(F.col("f"), F.col("c")).alias("h"))
+    assert [r.h for r in got.collect()] == ["f", "c", "c"]
+
+
+def test_document_links_take_the_better_of_both_kinds(spark):
+    rows = [(1, [1.0, 0.0], ["a", "b"]), (2, [0.9, 0.436], ["a"]), (3, [0.0, 1.0], ["a", "b", "c"]), (4, [0.0, 1.0], []), (5, [0.3, 0.954], ["zz"])]
+    df = spark.createDataFrame([(*r, "g") for r in rows], "id long, v array<double>, entities array<string>, g string")
+    for block in (2, 100):
+        got = {(r.a, r.b): (r.kind, r.score, r.shared) for r in graph.document_links(df, 0.58, 2, "g", block).collect()}
+        assert got[1, 2] == ("semantic_neighbor", 0.9, 1) and got[1, 3] == ("entity_overlap", 0.56, 2)
+        assert got[3, 4][:2] == ("semantic_neighbor", 1.0) and (4, 1) not in got and len([k for k in got if k[0] == 3]) == 2
+
+
 def test_j18_and_spread(spark, tmp_path):
     from memspark.plans import entities
 
