@@ -2,12 +2,12 @@
 
 The number of parts follows the table: about an eighth of the root of its rows, a power of
 two of at most `MAX_PARTS`. A sample of `PER_PART` vectors a part, by hash of the id
-(`LEAST_SAMPLE` at least, so at most MAX_PARTS * PER_PART), gives a nearest-neighbour graph,
-which is cut into parts of equal size by label propagation under a capacity. A softmax
-classifier learns, from a vector, how its neighbours spread over the parts. All vectors go
-to their most probable part; a query visits its most probable parts and is reranked there
-by exact distances in double precision. How many parts it visits is the smallest number
-that finds `RECALL` of the true neighbours of held-out sample vectors.
+(`LEAST_SAMPLE` at least, `MAX_SAMPLE` at most), gives a nearest-neighbour graph, which is
+cut into parts of equal size by label propagation under a capacity. A softmax classifier
+learns, from a vector, how its neighbours spread over the parts. All vectors go to their
+most probable part; a query visits its most probable parts and is reranked there by exact
+distances in double precision. How many parts it visits is the smallest number that finds `RECALL` of the true neighbours of `TESTS` sample vectors, which one scan of the
+whole table gives: neighbours within a sample lie farther off and would ask for more visits.
 
 Rows and visiting queries of a part are both split into blocks by hash of the id, so a part
 that a common vector fills is many small tasks, and a task compares one block of queries
@@ -33,10 +33,12 @@ from pyspark.sql.window import Window
 
 from memspark.llm.common import discard, materialize, slices
 
-LEAST_SAMPLE, PER_PART = 4096, 64
+LEAST_SAMPLE, PER_PART, MAX_SAMPLE = 4096, 256, 1 << 17
 MAX_PARTS = 4096
 NEIGHBOURS = 10
 RECALL = 0.96
+#: Sample vectors whose neighbours in the whole table are looked up to choose the number of visits.
+TESTS = 256
 #: Rows and queries of one comparison.
 BLOCK_ROWS = 4096
 #: Sample vectors of one step of the classifier's fit, and steps.
@@ -61,13 +63,12 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int, own: bool = False) -> np.ndarray:
-    """The k nearest rows of b for each row of a, in no order; a block of rows at a time."""
+def _nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest other rows of each row, in no order; a block of rows at a time."""
     out = []
-    for s in range(0, len(a), 1024):
-        d = _squared(a[s : s + 1024], b)
-        if own:
-            d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
+    for s in range(0, len(x), 1024):
+        d = _squared(x[s : s + 1024], x)
+        d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
 
@@ -121,18 +122,16 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")
 
 
-def fit_router(x: np.ndarray, parts: int, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> Router:
-    """Router for the rows of x; parts is a power of two."""
+def fit_router(x: np.ndarray, parts: int, neighbours: int = NEIGHBOURS) -> Router:
+    """Router for the rows of x, which visits all parts; parts is a power of two."""
     n = len(x)
     parts = max(1, min(parts, 1 << max(0, (n // 16).bit_length() - 1)))
     if parts == 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
-    held = np.arange(n) % 8 == 7
-    fit_x, test_x = x[~held], x[held]
-    k = min(neighbours, len(fit_x) - 1)
-    near = _nearest(fit_x, fit_x, k, own=True)
-    part = balanced_parts(near, fit_x, parts)
-    u = fit_x / np.linalg.norm(fit_x, axis=1, keepdims=True)
+    k = min(neighbours, n - 1)
+    near = _nearest(x, k)
+    part = balanced_parts(near, x, parts)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
     w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
     for step in range(STEPS):  # gradient descent with momentum on the cross entropy
@@ -146,28 +145,51 @@ def fit_router(x: np.ndarray, parts: int, neighbours: int = NEIGHBOURS, recall:
         speed_w = 0.9 * speed_w - 4.0 * (u[pick].T @ g + 1e-5 * w)
         speed_b = 0.9 * speed_b - 4.0 * g.sum(0)
         w, b = w + speed_w, b + speed_b
-    router = Router(w, b, parts)
-    home = np.concatenate([router.order(fit_x[s : s + 1024])[:, 0] for s in range(0, len(fit_x), 1024)])
-    found = np.zeros(parts)
-    for s in range(0, len(test_x), 1024):
-        some = test_x[s : s + 1024]
-        rank = np.argsort(router.order(some), axis=1)  # when each part is visited
-        found += np.bincount(np.take_along_axis(rank, home[_nearest(some, fit_x, k)], axis=1).ravel(), minlength=parts)
-    share = np.cumsum(found) / found.sum()
-    router.probes = int(np.argmax(share >= recall - 1e-12)) + 1
-    return router
-
-
-def fit(vectors: DataFrame, parts: int | None = None) -> tuple[Router | None, int]:
-    """Router and vector length from the sample."""
+    return Router(w, b, parts)
+
+
+def fit(vectors: DataFrame, parts: int | None = None, recall: float = RECALL) -> tuple[Router | None, int]:
+    """Router and vector length from the sample, visits from the whole table."""
     parts = parts or parts_for(vectors.count())
-    size = max(LEAST_SAMPLE, PER_PART * parts)
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(size).select("v").toArrow().column(0).combine_chunks()
+    size = min(MAX_SAMPLE, max(LEAST_SAMPLE, PER_PART * parts))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(size).select("vec_id", "v").toArrow()
     if not len(rows):
         return None, 0
-    sizes = rows.value_lengths().to_pylist()
+    v = rows.column("v").combine_chunks()
+    sizes = v.value_lengths().to_pylist()
     dim = max(sorted(set(sizes)), key=sizes.count)
-    return fit_router(_matrix(rows.filter(pa.array([n == dim for n in sizes]))), parts), dim
+    alike = pa.array([n == dim for n in sizes])
+    x, ids = _matrix(v.filter(alike)), rows.column("vec_id").filter(alike).to_numpy()
+    router = fit_router(x, parts)
+    router.probes = visits(vectors.filter(F.size("v") == dim), router, ids[:TESTS], x[:TESTS], recall)
+    return router, dim
+
+
+def visits(vectors: DataFrame, router: Router, ids: np.ndarray, tests: np.ndarray, recall: float, k: int = NEIGHBOURS) -> int:
+    """The least number of parts to visit that holds this share of the tests' k nearest rows of the table."""
+    shared = vectors.sparkSession.sparkContext.broadcast((router, ids, tests))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, ids, tests = shared.value
+        for batch in slices(batches, BLOCK_ROWS):
+            x = _matrix(batch.column(1))
+            home = router.order(x)[:, 0]
+            d = _squared(tests, x)
+            d[ids[:, None] == batch.column(0).to_numpy()[None]] = np.inf
+            pick = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
+            dist = np.take_along_axis(d, pick, axis=1).ravel()
+            fine = np.isfinite(dist)
+            test = np.repeat(np.arange(len(tests)), pick.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(test[fine]), pa.array(dist[fine]), pa.array(home[pick.ravel()][fine])], ["test", "dist", "home"])
+
+    order = Window.partitionBy("test").orderBy("dist", "home")
+    found = vectors.select("vec_id", "v").mapInArrow(near, "test long, dist double, home long")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("test", "home").toArrow()  # TESTS * k rows
+    if not len(found):
+        return 1
+    when = np.argsort(router.order(tests), axis=1)[found.column("test").to_numpy(), found.column("home").to_numpy()]
+    share = np.cumsum(np.bincount(when)) / len(when)
+    return int(np.argmax(share >= recall - 1e-12)) + 1
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

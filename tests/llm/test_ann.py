@@ -41,17 +41,20 @@ def test_recall_and_exact_scores(spark, monkeypatch):
             assert s == pytest.approx(float(np.sqrt(((vectors[q] - vectors[i]) ** 2).sum())), abs=1e-15)
 
 
-def test_parts_follow_the_table_and_visits_fall_on_clustered_vectors():
+def test_parts_follow_the_table_and_compared_rows_grow_slower(spark):
     assert [ann.parts_for(n) for n in (0, 500, 2000, 51_282, 10**6, 10**9, 10**15)] == [1, 2, 4, 32, 128, 4096, 4096]
     rng = np.random.default_rng(1)
-    shares = []
-    for n, parts in ((4096, 16), (8192, 64)):
-        centres = rng.normal(size=(parts * 2, 32)) * 3
-        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 32))
-        router = ann.fit_router(x, parts)
-        shares.append(router.probes / parts)
-        assert np.bincount(router.order(x)[:, 0], minlength=parts).max() < 8 * n / parts
-    assert shares[1] < shares[0] < 0.5
+    compared = []
+    for n in (3000, 48_000):
+        centres = rng.normal(size=(n // 100, 32))
+        x = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, 32))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(4)
+        router, dim = ann.fit(df)
+        assert dim == 32
+        sizes = np.bincount(router.order(x)[:, 0], minlength=ann.parts_for(n))
+        assert sizes.max() < 8 * n / len(sizes)
+        compared.append(sizes[router.order(x[:200])[:, : router.probes]].sum(1).mean())
+    assert compared[1] / 48_000 < 0.8 * compared[0] / 3000
 
 
 def test_blocks_of_queries_and_rows(spark, monkeypatch):
