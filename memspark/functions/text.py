@@ -212,6 +212,32 @@ def csv_fields(line: Column) -> Column:
     return F.transform(raw, lambda x: strip(F.replace(F.regexp_replace(F.replace(x, F.lit('""'), F.lit("\x01")), '"', ""), F.lit("\x01"), F.lit('"'))))
 
 
+#: Rows of a table whose words count for its score.
+SCORED_ROWS = 8
+
+
+def parse_table(text: Column) -> Column:
+    """Struct (headers, rows) of the first table of comma-separated lines in a text, else null.
+
+    The first line with two commas is the header; later lines with as many commas as a row needs (two are enough)
+    and no fewer fields than headers are rows, each distinct one once, cut to the headers' number.
+    """
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: strip(x) != "")
+    commas = lambda x: F.length(x) - F.length(F.replace(x, F.lit(",")))
+    at = F.array_position(F.transform(lines, lambda x: commas(x) >= 2), True)
+    headers = csv_fields(F.try_element_at(lines, F.greatest(at, F.lit(1)).cast("int")))
+    after = F.slice(lines, (at + 1).cast("int"), F.size(lines))
+    fields = F.transform(F.filter(after, lambda x: commas(x) >= F.least(F.size(headers) - 1, F.lit(2))), csv_fields)
+    rows = F.array_distinct(F.transform(F.filter(fields, lambda f: F.size(f) >= F.size(headers)), lambda f: F.slice(f, F.lit(1), F.size(headers))))
+    return F.when((at > 0) & (F.size(headers) >= 2) & (F.size(rows) > 0), F.struct(headers.alias("headers"), rows.alias("rows")))
+
+
+def table_score(title: Column, table: Column, tokens: Column) -> Column:
+    """How many query tokens stand in the title, the headers or one of the first rows."""
+    words = F.lower(F.concat_ws("\n", title, F.array_join(table["headers"], " "), F.array_join(F.transform(F.slice(table["rows"], 1, SCORED_ROWS), lambda r: F.array_join(r, " ")), "\n")))
+    return F.size(F.filter(tokens, lambda t: words.contains(t)))
+
+
 def parent_folder(path: Column) -> Column:
     return F.try_element_at(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(-2))
 

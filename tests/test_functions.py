@@ -123,3 +123,11 @@ def test_metadata_predicates(spark):
     assert value(spark, S.deleted(F.create_map(F.lit("deleted_at"), F.lit("5")), m)) and not value(spark, S.deleted(m, m))
     assert value(spark, S.node_ref(F.lit("chunk:a:b")))["id"] == "a:b" and value(spark, S.node_ref(F.lit("x:1"))) is None
     assert value(spark, S.has_secret(F.lit("bearer x"))) is False
+
+
+def test_tables_are_parsed_and_scored(spark):
+    text = 'Staff list\n\nName, Mail,Team\nAda,a@x,"R, D"\nAda,a@x,"R, D"\nshort,row\n\nBo,b@x,Ops,extra\n'
+    t = T.parse_table(F.col("text"))
+    got = spark.createDataFrame([(text,), ("no table, here",), ("a,b,c",), ("",), (None,)], "text string").select(t.alias("t"), F.when(t.isNotNull(), T.table_score(F.lit("People"), t, F.array(*map(F.lit, ("people", "mail", "ops", "zzz"))))).alias("n")).collect()
+    assert [list(got[0].t.headers), [list(r) for r in got[0].t.rows], got[0].n] == [["Name", "Mail", "Team"], [["Ada", "a@x", "R, D"], ["Bo", "b@x", "Ops"]], 3]
+    assert all(r.t is None and r.n is None for r in got[1:])
