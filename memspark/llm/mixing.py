@@ -73,7 +73,7 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"), token_count(text).alias("tokens"))
 
 
-def class_targets(cells: DataFrame, m: str, total: float, budget: float, targets: dict | None) -> DataFrame:
+def class_targets(cells: DataFrame, m: str, total: float, budget: float, targets: dict | None, few: bool) -> DataFrame:
     """The classes of a margin with their target shares, none above what the class has; the excess goes to the others."""
     if targets:
         known = F.coalesce(*[F.when(F.col(m) == k, F.lit(float(v))) for k, v in targets.items()], F.lit(0.0))
@@ -81,7 +81,9 @@ def class_targets(cells: DataFrame, m: str, total: float, budget: float, targets
         known = F.pow(F.sum("cell_tokens") / total, F.lit(TEMPER))
     grouped = cells.groupBy(m).agg(F.sum("cell_tokens").alias("class_tokens"), *([] if targets else [known.alias("w")]))
     classes = (grouped.withColumn("w", known) if targets else grouped).withColumn("most", F.col("class_tokens") / (budget * total))
-    classes = materialize(classes.select(m, "w", "most"), "mix-classes")
+    classes = classes.select(m, "w", "most")
+    if not few:  # few cells are summed again sooner than their sums are written
+        classes = materialize(classes, "mix-classes")
     factor = -1.0
     while True:  # the more classes are at their bound, the larger the factor of the others
         full = (F.col("most") <= F.col("w") * factor) if factor >= 0 else F.lit(False)
@@ -100,7 +102,7 @@ def cell_weights(facts: DataFrame, targets: dict[str, dict] | None = None, budge
     few = n <= MAX_BROADCAST_CELLS
     scratch = [cells]
     for m in MARGINS:
-        cells = cells.join(class_targets(scratch[0], m, total, budget, (targets or {}).get(m)), m)
+        cells = cells.join(class_targets(scratch[0], m, total, budget, (targets or {}).get(m), few), m)
     cells = cells.withColumn("most", F.col("cell_tokens") / (budget * total)).withColumn("share", F.col("cell_tokens") / total).withColumn("before", F.col("share"))
 
     def scaled(cells: DataFrame, m: str) -> DataFrame:

@@ -95,6 +95,9 @@ def records(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path as Arrow knows it, and the path there."""
+    for name in ("s3a://", "s3n://"):
+        path = path.replace(name, "s3://", 1) if path.startswith(name) else path
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 

@@ -81,3 +81,16 @@ def test_pipeline_equals_plain_python(spark):
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {p.doc_id for p in pieces} == {r["doc_id"] for r in want}
     check_packing([(r["doc_id"], r["text"]) for r in want], pieces, 2048)
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, `row` string, inclusion double, topic int, base string, unit long, grp long, component_id long, kind string"
+    more = (0.5, "x", "r", 0.1, 3, "b", 1, 2, 3, "k")
+    texts = ["alpha beta gamma delta words " * 3, "ein zwei drei vier wort " * 3, None, "", "alpha beta gamma delta words " * 3, "token = abcdefghijklmnop words " * 2]
+    rows = [(i, t, ["en", "de", None][i % 3], "s", len(t or ""), *more) for i, t in enumerate(texts)] + [(None, "null id words here", "en", None, 0, *more)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert {r.score for r in out.collect()} <= {0.5}
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()

@@ -2,13 +2,14 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 import corpus_pipeline
 from memspark.llm import queries, secrets
-from memspark.llm.common import table
+from memspark.llm.common import shared_path, table
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -52,3 +53,23 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert sizes[-1] < sizes[-2]
     last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in now.collect()}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://somewhere"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_path(Session(), "x")
+
+
+def test_scratch_tables_go_but_those_of_the_result(spark):
+    folder = os.path.dirname(shared_path(spark, "x")).removeprefix("file:").replace("///", "/")
+    os.makedirs(folder, exist_ok=True)
+    left = {}
+    for name in ("op1_warc_index_merge", "op7_learned_partitions", "op10_grouped_prefix_join"):
+        before = set(os.listdir(folder))
+        assert queries.QUERIES[name](spark, SF).count() > 0
+        left[name] = {re.sub("-[0-9a-f]{32}$", "", x) for x in set(os.listdir(folder)) - before if not x.startswith(".")}
+    assert left == {"op1_warc_index_merge": {"warc-runs"}, "op7_learned_partitions": {"ann-found"}, "op10_grouped_prefix_join": {"join-classes"}}
