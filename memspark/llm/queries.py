@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import ann, fingerprints, langid, licenses, mixing, ngram_join, packing, runs, secrets, urlfilter, warc
+from memspark.llm import ann, fingerprints, langid, licenses, mixing, ngram_join, packing, runs, secrets, toxicity, urlfilter, warc
 from memspark.llm.common import table
 
 
@@ -59,7 +59,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join, op12_periodic_runs)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join, op12_periodic_runs, op13_toxicity)}
 
 _OP1_SQL = f"""
 WITH p AS (SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS body FROM pages),
