@@ -7,7 +7,8 @@ the share among texts with its first six letters, that one the share of the firs
 letters and to all texts; each prior counts like `STRENGTH` texts. An unseen word thus scores as its stem,
 and one with an unseen stem 0 less the penalty. As words come in bursts, a text counts once for a word, and
 the j-th occurrence in a text carries 1/j^2 of the odds if they are above 0. Counts are kept in 2^20 slots by
-hash whatever the vocabulary, and cover every labelled text that may be learned from.
+hash whatever the vocabulary. The classifier is fitted on at most about `MOST_LABELLED` labelled ids (a bound that is
+an argument), with all rows of each.
 
 Every maximal segment of a text's scores is found by the linear scan of Ruzzo and Tompa, over
 blocks of equal sign. Under the scores of tokens in texts labelled 0, the best segment of n tokens
@@ -43,6 +44,8 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 STEMS = (3, 4, 5, 6)
 STRENGTH, PENALTY, SIGNIFICANT = 4.0, 0.5, 0.01
+#: Labelled ids that are learned from; of more, about so many are drawn by hash.
+MOST_LABELLED = 200_000
 #: Bins of token scores, from -BIN_EDGE to BIN_EDGE, and of evidence, which counts up to MOST_EVIDENCE in the fit of the curve.
 BINS, BIN_EDGE, EVIDENCE_STEP, MOST_EVIDENCE = 4000, 20.0, 0.05, 60.0
 #: Characters that one step works on, and characters of a word that are hashed one at a time; longer words are hashed at once.
@@ -251,11 +254,22 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, text of documents that have a label and aren't held out."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
-    return rows.join(known.filter(~held_out("of")), F.col("doc_id") == F.col("of")).select("toxic", "text")
+def known_labels(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """of, toxic: one row for each labelled id that isn't held out; of more than `most` about that many, drawn by a hash of the id."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    known = materialize(known, "toxicity-known")
+    n = known.count()
+    if n <= most:
+        return known
+    drawn = materialize(known.filter(F.xxhash64(F.lit("toxicity"), "of").cast("double") / 2.0**64 + 0.5 <= most / n), "toxicity-known")
+    discard(known)
+    return drawn
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """toxic, text of the documents that `known` has; texts pass no shuffle."""
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0)
+    return rows.join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("toxic", "text")  # about MOST_LABELLED short rows at most
 
 
 def count_tokens(rows: DataFrame) -> Odds:
@@ -322,9 +336,11 @@ def evidence_counts(texts: DataFrame, lam: float, k: float) -> DataFrame:
     return texts.select("toxic", "n", "sums").mapInArrow(run, "toxic int, step int").groupBy("step").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from all labelled documents that aren't held out."""
-    rows = materialize(labelled(docs, labels), "toxicity-labelled")
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """Learn from labelled documents that aren't held out."""
+    known = known_labels(labels, most)
+    rows = materialize(labelled(docs, known), "toxicity-labelled")
+    discard(known)
     odds = count_tokens(rows)
     if not 0 < odds.n_ones < odds.n_both:
         discard(rows)

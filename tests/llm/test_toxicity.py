@@ -169,6 +169,14 @@ def test_without_labels_of_both_kinds(spark):
     assert corpus(spark, [], [(1, 1)]).collect() == []
 
 
+def test_the_bound_on_labelled_ids(spark):
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(5000)], "doc_id long, toxic int")
+    free = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(5000))
+    assert toxicity.known_labels(labels).count() == free
+    some = toxicity.known_labels(labels, 1000).toPandas()
+    assert 900 < len(some) < 1100 and 0.2 < some.toxic.mean() < 0.3
+
+
 def test_held_out_accuracy_and_nothing_but_the_text_counts(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
