@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import ann, fingerprints, langid, licenses, mixing, ngram_join, packing, runs, secrets, toxicity, urlfilter, warc
+from memspark.llm import ann, fingerprints, langid, licenses, mixing, ngram_join, packing, runs, secrets, toxicity, trie, urlfilter, warc
 from memspark.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.grafted(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
 
@@ -64,7 +68,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join, op12_periodic_runs, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_secret_scan, op3_language_id, op4_source_mixing, op5_canonical_digest, op6_min_bin_slack, op7_learned_partitions, op8_license_scan, op9_url_filter, op10_grouped_prefix_join, op11_prefix_trie, op12_periodic_runs, op13_toxicity)}
 
 _OP1_SQL = f"""
 WITH p AS (SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS body FROM pages),
@@ -78,4 +82,4 @@ SELECT page_id, payload_bytes, payload_digest,
   epoch(TIMESTAMP '{warc.FIRST_CAPTURE}')::BIGINT + (coalesce(page_id, 0) % {warc.DATED} + {warc.DATED}) % {warc.DATED} AS capture_ts
 FROM u"""
 
-ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle()}
+ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle(), "op11_prefix_trie": trie.oracle()}
