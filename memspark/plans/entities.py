@@ -34,7 +34,8 @@ WORTH_BYTES, SMALL_BYTES = 1 << 20, 8 << 20
 def spread(table: DataFrame) -> DataFrame:
     """The table, over all cores where its few files are too small for the scan to be split.
 
-    Larger tables stay as their scan deals them, so their texts pass no shuffle.
+    For tables whose next step is heavy on every row (embedding); larger tables stay as their scan deals them, so
+    their texts pass no shuffle.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -44,12 +45,12 @@ def spread(table: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str, max_chars: int = T.MAX_DOCUMENT_CHARS, max_chunks: int = T.MAX_CHUNKS) -> DataFrame:
     """document_id, family, ordinal, start, end, text; larger bounds take whole texts however long."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("family"), F.explode(T.chunk_structs(F.col("text"), True, max_chars, max_chunks)).alias("c"))
+    d = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.col("source").alias("family"), F.explode(T.chunk_structs(F.col("text"), True, max_chars, max_chunks)).alias("c"))
     return d.select("document_id", "family", "c.ordinal", "c.start", "c.end", "c.text")
 
 

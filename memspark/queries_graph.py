@@ -9,6 +9,7 @@ from memspark import oracle as O
 from memspark.functions import text as T
 from memspark.operators import graph as L
 from memspark.operators import navigation as N
+from memspark.operators import similarity as Y
 from memspark.operators.sinks import latest, upsert
 from memspark.plans import entities as E
 from memspark.registry import query
@@ -41,7 +42,7 @@ def g5(spark, d):
     return L.explicit_links(_cited(spark, d))
 
 
-_PAIRS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+_PAIRS = f"""pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) + {Y.NUDGE}, 6) AS score
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
 
 
@@ -54,23 +55,23 @@ def _unit(spark, d):
 @query("i1_region_neighbours", f"WITH {_PAIRS} SELECT a AS vec_id, b AS neighbour, score, (row_number() OVER (PARTITION BY a ORDER BY score DESC, b))::INT AS rank FROM pairs QUALIFY rank <= 4")
 def i1(spark, d):
     """Exact graph of the four nearest rows within a region (label)."""
-    return L.semantic_links(_unit(spark, d), -1.0, 4, "label").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "score", "rank")
+    return Y.semantic_links(_unit(spark, d), -1.0, 4, "label").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "score", "rank")
 
 
 @query("j7_visual_edges", f"WITH {_PAIRS}, t AS (SELECT a, b, score FROM pairs WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 2) SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM t GROUP BY 1, 2")
 def j7(spark, d):
-    return L.canonical_pairs(L.semantic_links(_unit(spark, d), 0.25, 2, "label"))
+    return L.canonical_pairs(Y.semantic_links(_unit(spark, d), 0.25, 2, "label"))
 
 
 _CHUNK_LINKS = f"""{O.embeddings('chunks', 'document_id, ordinal')}, ev AS (SELECT document_id * {T.MAX_CHUNKS} + ordinal AS id, family, v FROM emb JOIN chunks USING (document_id, ordinal)),
-cl AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')}, 6) AS score FROM ev x JOIN ev y ON x.family = y.family AND x.id <> y.id WHERE round({O.dot('x.v', 'y.v')}, 6) >= 0.72 QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) <= 3) GROUP BY 1, 2)"""
+cl AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')} + {Y.NUDGE}, 6) AS score FROM ev x JOIN ev y ON x.id <> y.id WHERE round({O.dot('x.v', 'y.v')} + {Y.NUDGE}, 6) >= 0.72 QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) <= 3) GROUP BY 1, 2)"""
 
 
 @query("g6_chunk_links", f"WITH {O.CHUNKS}, {_CHUNK_LINKS} SELECT a, b, score FROM cl")
 def g6(spark, d):
-    """Chunks of one source with similarity of 0.72 or more: three best, each pair once."""
-    c = E.embedded_chunks(spark, d).select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v"), "family")
-    return L.canonical_pairs(L.semantic_links(c, 0.72, 3, "family"))
+    """Chunks of any sources with similarity of 0.72 or more: three best, each pair once."""
+    c = E.embedded_chunks(spark, d).select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v"))
+    return L.canonical_pairs(Y.semantic_links(c, 0.72, 3))
 
 
 _ENT = rf"""t AS (SELECT DISTINCT item_id, lower(w) AS e FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{M}}\p{{N}}_-]+')) AS w FROM benchmark) WHERE (regexp_matches(w, '^[A-Z]+$') OR (regexp_matches(w, '^[A-Z]') AND regexp_matches(w, '^.+[a-z]'))) AND strlen(w) >= 4 AND lower(w) NOT IN {O.in_list(T.ENTITY_STOP_WORDS)})"""

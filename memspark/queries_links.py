@@ -12,6 +12,7 @@ from memspark.operators import graph as L
 from memspark.operators import navigation as N
 from memspark.operators import retrieval as R
 from memspark.operators import signals as S
+from memspark.operators import similarity as Y
 from memspark.plans import entities as E
 from memspark.plans.scratch import written
 from memspark.queries_graph import _CHUNK_LINKS, _cited
@@ -27,19 +28,20 @@ _CENTROIDS = """av AS (SELECT document_id, any_value(family) AS family, unnest(e
 mean AS (SELECT document_id, any_value(family) AS family, i, avg(x) AS x FROM av GROUP BY document_id, i),
 centre AS (SELECT document_id AS id, any_value(family) AS family, list(x / n ORDER BY i) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY document_id)) AS n FROM mean) WHERE n > 0 GROUP BY document_id)"""
 _DOCUMENT_LINKS = f"""{_ENTITIES}, {_CENTROIDS},
-dp AS (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')}, 6) AS sim, len(list_intersect(ex.es, ey.es)) AS shared FROM centre x JOIN centre y ON x.family = y.family AND x.id <> y.id JOIN named ex ON ex.doc_id = x.id JOIN named ey ON ey.doc_id = y.id),
-dl AS (SELECT a, b, CASE WHEN sim >= {DOCUMENT_SIMILARITY} THEN 'semantic_neighbor' ELSE 'entity_overlap' END AS kind, CASE WHEN sim >= {DOCUMENT_SIMILARITY} THEN sim ELSE round(least(0.48 + 0.04 * least(shared, 5), 0.68)::DOUBLE, 6) END AS score, shared::BIGINT AS shared FROM dp WHERE sim >= {DOCUMENT_SIMILARITY} OR shared > 0
-  QUALIFY row_number() OVER (PARTITION BY a ORDER BY CASE WHEN sim >= {DOCUMENT_SIMILARITY} THEN sim ELSE round(least(0.48 + 0.04 * least(shared, 5), 0.68)::DOUBLE, 6) END DESC, b) <= {DOCUMENT_LINKS})"""
+dp AS (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')} + {Y.NUDGE}, 6) AS sim FROM centre x JOIN centre y ON x.id <> y.id),
+en AS (SELECT doc_id AS id, unnest(es) AS e FROM named), eo AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM en x JOIN en y USING (e) WHERE x.id <> y.id GROUP BY 1, 2),
+dc AS (SELECT a, b, 'semantic_neighbor' AS kind, sim AS score FROM dp WHERE sim >= {DOCUMENT_SIMILARITY} UNION ALL SELECT a, b, 'entity_overlap', round(least(0.48 + 0.04 * least(n, 5), 0.68)::DOUBLE, 6) FROM eo JOIN dp USING (a, b) WHERE sim < {DOCUMENT_SIMILARITY}),
+dl AS (SELECT c.*, len(list_intersect(x.es, y.es))::BIGINT AS shared FROM (SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {DOCUMENT_LINKS}) c JOIN named x ON x.doc_id = c.a JOIN named y ON y.doc_id = c.b)"""
 _EMBEDDED = f"{O.CHUNKS}, {O.embeddings('chunks', 'document_id, ordinal')}"
 
 
 def document_links(spark, d, chunks=None):
-    """Documents of one source: centroid similarity, else shared entities; three best each."""
+    """Centroid similarity, else shared entities, among all documents; three best each."""
     chunks = E.embedded_chunks(spark, d) if chunks is None else chunks
-    centre = chunks.groupBy("document_id", "family").agg(V.mean_vector(F.col("embedding")).alias("c")).filter(F.exists("c", lambda x: x != 0))
+    centre = chunks.groupBy("document_id").agg(V.mean_vector(F.col("embedding")).alias("c")).filter(F.exists("c", lambda x: x != 0))
     names = E.read(spark, d, "documents").select(F.col("doc_id").alias("id"), T.entities(F.lit(""), F.col("text")).alias("entities"))
-    rows = centre.select(F.col("document_id").alias("id"), V.unit(F.col("c")).alias("v"), "family").join(names, "id")
-    return L.document_links(rows, DOCUMENT_SIMILARITY, DOCUMENT_LINKS, "family")
+    rows = centre.select(F.col("document_id").alias("id"), V.unit(F.col("c")).alias("v")).join(names, "id")
+    return Y.document_links(rows, DOCUMENT_SIMILARITY, DOCUMENT_LINKS)
 
 
 @query("g7_document_links", f"WITH {_EMBEDDED}, {_DOCUMENT_LINKS} SELECT a, b, kind, score, shared FROM dl")
@@ -67,7 +69,7 @@ def link_graph(spark, d):
     member = link(chunks.select("document_id", "ordinal", "family", F.lit(1.0).alias("score")), "member", F.lit("region_membership"), node("region", "family"), node("chunk", "document_id", "ordinal"))
     cited = _cited(spark, d)
     refs = [link(f(cited), tag, F.lit("citation_reference"), F.col("source"), F.col("target")) for f, tag in ((L.citation_links, "cite"), (L.explicit_links, "explicit"))]
-    near = L.canonical_pairs(L.semantic_links(chunks.select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v"), "family"), 0.72, 3, "family"))
+    near = L.canonical_pairs(Y.semantic_links(chunks.select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v")), 0.72, 3))
     part = lambda c: node("chunk", F.floor(F.col(c) / T.MAX_CHUNKS), F.col(c) % T.MAX_CHUNKS)
     semantic = link(near, "semantic", F.lit("semantic_neighbor"), part("a"), part("b"))
     docs = document_links(spark, d, chunks)

@@ -138,7 +138,7 @@ around AS (SELECT * FROM ends UNION SELECT e.query_id, region, neighbour, s FROM
 @query("i3_graph_search", f"WITH RECURSIVE {_WALKS} SELECT query_id, region, id, score, (row_number() OVER (PARTITION BY query_id, region ORDER BY score DESC, id))::INT AS rank FROM around QUALIFY rank <= 5")
 def i3(spark, d):
     """Greedy walks of the queries (ids divisible by 20) in every region's four-neighbour graph."""
-    from memspark.operators.graph import semantic_links
+    from memspark.operators.similarity import semantic_links
     from memspark.operators.search import greedy_search
 
     e = E.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.unit(F.col("embedding")).alias("v"), "label")

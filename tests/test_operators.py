@@ -21,16 +21,6 @@ def test_regions_do_not_depend_on_row_order(spark):
     assert a == b and a[1] == a[2] != a[3] == a[4]
 
 
-def test_semantic_links_across_blocks(spark):
-    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "g") for i in range(40)]
-    df = spark.createDataFrame(rows, "id long, v array<double>, g string")
-    got = {}
-    for r in graph.semantic_links(df, 0.9, 3, "g", block=7).collect():
-        got.setdefault(r.a, []).append((r["rank"], r.b))
-    assert got.keys() == set(range(40))
-    assert all([b for _, b in sorted(got[i])] == [x for x in range(i % 2, 40, 2) if x != i][:3] for i in got)
-
-
 def test_file_updates(spark):
     artifacts = spark.createDataFrame([("a", "/a", "1"), ("b", "/b", "2"), ("c", "/c", "3"), ("d", "/d", "4"), ("e", "/e", "5"), ("f", "/f", "5")], "id string, path string, file_hash string")
     disk = spark.createDataFrame([("/a", "1"), ("/b", "9"), ("/x", "3"), ("/e", "5"), ("/f", "0")], "path string, file_hash string")
@@ -75,21 +65,13 @@ def test_folder_digests_copies_and_document_hashes(spark, tmp_path):
     assert [r.h for r in got.collect()] == ["f", "c", "c"]
 
 
-def test_document_links_take_the_better_of_both_kinds(spark):
-    rows = [(1, [1.0, 0.0], ["a", "b"]), (2, [0.9, 0.436], ["a"]), (3, [0.0, 1.0], ["a", "b", "c"]), (4, [0.0, 1.0], []), (5, [0.3, 0.954], ["zz"])]
-    df = spark.createDataFrame([(*r, "g") for r in rows], "id long, v array<double>, entities array<string>, g string")
-    for block in (2, 100):
-        got = {(r.a, r.b): (r.kind, r.score, r.shared) for r in graph.document_links(df, 0.58, 2, "g", block).collect()}
-        assert got[1, 2] == ("semantic_neighbor", 0.9, 1) and got[1, 3] == ("entity_overlap", 0.56, 2)
-        assert got[3, 4][:2] == ("semantic_neighbor", 1.0) and (4, 1) not in got and len([k for k in got if k[0] == 3]) == 2
-
-
-def test_j18_and_spread(spark, tmp_path):
+def test_small_tables_are_dealt_where_asked(spark, tmp_path):
     from memspark.plans import entities
 
     big = spark.range(400_000).selectExpr("id", "uuid() AS u").coalesce(1)
     big.write.parquet(str(tmp_path / "big.parquet"))
-    assert entities.read(spark, str(tmp_path), "big").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    read = entities.read(spark, str(tmp_path), "big")
+    assert entities.spread(read).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "tiny.parquet"))
     assert entities.read(spark, str(tmp_path), "tiny").count() == 5
 
