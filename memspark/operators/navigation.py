@@ -1,4 +1,4 @@
-"""Navigation: passages, links of a node, expansion, trust policies, session replay."""
+"""Navigation: passages, links of a node, expansion, trust policies. Session replay: see sessions."""
 
 from __future__ import annotations
 
@@ -37,22 +37,3 @@ def both_ways(links: DataFrame) -> DataFrame:
 def bounding_boxes(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """min(start) and max(end) of the chunks that share the keys."""
     return chunks.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-
-
-def replay(actions: DataFrame) -> DataFrame:
-    """Session states from an ordered action log (session_id, seq, action, node): current, history and visited.
-
-    `back` returns to the node before; everything else opens its node. Folded per session.
-    """
-    log = actions.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "node"))).alias("log"))
-    zero = F.struct(F.lit(None).cast("string").alias("current"), F.array().cast("array<string>").alias("history"), F.array().cast("array<string>").alias("visited"))
-
-    def step(a: Column, x: Column) -> Column:
-        back = (x["action"] == "back") & (F.size(a["history"]) > 0)
-        stay = (x["action"] == "back") & (F.size(a["history"]) == 0)
-        current = F.when(back, F.try_element_at(a["history"], F.lit(-1))).when(stay, a["current"]).otherwise(x["node"])
-        history = F.when(back, F.slice(a["history"], F.lit(1), F.greatest(F.size(a["history"]) - 1, F.lit(0)))).when(stay | a["current"].isNull(), a["history"]).otherwise(F.concat(a["history"], F.array(a["current"])))
-        visited = F.when(current.isNull() | F.array_contains(a["visited"], current), a["visited"]).otherwise(F.concat(a["visited"], F.array(current)))
-        return F.struct(current.alias("current"), history.alias("history"), visited.alias("visited"))
-
-    return log.select("session_id", F.aggregate("log", zero, step).alias("s")).select("session_id", "s.*")

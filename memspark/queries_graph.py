@@ -9,6 +9,7 @@ from memspark import oracle as O
 from memspark.functions import text as T
 from memspark.operators import graph as L
 from memspark.operators import navigation as N
+from memspark.operators import sessions as SE
 from memspark.operators import similarity as Y
 from memspark.operators.sinks import latest, upsert
 from memspark.plans import entities as E
@@ -113,7 +114,7 @@ SELECT session_id, current, len(history)::BIGINT AS depth FROM s QUALIFY row_num
 def n2(spark, d):
     """Events as a navigation log: an error goes back, all else opens a node."""
     e = E.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "back").otherwise("open").alias("action"), F.concat(F.lit("n"), F.col("event_id") % 7).alias("node"))
-    return N.replay(e).select("session_id", "current", F.size("history").cast("long").alias("depth"))
+    return SE.states(e, SE.stacks(e)).select("session_id", "current", F.col("before").alias("depth"))
 
 
 @query("j22_section_boxes", f'WITH {O.CHUNKS} SELECT document_id, (start // 2000)::BIGINT AS page, min(start) AS start, max("end") AS "end" FROM chunks GROUP BY ALL')

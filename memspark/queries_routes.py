@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspark import oracle as O
 from memspark.functions import text as T
 from memspark.operators import navigation as N
+from memspark.operators import sessions as SE
 from memspark.operators import training as G
 from memspark.plans import entities as E
 from memspark.queries_training import _RECORDS, records
@@ -79,9 +80,8 @@ SELECT session_id, (len(trail) + CASE WHEN current IS NULL THEN 1 ELSE 0 END)::I
 def n14(spark, d):
     """Trails of navigation sessions: the history, the current node and how many others were visited."""
     e = E.read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "back").otherwise("open").alias("action"), F.concat(F.lit("n"), F.col("event_id") % 50).alias("node"))
-    s = N.replay(e)
-    trail = F.array_distinct(F.concat("history", F.array("current")))
-    return s.select("session_id", F.size(trail).alias("steps"), F.size(F.array_except("visited", trail)).alias("left_out"))
+    s = SE.states(e, SE.stacks(e))
+    return s.select("session_id", F.greatest("trail", F.lit(1)).cast("int").alias("steps"), (F.col("visited") - F.col("trail")).cast("int").alias("left_out"))
 
 
 @query("t3_route_hints", rf"WITH {O.CHUNKS} SELECT document_id, ordinal, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), {O.SPLIT}), lambda w: strlen(w) >= 4)))[1:8], ' / ') AS hints FROM chunks WHERE len(list_filter(regexp_split_to_array(lower(text), {O.SPLIT}), lambda w: strlen(w) >= 4)) > 0")

@@ -27,12 +27,6 @@ def test_file_updates(spark):
     assert {r.id: r.kind for r in library.classify_updates(artifacts, disk).collect()} == {"a": "unchanged", "b": "changed", "c": "moved", "d": "deleted", "e": "duplicate", "f": "replaced"}
 
 
-def test_session_replay(spark):
-    log = [("s", 1, "open", "a"), ("s", 2, "open", "b"), ("s", 3, "back", None), ("s", 4, "back", None), ("s", 5, "open", "c")]
-    got = navigation.replay(spark.createDataFrame(log, "session_id string, seq int, action string, node string")).first()
-    assert (got.current, got.history, got.visited) == ("c", ["a"], ["a", "b", "c"])
-
-
 def test_gates(spark):
     """A passing target for each alternative of each task, and a failing one for each part left out."""
     rows = [("query_to_region", " ", "route_region:x", False), ("query_to_region", None, "route_region:x", False), ("query_to_region", "q", "to route_region:x", False), ("unknown", "", "x", False), ("recursive_role_trace", "", "Roles: planner, CRITIC; latent_status:research_only", True), (None, "q", "x", False), ("web_needed_or_not", "q", None, False)]
