@@ -172,7 +172,8 @@ def markdown_links(text: Column) -> Column:
     return F.transform(both, lambda x: strip(F.when(x.startswith("[["), F.substring(x, F.lit(3), F.length(x) - 4)).otherwise(F.substring(x, F.lit(3), F.length(x) - 3))))
 
 
-def normalize_ref(c: Column) -> Column:
+def normalize_ref(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
     cut = F.regexp_replace(strip(c), "^[/\"']+|[/\"']+$", "")
     cut = F.regexp_replace(F.regexp_replace(cut, r"(\.md)+$", ""), r"(\.markdown)+$", "")
     return F.regexp_replace(F.lower(cut), "[^a-z0-9-]", "")

@@ -10,6 +10,7 @@ from memspark.functions import text as T
 from memspark.operators import graph as L
 from memspark.operators import navigation as N
 from memspark.operators import sessions as SE
+from memspark.operators import references as RF
 from memspark.operators import similarity as Y
 from memspark.operators.sinks import latest, upsert
 from memspark.plans import entities as E
@@ -43,6 +44,21 @@ def g5(spark, d):
     return L.explicit_links(_cited(spark, d))
 
 
+_REF = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(trim({0}), '^[/\"'']+|[/\"'']+$', '', 'g'), '(\\.md)+$', ''), '(\\.markdown)+$', '')), '[^a-z0-9-]', '', 'g')"
+_TITLE = r"regexp_extract(html, '<title>(.*?)</title>', 1, 's')"
+
+
+@query("j9_path_references", rf"""WITH p AS (SELECT page_id, {_REF.format("page_id::VARCHAR")} AS id, {_REF.format(_TITLE)} AS title, {_REF.format("url")} AS path FROM pages),
+r AS (SELECT DISTINCT source, {_REF.format("raw")} AS ref FROM (SELECT page_id AS source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM pages)),
+t AS (SELECT ref, min(page_id) AS target FROM (SELECT DISTINCT ref FROM r WHERE ref <> '') JOIN p ON id = ref OR title = ref OR contains(path, ref) GROUP BY ref)
+SELECT DISTINCT source, target, 0.82::DOUBLE AS score FROM r JOIN t USING (ref) WHERE source <> target""")
+def j9(spark, d):
+    """Links of captured pages resolved against pages by id, title or part of the url; the smallest id wins."""
+    p = E.read(spark, d, "pages")
+    docs = p.select(F.col("page_id").alias("id"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.col("url").alias("path"))
+    return RF.reference_links(p.select(F.col("page_id").alias("source"), "html"), docs, F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+
+
 _PAIRS = f"""pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) + {Y.NUDGE}, 6) AS score
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
 
