@@ -56,10 +56,11 @@ def write_audited(ledger: Ledger, batch: str, marks: DataFrame, memories: DataFr
     return ledger.commit(batch, {"marks": (APPEND, new), "memories": (APPEND, memories), "audit": (APPEND, audit_events(writes, "write"))})
 
 
-def revert_marks(ledger: Ledger, batch: str, which: Column) -> int:
-    """Set reverted_by on the live marks that `which` chooses, with an audit event for each."""
-    marks = ledger.read("marks")
-    chosen = F.coalesce(which, F.lit(False)) & F.col("reverted_by").isNull()
-    events = audit_events(marks.filter(chosen).select(F.lit("attention_mark").alias("kind"), "target_id", F.col("action").alias("payload")), "revert")
-    after = marks.select("target_id", "action", F.when(chosen, F.lit(batch)).otherwise(F.col("reverted_by")).alias("reverted_by"))
+def revert_marks(ledger: Ledger, batch: str, chosen: DataFrame) -> int:
+    """Set reverted_by on the live marks of the chosen (target_id, action), with an audit event for each."""
+    pick = chosen.select("target_id", "action").distinct().withColumn("chosen", F.lit(True))
+    marks = ledger.read("marks").join(pick, ["target_id", "action"], "left")
+    now = F.col("chosen").isNotNull() & F.col("reverted_by").isNull()
+    events = audit_events(marks.filter(now).select(F.lit("attention_mark").alias("kind"), "target_id", F.col("action").alias("payload")), "revert")
+    after = marks.select("target_id", "action", F.when(now, F.lit(batch)).otherwise(F.col("reverted_by")).alias("reverted_by"))
     return ledger.commit(batch, {"marks": (REPLACE, after), "audit": (APPEND, events)})

@@ -10,6 +10,7 @@ from memspark.functions import hashing as H
 from memspark.operators import library as L
 from memspark.operators import retrieval as R
 from memspark.operators import signals as S
+from memspark.operators.digests import group_digest, group_digest_sql
 from memspark.plans import entities as E
 from memspark.queries_retrieval import asked, hybrid_sql
 from memspark.registry import query
@@ -63,17 +64,17 @@ def n13(spark, d):
     return best.select("query_id", anchor.alias("anchor_id"), F.col("document_id").alias("target_id")).join(scores, "target_id").select("query_id", "anchor_id", "access_score")
 
 
-@query("b10_audit_trail", f"""WITH {O.MARKS}, writes AS (SELECT 'attention_mark' AS kind, target_id, action AS payload FROM marks UNION ALL SELECT 'derived_memory', conv_id, left(text, 240) FROM conversations WHERE role = 'assistant')
-SELECT kind, 'write' AS event, count(*) AS events, count(DISTINCT target_id) AS targets, md5(string_agg(DISTINCT h, '' ORDER BY h)) AS digest FROM (SELECT *, md5(kind || ':' || target_id || ':' || payload) AS h FROM writes) GROUP BY kind
-UNION ALL SELECT 'attention_mark', 'revert', count(*), count(DISTINCT target_id), md5(string_agg(DISTINCT h, '' ORDER BY h)) FROM (SELECT target_id, md5('attention_mark:' || target_id || ':' || action) AS h FROM marks WHERE action = 'suppress' AND target_id IN (SELECT target_id FROM marks WHERE action = 'promote')) HAVING count(*) > 0""")
+@query("b10_audit_trail", f"""WITH {O.MARKS}, writes AS (SELECT 'attention_mark' AS kind, target_id, action AS payload FROM marks UNION ALL SELECT 'derived_memory', conv_id, left(text, 240) FROM conversations WHERE role = 'assistant'),
+ev AS (SELECT kind, 'write' AS event, target_id, md5(kind || ':' || target_id || ':' || payload) AS h FROM writes UNION ALL SELECT 'attention_mark', 'revert', target_id, md5('attention_mark:' || target_id || ':' || action) FROM marks WHERE action = 'suppress' AND target_id IN (SELECT target_id FROM marks WHERE action = 'promote'))
+SELECT kind, event, events, targets, digest FROM (SELECT kind, event, count(*) AS events, count(DISTINCT target_id) AS targets FROM ev GROUP BY ALL) JOIN ({group_digest_sql('SELECT DISTINCT kind, event, h AS line FROM ev', 'kind, event')}) USING (kind, event)""")
 def b10(spark, d):
     """Marks and derived memories with their audit events; a suppression that a promotion contradicts is reverted, which is an event too."""
     marks = E.marks(spark, d).select(F.lit("attention_mark").alias("kind"), "target_id", F.col("action").alias("payload"))
     memories = E.messages(spark, d).filter("role = 'assistant'").select(F.lit("derived_memory").alias("kind"), F.col("session_id").alias("target_id"), F.substring("content", 1, 240).alias("payload"))
     up = marks.filter("payload = 'promote'").select("target_id").distinct()
     events = L.audited(marks.union(memories), "write").union(L.audited(marks.filter("payload = 'suppress'").join(up, "target_id", "left_semi").select("kind", "target_id", "payload"), "revert"))
-    own = events.groupBy("kind", "event").agg(F.count("*").alias("events"), F.countDistinct("target_id").alias("targets"), F.md5(F.array_join(F.array_sort(F.collect_set("event_id")), "")).alias("digest"))
-    return own
+    counts = events.groupBy("kind", "event").agg(F.count("*").alias("events"), F.countDistinct("target_id").alias("targets"))
+    return counts.join(group_digest(events.select("kind", "event", F.col("event_id").alias("line")).distinct(), ["kind", "event"]), ["kind", "event"])
 
 
 @query("x10_message_anchors", """SELECT conv_id AS session_id, turn, 'message:' || conv_id || ':' || turn AS anchor_id, (start_at - size)::BIGINT AS start, start_at::BIGINT AS "end" FROM (SELECT *, length('Chat session ' || conv_id) + sum(size + 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS start_at FROM (SELECT conv_id, turn, role, text, length(upper(role) || ' [' || turn || ']: ' || text) AS size FROM conversations))""")

@@ -115,11 +115,8 @@ def b10_state(spark, d):
     marks = E.marks(spark, d)
     memories = E.messages(spark, d).filter("role = 'assistant'").select(F.col("session_id").alias("target_id"), F.substring("content", 1, 240).alias("text"))
     _twice(C.write_audited, ledger, "writes", marks, memories)
-    up = written(marks.filter("action = 'promote'").select("target_id").distinct(), "promoted")
-    both = written(marks.filter("action = 'suppress'").join(up, "target_id", "left_semi").select("target_id").distinct(), "contradicted")
-    # The revert chooses by the mark's own columns; which targets are contradicted is a table, so it is joined first.
-    ledger.commit("flags", {"marks": ("replace", ledger.read("marks").join(both.withColumn("hit", F.lit(True)), "target_id", "left").select("target_id", "action", "reverted_by", "hit"))})
-    _twice(C.revert_marks, ledger, "contradicted", (F.col("action") == "suppress") & F.col("hit"))
+    up = marks.filter("action = 'promote'").select("target_id").distinct()
+    _twice(C.revert_marks, ledger, "contradicted", marks.filter("action = 'suppress'").join(up, "target_id", "left_semi"))
     rows = ledger.read("marks").select(F.lit("mark").alias("tab"), "target_id", F.col("action").alias("what"), F.col("reverted_by").alias("detail"))
     rows = rows.union(ledger.read("memories").select(F.lit("memory"), "target_id", F.md5("text"), F.lit(None).cast("string")))
     return rows.union(ledger.read("audit").select(F.lit("audit"), "target_id", "event", "event_id"))
