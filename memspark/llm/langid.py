@@ -7,10 +7,15 @@ is solved on them. As K(x, L) = P(x) Lt is linear in the presence row P(x), scor
 batch is one matrix product of its presence matrix with (Lt A), A being the ridge
 weights seen through the landmarks.
 
+Presence says nothing once most n-grams occur, so a text is compared in windows of at most
+`WINDOW` characters that cover all of it, and its kernel is the mean of theirs: a text of any length
+is scored like one window of average content.
+
 The fit reads a bounded sample of labelled rows: `PER_LANG` a language, those with the
-smallest hashes of their ids; beyond `TOTAL / PER_LANG` languages every language gives
-`TOTAL` over their number, `LEAST` at least. Every language counts, however many there
-are, and every whole text is scored, also very long ones. Null texts and texts without a
+smallest hashes of id and text, and of a longer text the window that the hash names; beyond `TOTAL / PER_LANG`
+languages every language gives `TOTAL` over their number. The `MOST_LANGS` most frequent languages are learned (ties by name), each with
+one row at least, which bounds the driver, the model and the broadcast whatever the column `lang` holds. Every whole
+text is scored, also very long ones. Null texts and texts without a
 letter get `und` and score 0; a tie of scores goes to the first language by name. Rows are
 scored one by one, so repeated rows agree; an empty table gives an empty result, and
 without labelled rows all texts are `und`. Columns besides those named are ignored,
@@ -34,8 +39,10 @@ from memspark.llm.common import materialize, slices
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3, 4)
-#: Labelled rows of one language, of all languages where they are many, and the least of one.
-PER_LANG, TOTAL, LEAST = 600, 60_000, 20
+#: Labelled rows of one language, of all languages where they are many, and languages that are learned.
+PER_LANG, TOTAL, MOST_LANGS = 600, 60_000, 1000
+#: Characters of a window, its n-grams beginning in it.
+WINDOW = 2048
 LANDMARKS = 400
 RIDGE = 1e-2
 #: Steepness of the logistic curve from a ridge output (targets -1 and 1) to a score.
@@ -66,20 +73,51 @@ def _plain(text: str) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def presence(text: str, dim: int = DIM) -> np.ndarray:
-    """Which hashed n-grams occur in the whole text."""
+def window_count(plain: np.ndarray) -> int:
+    return max(1, -(-len(plain) // WINDOW))
+
+
+def presence(plain: np.ndarray, first: int, end: int, out: np.ndarray) -> None:
+    """Mark in the rows of out which hashed n-grams begin in windows first to end of a plain text; windows are of equal size."""
+    count = window_count(plain)
+    borders = len(plain) * np.arange(first, end + 1) // count
+    c = plain[borders[0] : borders[-1] + max(ORDERS) - 1]
+    own = np.repeat(np.arange(end - first), np.diff(borders))
+    shift = np.uint32(32 - DIM_BITS)
+    h = np.zeros(len(c), dtype=np.uint32)
+    for n in ORDERS:
+        if len(c) < n:
+            break
+        h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
+        k = min(len(h), len(own))
+        out[own[:k], (h[:k] * np.uint32(0x9E3779B1)) >> shift] = 1
+
+
+def window_rows(texts: list[str], block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Presence rows of all windows of all texts, at most `block` at a time, with the text each belongs to."""
+    rows, owner = np.zeros((block, DIM), np.uint8), []
+    for i, text in enumerate(texts):
+        plain = _plain(text)
+        at, count = 0, window_count(plain)
+        while at < count:
+            take = min(block - len(owner), count - at)
+            presence(plain, at, at + take, rows[len(owner) : len(owner) + take])
+            owner += [i] * take
+            at += take
+            if len(owner) == block:
+                yield rows, np.array(owner)
+                rows, owner = np.zeros((block, DIM), np.uint8), []
+    if owner:
+        yield rows[: len(owner)], np.array(owner)
+
+
+def one_window(text: str, draw: int) -> np.ndarray:
+    """The presence row of the window that draw names."""
     plain = _plain(text)
-    seen = np.zeros(dim, dtype=np.uint8)
-    shift = np.uint32(32 - dim.bit_length() + 1)
-    for k in range(0, len(plain), PIECE):
-        c = plain[k : k + PIECE + max(ORDERS) - 1]
-        h = np.zeros(len(c), dtype=np.uint32)
-        for n in ORDERS:
-            if len(c) < n:
-                break
-            h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
-            seen[(h * np.uint32(0x9E3779B1)) >> shift] = 1
-    return seen
+    at = draw % window_count(plain)
+    out = np.zeros((1, DIM), np.uint8)
+    presence(plain, at, at + 1, out)
+    return out[0]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -97,13 +135,15 @@ class Model:
         if not self.langs:
             return lang, score
         live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        for k in range(0, len(live), block):
-            part = live[k : k + block]
-            p = np.stack([presence(texts[i]) for i in part]).astype(np.float32)
-            out = (p @ self.weights) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1)) + self.bias
-            best = out.argmax(axis=1)
-            for i, b, v in zip(part, best, out[np.arange(len(part)), best], strict=True):
-                lang[i], score[i] = self.langs[b], float(1 / (1 + np.exp(-SLOPE * np.float64(v))))
+        total, windows = np.zeros((len(live), len(self.langs))), np.zeros(len(live))
+        for rows, owner in window_rows([texts[i] for i in live], block):
+            p = rows.astype(np.float32)
+            np.add.at(total, owner, (p @ self.weights) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1)))
+            np.add.at(windows, owner, 1)
+        out = total / np.maximum(windows, 1)[:, None] + self.bias
+        best = out.argmax(axis=1)
+        for i, b, v in zip(live, best, out[np.arange(len(live)), best], strict=True):
+            lang[i], score[i] = self.langs[b], float(1 / (1 + np.exp(-SLOPE * v)))
         return lang, score
 
 
@@ -142,28 +182,30 @@ def first_rows(labelled: DataFrame, lang_col: str, order: list[Column], rows: in
     return labelled.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, total: int = TOTAL, most_langs: int = MOST_LANGS) -> Model:
     """Fit on rows that aren't held out and have a language and a letter."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("draw", F.xxhash64(F.lit("langid"), "id"))
-    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("draw", F.xxhash64(F.lit("langid"), "id", "text"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    counts = materialize(counts, "langid-counts")
     langs = counts.count()
     if not langs:
         return fit_rows([])
-    rows = min(per_lang, max(LEAST, total // langs))
-    # Four times the rows are drawn by hash, without texts; their smallest hashes then pick the rows.
-    counts = F.broadcast(counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n")).alias("part")))  # a row a language, fewer than the fit's rows
-    drawn = labelled.select("lang", "draw").join(counts, F.col("lang") == F.col("of")).filter(F.col("draw").cast("double") / 2.0**64 + 0.5 <= F.col("part")).select("lang", "draw")
+    rows = min(per_lang, max(1, total // langs))
+    # Four times the rows are drawn by hash, without texts, and the first row of each language in any case; the smallest hashes then pick the rows.
+    counts = F.broadcast(counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n")).alias("part"), "least"))  # most_langs rows
+    chosen = (F.col("draw").cast("double") / 2.0**64 + 0.5 <= F.col("part")) | (F.col("draw") == F.col("least"))
+    drawn = labelled.select("lang", "draw").join(counts, F.col("lang") == F.col("of")).filter(chosen).select("lang", "draw")
     last = first_rows(drawn, "lang", [F.col("draw")], rows).groupBy("lang").agg(F.max("draw").alias("last"))
     last = F.broadcast(last.select(F.col("lang").alias("of"), "last"))
     sample = labelled.join(last, (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("last"))).select("draw", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = [(d, x, np.packbits(presence(t)).tobytes()) for d, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and _LETTER.search(t)]
+            keep = [(d, x, np.packbits(one_window(t, d % 2**64 >> 8)).tobytes()) for d, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.binary())], ["draw", "lang", "bits"])
 
-    found = first_rows(sample.mapInArrow(run, "draw long, lang string, bits binary"), "lang", [F.col("draw"), F.col("bits")], rows)  # many rows may share an id
+    found = first_rows(sample.mapInArrow(run, "draw long, lang string, bits binary"), "lang", [F.col("draw"), F.col("bits")], rows)  # rows may be repeated
     kept = sorted((r["draw"], r["lang"], bytes(r["bits"])) for r in found.collect())
     return fit_rows([(lang, bits) for _, lang, bits in kept])
 

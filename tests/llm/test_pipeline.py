@@ -15,6 +15,7 @@ from memspark.llm import langid, mixing
 from memspark.llm.common import table
 from tests.llm.test_mixing import plain_rake
 from tests.llm.test_ngram_join import brute as brute_classes
+from tests.llm.test_langid import rows_of
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_secrets import plain as plain_spans
 
@@ -27,8 +28,8 @@ def plain_language(rows, model):
     kept = []
     for r in rows:
         if r["text"] and any(c.isalpha() for c in r["text"]):
-            p = langid.presence(r["text"]).astype(float)
-            out = [float(np.dot(p, model.weights[:, c].astype(float))) / math.sqrt(p.sum()) + float(model.bias[c]) for c in range(len(model.langs))]
+            each = [p.astype(float) for p in rows_of(r["text"])]
+            out = [sum(float(np.dot(p, model.weights[:, c].astype(float))) / math.sqrt(p.sum()) for p in each) / len(each) + float(model.bias[c]) for c in range(len(model.langs))]
             if 1 / (1 + math.exp(-langid.SLOPE * max(out))) >= 0.15:
                 kept.append({**r, "lang": model.langs[out.index(max(out))]})
     return kept
