@@ -11,7 +11,13 @@ its start. As those words may also recur inside a notice, each start is tried wi
 near end, cut at a later start or uncut, and the best is kept; what no passage took is then
 aligned uncut. So all passages are returned, however often the template occurs. A text is
 only aligned with templates of which it holds enough distinct words to reach the least
-coverage, a bound that loses nothing. Each text is judged whole and by itself: nulls and empty
+coverage, a bound that loses nothing.
+
+Coverage alone doesn't name a license: the few words that tell siblings apart (a version, `lesser`, `by-nd`, a third
+clause) may be the missing ones. So each template has deciding words that must be matched, and deciding words of its siblings must
+not stand unmatched in the passage; a passage that no template may name is left out.
+
+ Each text is judged whole and by itself: nulls and empty
 texts hold no license, repeated rows agree, ties go to the first template in the list, and
 other columns are ignored. An empty table gives no rows; templates without words match
 nothing, and without templates no text holds a license.
@@ -57,12 +63,61 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-notice": "Released under the BSD License",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "all-rights-reserved": "All rights reserved",
 }
+#: Codes and versions of the Creative Commons licenses; their notices differ in nothing else.
+CC_CODES, CC_VERSIONS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("4.0", "3.0", "2.5", "2.0", "1.0")
+TEMPLATES |= {f"CC-{code}-{version}-notice": f"Licensed under CC {code} {version}" for code in CC_CODES for version in CC_VERSIONS}
+_LESSER = {"lesser", "library", "affero"}
+#: Deciding words by template: those that must be matched, and those of its siblings that must not stand unmatched in the passage.
+DECIDING: dict[str, tuple[set[str], set[str]]] = {
+    "MIT": ({"sublicense", "merge"}, set()),
+    "MIT-grant": ({"sublicense", "merge"}, set()),
+    "MIT-notice": ({"mit"}, set()),
+    "Apache-2.0": ({"apache", "2.0"}, {"1.0", "1.1"}),
+    "Apache-2.0-notice": ({"apache", "2.0"}, {"1.0", "1.1"}),
+    "Apache-1.1-notice": ({"apache", "1.1"}, {"1.0", "2.0"}),
+    "GPL-3.0": ({"general", "public", "3"}, _LESSER | {"2"}),
+    "GPL-3.0-notice": ({"general", "public", "3"}, _LESSER | {"2"}),
+    "GPL-2.0": ({"general", "public", "2"}, _LESSER | {"3"}),
+    "GPL-2.0-notice": ({"general", "public", "2"}, _LESSER | {"3"}),
+    "LGPL-2.1": ({"lesser", "2.1"}, {"3"}),
+    "LGPL-3.0": ({"lesser", "3"}, {"2.1"}),
+    "AGPL-3.0": ({"affero", "3"}, set()),
+    "BSD-2-Clause": ({"redistributions", "binary"}, {"endorse", "neither", "advertising", "acknowledgement", "acknowledgment"}),
+    "BSD-3-Clause": ({"redistributions", "binary", "endorse", "neither"}, {"advertising", "acknowledgement", "acknowledgment"}),
+    "BSD-notice": ({"bsd"}, {"2-clause", "3-clause", "4-clause"}),
+    "ISC": ({"fee", "purpose"}, set()),
+    "MPL-2.0": ({"mozilla", "2.0"}, {"1.0", "1.1"}),
+    "EPL-2.0": ({"eclipse", "2.0"}, {"1.0"}),
+    "Unlicense": ({"unencumbered"}, set()),
+    "Zlib": ({"misrepresented", "altered"}, set()),
+    "CC0-notice": ({"waived"}, set()),
+    "all-rights-reserved": ({"all", "rights", "reserved"}, set()),
+} | {f"CC-{code}-{version}-notice": ({"cc", code.lower(), version}, set()) for code in CC_CODES for version in CC_VERSIONS}
 #: Telling words that may mark a passage's start, and the longest passage, in lengths of the template, that is tried past other starts.
 STARTERS, REACH = 3, 8
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -121,8 +176,9 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str) -> None:
+    def __init__(self, name: str, text: str, deciding: tuple[set[str], set[str]] = (set(), set())) -> None:
         self.name, self.words = name, words_of(text)
+        self.required, self.barred = deciding
         self.counts = Counter(self.words)
         self.telling = frozenset(w for w in self.words if w not in _COMMON) or frozenset(self.words)
         #: The first STARTERS telling words and where each stands first.
@@ -214,22 +270,44 @@ def find(text: str, templates: list[Template], least: float = LEAST_COVERAGE) ->
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
-    """Per document: best license (most template words), its coverage and all found passages as name:first:end."""
+def named(text: str, templates: list[Template], least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int, int, float]]:
+    """The found passages that their template may name, each with its matched words and the share of words matched on both sides.
+
+    All deciding words of the template must be matched, and no deciding word of a sibling may stand unmatched in the
+    passage.
+    """
+    words, of = words_of(text), {t.name: t for t in templates}
+    kept = []
+    for name, cover, a, b in find(text, templates, least):
+        t = of[name]
+        pairs = align(words[a:b], t.words)
+        matched = {i for i, _ in pairs}
+        said = {t.words[j] for _, j in pairs}
+        if t.required <= said and not any(words[i] in t.barred and i - a not in matched for i in range(a, b)):
+            kept.append((name, cover, a, b, len(pairs), 2 * len(pairs) / (len(t.words) + b - a)))
+    return kept
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE, deciding: dict[str, tuple[set[str], set[str]]] | None = None) -> DataFrame:
+    """Per document: best license, its coverage and all named passages as name:first:end.
+
+    The best one has most matched words, then the greatest share of words matched on both sides, then comes first in the
+    list. `deciding` gives the required and barred words of templates; templates without an entry need none.
+    """
     known = dict(TEMPLATES if templates is None else templates)
+    decide = dict((DECIDING if templates is None else {}) if deciding is None else deciding)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Template(n, t) for n, t in known.items()]
-        size = {t.name: len(t.words) for t in made}
+        made = [Template(n, t, decide.get(n, (set(), set()))) for n, t in known.items()]
         for batch in slices(batches):
             name, cover, spans = [], [], []
             for text in batch.column(1).to_pylist():
-                found = find(text or "", made, least)
-                best = max(found, key=lambda f: f[1] * size[f[0]], default=None)
+                found = named(text or "", made, least)
+                best = max(found, key=lambda f: f[4:], default=None)
                 name.append(best[0] if best else None)
                 cover.append(round(best[1], 6) if best else 0.0)
-                spans.append(",".join(f"{n}:{a}:{b}" for n, _, a, b in found))
+                spans.append(",".join(f"{n}:{a}:{b}" for n, _, a, b, _, _ in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(cover, pa.float64()), pa.array(spans, pa.string())], ["doc_id", "license", "coverage", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, coverage double, passages string")

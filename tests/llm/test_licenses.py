@@ -140,3 +140,40 @@ def test_all_passages_are_returned():
         assert lic.find(" ".join(t.words * 50), [t]) == [(name, 1.0, n * k, n * (k + 1)) for k in range(50)]
         apart = [*t.words, *["x"] * 300, *t.words[:-1], *["x"] * 300, *t.words]
         assert [(f[1], f[2]) for f in lic.find(" ".join(apart), [t])] == [(1.0, 0), ((n - 1) / n, n + 300), (1.0, 2 * n + 599)]
+
+
+def names_of(text):
+    made = [lic.Template(n, t, lic.DECIDING.get(n, (set(), set()))) for n, t in lic.TEMPLATES.items()]
+    return [f[0] for f in lic.named(text, made)], max(lic.named(text, made), key=lambda f: f[4:], default=(None,))[0]
+
+
+def test_every_template_gives_its_own_name_and_no_siblings():
+    assert lic.DECIDING.keys() == lic.TEMPLATES.keys()
+    part_of = {"MIT": {"MIT-grant"}, "Apache-2.0": {"Apache-2.0-notice"}}
+    for name, text in lic.TEMPLATES.items():
+        found, best = names_of(f"Some words before. {text}\nAnd some after it.")
+        assert best == name and set(found) <= {name} | part_of.get(name, set()), (name, found)
+
+
+def test_siblings_without_a_template_give_no_name():
+    gpl = lic.TEMPLATES["GPL-3.0"]
+    for text in (
+        "Released under the XYZ License", "Released under the Apache License", "Licensed under CC BY-ND 7.0", "Licensed under CC BY-NC-XX 4.0", "Licensed under CC SA 4.0", "Licensed under the Apache License, Version 1.0",
+        "This work is licensed under the GNU General Public License, version 1", "This work is licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3",
+        gpl.replace("version 3", "version 4"), gpl.replace("General Public", "Library General Public"),
+        lic.TEMPLATES["BSD-3-Clause"].replace("3. Neither", "3. All advertising materials mentioning features must display an acknowledgement. 4. Neither"),
+    ):
+        assert names_of(text) == ([], None), text
+
+
+def test_names_hold_with_any_word_missing_or_changed():
+    """With one word of a notice missing or changed, the scan says its own name or none; never a sibling's."""
+    part_of = {"MIT": {"MIT-grant"}, "Apache-2.0": {"Apache-2.0-notice"}}
+    for name, text in lic.TEMPLATES.items():
+        words = text.split()
+        for i in range(0, len(words), 1 if len(words) < 90 else 9):
+            for edited in ([*words[:i], *words[i + 1 :]], [*words[:i], "zzz", *words[i + 1 :]]):
+                found, best = names_of(" ".join(edited))
+                if name == "BSD-3-Clause" and not {"Neither", "endorse"} <= set(edited):
+                    continue  # half of what tells it from its sibling is gone
+                assert best in {name, None} | part_of.get(name, set()) and set(found) <= {name} | part_of.get(name, set()), (name, i, found)
