@@ -23,6 +23,11 @@ CODE_PREFIXES = ("fn", "struct", "enum", "impl", "class", "def", "function", "in
 _SPACE = r"(?U)\s+"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it and in whatever lambdas."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -223,14 +228,18 @@ def parse_table(text: Column) -> Column:
     The first line with two commas is the header; later lines with as many commas as a row needs (two are enough)
     and no fewer fields than headers are rows, each distinct one once, cut to the headers' number.
     """
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: strip(x) != "")
     commas = lambda x: F.length(x) - F.length(F.replace(x, F.lit(",")))
-    at = F.array_position(F.transform(lines, lambda x: commas(x) >= 2), True)
-    headers = csv_fields(F.try_element_at(lines, F.greatest(at, F.lit(1)).cast("int")))
-    after = F.slice(lines, (at + 1).cast("int"), F.size(lines))
-    fields = F.transform(F.filter(after, lambda x: commas(x) >= F.least(F.size(headers) - 1, F.lit(2))), csv_fields)
-    rows = F.array_distinct(F.transform(F.filter(fields, lambda f: F.size(f) >= F.size(headers)), lambda f: F.slice(f, F.lit(1), F.size(headers))))
-    return F.when((at > 0) & (F.size(headers) >= 2) & (F.size(rows) > 0), F.struct(headers.alias("headers"), rows.alias("rows")))
+
+    def below(lines: Column, at: Column, headers: Column) -> Column:
+        after = F.filter(F.slice(lines, (at + 1).cast("int"), F.size(lines)), lambda x: commas(x) >= F.least(F.size(headers) - 1, F.lit(2)))
+        fields = F.filter(F.transform(after, csv_fields), lambda f: F.size(f) >= F.size(headers))
+        rows = F.array_distinct(F.transform(fields, lambda f: F.slice(f, F.lit(1), F.size(headers))))
+        return let(rows, lambda r: F.when((at > 0) & (F.size(headers) >= 2) & (F.size(r) > 0), F.struct(headers.alias("headers"), r.alias("rows"))))
+
+    found = F.filter(F.split(text, "\r?\n"), lambda x: strip(x) != "")
+    first = lambda lines: F.array_position(F.transform(lines, lambda x: commas(x) >= 2), True)
+    names = lambda lines, at: csv_fields(F.try_element_at(lines, F.greatest(at, F.lit(1)).cast("int")))
+    return let(found, lambda lines: let(first(lines), lambda at: let(names(lines, at), lambda headers: below(lines, at, headers))))
 
 
 def table_score(title: Column, table: Column, tokens: Column) -> Column:

@@ -84,6 +84,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages: url, text, hash of the whole page text, retrieval time (page n is n hours old)."""
-    p = read(spark, sf_dir, "pages")
-    p = p.select("page_id", "url", P.page_text(F.col("html"), None).alias("whole"))
+    return captured(read(spark, sf_dir, "pages"))
+
+
+def captured(pages: DataFrame) -> DataFrame:
+    """Findings of pages, be they a table or a stream."""
+    p = pages.select("page_id", "url", P.page_text(F.col("html"), None).alias("whole"))
     return p.select("page_id", "url", P.url_domain(F.col("url")).alias("domain"), F.substring("whole", 1, P.MAX_BODY).alias("body"), F.sha2("whole", 256).alias("content_hash"), (F.lit(NOW_MS) - F.col("page_id") * 3_600_000).alias("retrieved_at"))

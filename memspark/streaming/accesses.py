@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Stream over a parquet table, be it a folder of files or one file."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def read_events(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """Stream over a parquet table, be it a folder of files or one file; `files` a trigger."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         return reader.parquet(path)
