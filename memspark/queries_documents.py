@@ -122,7 +122,8 @@ def g12_nodes(spark, d):
 
 @query("g12_snapshot_edges", f"""WITH {_EMBEDDED}, {_DOCUMENT_LINKS}, {O.MARKS}, down AS (SELECT target_id FROM marks GROUP BY target_id HAVING bool_or(action = 'suppress') AND NOT bool_or(action IN ('pin', 'promote', 'hot'))),
 ev AS (SELECT document_id * {T.MAX_CHUNKS} + ordinal AS id, v FROM emb),
-vl AS (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')} + {Y.NUDGE}, 6) AS score FROM ev x JOIN ev y ON x.id <> y.id WHERE {O.dot('x.v', 'y.v')} > {VISUAL} QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) <= {PARTNERS})
+vp AS (SELECT x.id AS a, y.id AS b, round({O.dot('x.v', 'y.v')} + {Y.NUDGE}, 6) AS score FROM ev x JOIN ev y ON x.id <> y.id WHERE {O.dot('x.v', 'y.v')} > {VISUAL}),
+vl AS (SELECT a, l.b AS b, -l.s AS score FROM (SELECT a, unnest(min({{'s': -score, 'b': b}}, {PARTNERS})) AS l FROM vp GROUP BY a))
 SELECT 'semantic proximity' AS label, least(a, b) AS a, greatest(a, b) AS b, max(score) AS weight FROM vl GROUP BY 2, 3
 UNION ALL SELECT kind, a, b, greatest(score, {LEAST_WEIGHT}) FROM dl WHERE a NOT IN (FROM down) AND b NOT IN (FROM down)
 UNION ALL SELECT 'source text', document_id * {T.MAX_CHUNKS} + ordinal, document_id, {SOURCE_WEIGHT} FROM chunks""")
