@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/memspark"
@@ -69,6 +70,22 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, name)
 
 
+#: Keys that may be broadcast in a join, each with more than one in as many rows.
+HEAVY = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of written rows with a table of unique keys; the at most HEAVY keys that each hold more than a HEAVY-th of the rows come by broadcast."""
+    n = rows.count()
+    heavy = materialize(rows.groupBy(*keys).agg(F.count("*").alias("heavy")).filter(F.col("heavy") * HEAVY > n), "heavy-keys")  # fewer than HEAVY
+    if heavy.isEmpty():
+        discard(heavy)
+        return rows.join(table, keys)
+    few = F.broadcast(heavy.select(*keys))
+    by_broadcast = rows.join(F.broadcast(table.join(few, keys, "left_semi")), keys)
+    return by_broadcast.unionByName(rows.join(few, keys, "left_anti").join(table.join(few, keys, "left_anti"), keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows, without a copy. Spark bounds a batch's bytes; this bounds what is unpacked of it."""
     for batch in batches:

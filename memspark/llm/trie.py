@@ -15,7 +15,7 @@ prefix once. A conversation takes part in as many rounds as its length has binar
 Texts pass one exchange, by ranges of (conversation, turn, role, text), and go on as 128-bit digests;
 a prefix digest is the wrapping sum of digests mixed with their positions. Equal digests count as
 equal prefixes. A conversation of any length is dealt by ranges and by blocks of `BLOCK` turns; joins whose keys may be
-shared by many rows take the at most `HEAVY` keys that hold more than a `HEAVY`-th of the rows by broadcast. Ids that end at one node
+shared by many rows take the few keys that hold a large share of them by broadcast (`common.lookup`). Ids that end at one node
 are hashed in order, in pieces of `PIECE` ids; SHA-256 itself is sequential, so the pieces of one node pass one task as a stream.
 
 Null roles and texts are empty. Turns of a conversation are ordered by turn, null first, ties by role and text, so
@@ -36,12 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memspark.llm.common import discard, materialize, mix64, slices
+from memspark.llm.common import discard, lookup, materialize, mix64, slices
 
 #: Turns of a conversation, or nodes of a chain, that one group holds.
 BLOCK = 1 << 16
-#: Keys that may be broadcast, each with more than one in as many rows.
-HEAVY = 1000
 #: Ids that one piece of an end list holds.
 PIECE = 8192
 #: Characters of role and text that ranges are cut by; rows that agree in them stay in one range.
@@ -160,18 +158,6 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return out
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of written rows with a table of unique keys; keys that many of the rows share come by broadcast."""
-    n = rows.count()
-    heavy = materialize(rows.groupBy(*keys).agg(F.count("*").alias("heavy")).filter(F.col("heavy") * HEAVY > n), "trie-heavy")  # fewer than HEAVY
-    if heavy.isEmpty():
-        discard(heavy)
-        return rows.join(table, keys)
-    few = F.broadcast(heavy.select(*keys))
-    by_broadcast = rows.join(F.broadcast(table.join(few, keys, "left_semi")), keys)
-    return by_broadcast.unionByName(rows.join(few, keys, "left_anti").join(table.join(few, keys, "left_anti"), keys))
-
-
 def first_owned(found: DataFrame, minima: DataFrame, lengths: DataFrame) -> DataFrame:
     """conv_id, length, above, parent: the greatest depth that a conversation doesn't own (0: none) and that prefix's owner.
 

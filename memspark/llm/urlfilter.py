@@ -1,35 +1,31 @@
 """URL filter: host and path rules first, then word segmentation and multinomial naive Bayes.
 
-Words concatenated in host labels and path pieces are split by a unigram Viterbi search.
-Its words are those of the whole texts of all pages, and url pieces that `MIN_HOSTS` hosts
-share, if their share of all words is `MIN_SHARE` or more: rarer ones tell a word no better
-than its letters do, and there can't be more than 1 / MIN_SHARE of them.
-
-The urls that a rule fits are the labelled examples: the rule's verdict is their class, and
-their host and path tokens are counted per class over all pages. A multinomial naive Bayes
-model (Laplace smoothing) of these counts judges the urls that no rule fits, so the rules'
-verdicts carry over to urls with like words. Tokens of `MIN_SHARE` or more are broadcast,
-again no more than 1 / MIN_SHARE; all others stay a table that the urls' rarer tokens are
-joined to, so every token counts, and totals are those of all tokens.
+Words concatenated in host labels and path pieces are split by a unigram Viterbi search over the words of
+the whole texts of all pages, however rare. Each distinct piece is split once: its substrings meet the word counts in a
+join, so no task holds the dictionary, and a piece that many hosts share is no word unless pages use it.
+
+The urls that a rule fits are the labelled examples: the rule's verdict is their class. The rule's own pieces are
+left out of them, so that the words around it count and not the rule again. A multinomial naive Bayes model
+(Laplace smoothing) of their host and path tokens judges the urls that no rule fits. A token counts if `MIN_HOSTS`
+hosts of one class have it, since one host's words tell of that host only. The prior is an argument, not the share of blocked
+examples, which tells how rules were written and not how common bad urls are. A url without any token that counts is allowed.
 
 A null url or one without `://` has an empty host and path, no tokens, and is allowed.
-An empty table gives no rows; without a blocked example everything unruled is allowed, and
-so is a tie (a probability of 0.5). Long urls are segmented whole. Repeated rows agree, page
-ids may be null; other columns are ignored.
+An empty table gives no rows; without examples of both classes everything unruled is allowed, and
+so is a tie (a probability of 0.5). Long urls are segmented whole: a piece of n letters is 24 n substrings and words of at most
+that length. Repeated rows agree, page ids may be null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import discard, materialize
+from memspark.llm.common import discard, lookup, materialize
 
 #: (verdict, host, path) of the rules; a rule's text is host + path, the longest that fits wins.
 RULES = (
@@ -39,14 +35,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Least share of a word or token that is held by every task, and hosts that make a url piece a word.
-MIN_SHARE = 1e-5
-MIN_HOSTS = 10
+#: Hosts of one class that make a token count, and the probability of block before any token is seen.
+MIN_HOSTS, PRIOR = 2, 0.1
 LONGEST_WORD = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What isn't text in a page.
 _MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>|&#?\w+;"
-_PIECE = re.compile(r"[^\W\d_]+|\d+")
+_PIECES = "\\p{L}+|\\p{Nd}+"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -68,143 +63,127 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return text, verdict
 
 
-class Segmenter:
-    """Unigram Viterbi segmentation of lower-case letter strings."""
-
-    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
-        total = max(total or 0, sum(counts.values())) or 1
-        self.log = {w: math.log(c / total) for w, c in counts.items()}
-        self.unknown = [math.log(10 / total) - k * math.log(10) for k in range(LONGEST_WORD + 1)]
-        self.memory: dict[str, list[str]] = {}
-
-    def split(self, s: str) -> list[str]:
-        if s in self.memory:
-            return self.memory[s]
-        best, cut = [0.0], [0]
-        for j in range(1, len(s) + 1):
-            options = ((best[i] + self.log.get(s[i:j], self.unknown[j - i]), -i) for i in range(max(0, j - LONGEST_WORD), j))
-            value, i = max(options)
-            best.append(value)
-            cut.append(-i)
-        out, j = [], len(s)
-        while j:
-            out.append(s[cut[j] : j])
-            j = cut[j]
-        out.reverse()
-        if len(self.memory) < 100_000 and len(s) < 64:
-            self.memory[s] = out
-        return out
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host tokens, then path tokens; the two kinds are told apart, numbers are one token."""
-        out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            for piece in _PIECE.findall(text):
-                out += [mark + "0"] if piece.isdigit() else [mark + w for w in self.split(piece)]
-        return out
-
-
-def word_counts(pages: DataFrame, least: float = MIN_SHARE) -> tuple[dict[str, int], int]:
-    """Words of all page texts and shared url pieces with their counts, rare ones left out, and the count of all."""
+def split(piece: str, counts: dict[str, int], total: int) -> list[str]:
+    """The most probable cut of a piece into words; an unknown word of k letters has probability 10 / total / 10^k."""
+    total = max(total, 1)
+    log = {w: math.log(c / total) for w, c in counts.items()}
+    unknown = [math.log(10 / total) - k * math.log(10) for k in range(LONGEST_WORD + 1)]
+    best, cut = [0.0], [0]
+    for j in range(1, len(piece) + 1):
+        options = ((best[i] + log.get(piece[i:j], unknown[j - i]), -i) for i in range(max(0, j - LONGEST_WORD), j))
+        value, i = max(options)
+        best.append(value)
+        cut.append(-i)
+    out, j = [], len(piece)
+    while j:
+        out.append(piece[cut[j] : j])
+        j = cut[j]
+    return out[::-1]
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, count of all page texts; words longer than LONGEST_WORD can't be found in a piece."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), _MARKUP, " "))
-    words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word")).filter("word <> ''").groupBy("word").count()
-    host, path = host_and_path(F.col("url"))
-    pieces = F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("\\p{L}+"), F.lit(0)))
-    shared = pages.select(host.alias("host"), path.alias("path")).select("host", pieces.alias("word")).groupBy("word", "host").count()
-    shared = shared.groupBy("word").agg(F.count("*").alias("hosts"), F.sum("count").alias("count")).filter(F.col("hosts") >= MIN_HOSTS)
-    counts = materialize(words.union(shared.select("word", "count")).groupBy("word").agg(F.sum("count").alias("count")), "url-words")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    found = {r[0]: r[1] for r in counts.filter(F.col("count") >= least * total).collect()}
-    discard(counts)
-    return found, total
-
-
-class NaiveBayes:
-    """Log odds of block against allow, from token counts of the two classes.
-
-    `counts` are those of the tokens that are held, `totals` and `kinds` those of all tokens.
-    """
-
-    def __init__(self, counts: dict[str, tuple[int, int]], totals: tuple[int, int], kinds: int, urls: tuple[int, int]) -> None:
-        self.allow, self.block = totals[0] + kinds + 1, totals[1] + kinds + 1
-        self.odds = {t: math.log((b + 1) / self.block) - math.log((a + 1) / self.allow) for t, (a, b) in counts.items()}
-        self.prior = math.log((urls[1] + 1) / (urls[0] + 1))
-        self.trained = urls[1] > 0
-
-    def odds_of(self, allow: Column, block: Column) -> Column:
-        """The log odds of tokens that aren't held; decimals, so that sums don't hang on their order."""
-        return (F.log((block + 1) / F.lit(self.block)) - F.log((allow + 1) / F.lit(self.allow))).cast("decimal(28,18)")
-
-    def score(self, tokens: list[str], rest: float = 0.0) -> float:
-        """Probability of block; rest is the sum of odds of the tokens that aren't held."""
-        if not tokens or not self.trained:
-            return 0.0
-        z = self.prior + sum(self.odds.get(t, 0.0) for t in tokens) + rest
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
-
-
-def fit(pages: DataFrame, rules: tuple = RULES, least: float = MIN_SHARE) -> tuple[Segmenter, NaiveBayes, DataFrame | None]:
-    """The models, and the counts (token, allow, block) of tokens that the second doesn't hold, if there are any."""
-    segmenter = Segmenter(*word_counts(pages))
-    shared = pages.sparkSession.sparkContext.broadcast(segmenter)
-    host, path = host_and_path(F.col("url"))
-    _, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = pages.select(host.alias("host"), path.alias("path")).withColumn("verdict", verdict).filter("verdict is not null")
+    words = pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("word")).filter(F.length("word").between(1, LONGEST_WORD))
+    return words.groupBy("word").agg(F.count("*").alias("count"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for h, p, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen.update((t, v) for t in shared.value.tokens(h, p))
-                seen["", v] += 1  # the urls themselves
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), *(pa.array([n * (k[1] == v) for k, n in seen.items()], pa.int64()) for v in ("allow", "block"))], ["token", "allow", "block"])
-
-    counts = ruled.mapInArrow(count, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    counts = materialize(counts, "url-tokens")
-    named, both = counts.filter("token <> ''"), F.col("allow") + F.col("block")
-    urls = counts.filter("token = ''").select("allow", "block").first() or (0, 0)
-    kinds, allow, block = named.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
-    frequent = both >= least * ((allow or 0) + (block or 0))
-    rows = named.filter(frequent).collect()
-    model = NaiveBayes({r["token"]: (r["allow"], r["block"]) for r in rows}, (allow or 0, block or 0), kinds, tuple(urls))
-    if kinds == len(rows):
-        discard(counts)
-        return segmenter, model, None
-    return segmenter, model, named.filter(~frequent)
-
-
-def judge(pages: DataFrame, rules: tuple = RULES, least: float = MIN_SHARE) -> DataFrame:
-    """page_id, host, path, rule, verdict, block probability by the method and the segments."""
-    segmenter, model, others = fit(pages, rules, least)
-    shared = pages.sparkSession.sparkContext.broadcast((segmenter, model))
-    host, path = host_and_path(F.col("url"))
-    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": ruled})
-    kind = pages.schema["page_id"].dataType.simpleString()
-    if others is None:
-        parts = parts.withColumn("rest", F.lit(0.0))
-    else:
-
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            segmenter, model = shared.value
-            for batch in batches:
-                found = [[t for t in segmenter.tokens(h, p) if t not in model.odds] for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "rare"])
-
-        parts = parts.mapInArrow(rare, f"page_id {kind}, host string, path string, rule string, ruled string, rare array<string>")
-        parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "url-parts")
-        odds = others.select("token", model.odds_of(F.col("allow"), F.col("block")).alias("odds"))
-        # Tokens that many urls share are held in the model, so no key of this join is common.
-        rest = parts.select("row", F.explode("rare").alias("token")).join(odds, "token").groupBy("row").agg(F.sum("odds").cast("double").alias("rest"))
-        parts = parts.join(rest, "row", "left").select("page_id", "host", "path", "rule", "ruled", F.coalesce("rest", F.lit(0.0)).alias("rest"))
-    names = ["page_id", "host", "path", "rule", "verdict", "block_score", "segments"]
+
+def segmented(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """piece, words of each distinct letter piece."""
+    total = words.agg(F.sum("count")).first()[0] or 0
+    spots = pieces.select("piece", F.explode(F.expr("sequence(1, length(piece))")).alias("at"))
+    spots = spots.select("piece", "at", F.explode(F.expr(f"sequence(1, least({LONGEST_WORD}, length(piece) - at + 1))")).alias("n"))
+    parts = materialize(spots.select("piece", F.expr("substring(piece, at, n)").alias("word")).distinct(), "url-substrings")
+    known = lookup(parts, words, ["word"]).groupBy("piece").agg(F.collect_list(F.struct("word", "count")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, model = shared.value
         for batch in batches:
-            tokens = [segmenter.tokens(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            scores = [model.score(t, r) for t, r in zip(tokens, batch.column(5).to_pylist(), strict=True)]
-            verdicts = [v or ("block" if s > 0.5 else "allow") for v, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), pa.array([" ".join(t) for t in tokens], pa.string())], names)
+            piece, known = (c.to_pylist() for c in batch.columns)
+            cut = [split(p, {k["word"]: k["count"] for k in ks or ()}, total) for p, ks in zip(piece, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string()))], ["piece", "words"])
 
-    return parts.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_score double, segments string")
+    found = materialize(pieces.join(known, "piece", "left").select("piece", "known").mapInArrow(run, "piece string, words array<string>"), "url-segments")
+    discard(parts)
+    return found
+
+
+def _raw_pieces(host: Column, path: Column) -> Column:
+    """Array of (mark, piece) of host and path: marks tell the two apart."""
+    each = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda p: F.struct(F.lit(mark).alias("mark"), p.alias("piece")))
+    return F.concat(each(host, "h:"), each(F.lower(path), "p:"))
+
+
+def parts_of(pages: DataFrame, rules: tuple) -> DataFrame:
+    """row, page_id, host, path, rule, ruled, pieces of every page."""
+    host, path = host_and_path(F.col("url"))
+    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": ruled})
+    return materialize(parts.withColumn("pieces", _raw_pieces(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id()), "url-parts")
+
+
+def tokens_of(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """row, host, rule, ruled, pos, k, piece (marked), token: tokens in order; a number is the token 0."""
+    pieces = parts.select("row", "host", "rule", "ruled", F.posexplode("pieces").alias("pos", "p")).select("row", "host", "rule", "ruled", "pos", "p.mark", "p.piece")
+    pieces = materialize(pieces, "url-pieces")
+    number = F.col("piece").rlike("^\\p{Nd}")
+    cut = segmented(pieces.filter(~number).select("piece").distinct(), words)
+    letters = materialize(pieces.filter(~number), "url-letters")
+    split_ = lookup(letters, cut, ["piece"]).select("row", "host", "rule", "ruled", "pos", "mark", "piece", F.posexplode("words").alias("k", "word"))
+    numbers = pieces.filter(number).select("row", "host", "rule", "ruled", "pos", "mark", "piece", F.lit(0).alias("k"), F.lit("0").alias("word"))
+    every = split_.unionByName(numbers)
+    tokens = materialize(every.select("row", "host", "rule", "ruled", "pos", "k", F.concat("mark", "piece").alias("piece"), F.concat("mark", "word").alias("token")), "url-tokens")
+    discard(pieces, letters, cut)
+    return tokens
+
+
+def token_odds(tokens: DataFrame, rules: tuple = RULES, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """token, odds: log odds of block against allow of tokens that enough hosts of one class have."""
+    own = F.create_map(*[x for _, h, p in rules for x in (F.lit(h + p), F.transform(_raw_pieces(F.lit(h), F.lit(p)), lambda r: F.concat(r["mark"], r["piece"])))]) if rules else None
+    ruled = tokens.filter("ruled is not null")
+    if own is not None:
+        ruled = ruled.filter(~F.array_contains(F.try_element_at(own, F.col("rule")), F.col("piece")))
+    hosts = ruled.groupBy("token", "ruled", "host").agg(F.count("*").alias("n"))
+    of = lambda kind, c: F.sum(F.when(F.col("ruled") == kind, c).otherwise(0))
+    counts = hosts.groupBy("token").agg(of("allow", F.col("n")).alias("allow"), of("block", F.col("n")).alias("block"), F.greatest(of("allow", F.lit(1)), of("block", F.lit(1))).alias("hosts"))
+    counts = materialize(counts, "url-counts")
+    kinds, allow, block = counts.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    if not allow or not block:
+        return counts.filter(F.lit(False)).select("token", F.lit(0.0).cast("decimal(28,18)").alias("odds"))
+    odds = F.log((F.col("block") + 1) / F.lit(block + kinds + 1)) - F.log((F.col("allow") + 1) / F.lit(allow + kinds + 1))
+    # Decimals, so that sums don't hang on their order.
+    return counts.filter(F.col("hosts") >= min_hosts).select("token", odds.cast("decimal(28,18)").alias("odds"))
+
+
+def block_scores(tokens: DataFrame, odds: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """row, block_score of the rows that have a token that counts."""
+    z = F.sum("odds").cast("double") + math.log(prior / (1 - prior))
+    return lookup(tokens.select("row", "token"), odds, ["token"]).groupBy("row").agg((1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))).alias("block_score"))
+
+
+def judge(pages: DataFrame, rules: tuple = RULES, prior: float = PRIOR, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """page_id, host, path, rule, verdict, block probability by the method (0 without a token that counts) and the segments."""
+    parts = parts_of(pages, rules)
+    words = materialize(word_counts(pages), "url-words")
+    tokens = tokens_of(parts, words)
+    scores = block_scores(tokens, token_odds(tokens, rules, min_hosts), prior)
+    listed = tokens.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "token"))), lambda t: t["token"]), " ").alias("segments"))
+    score = F.coalesce("block_score", F.lit(0.0))
+    verdict = F.coalesce("ruled", F.when(score > 0.5, "block").otherwise("allow"))
+    found = parts.join(scores, "row", "left").join(listed, "row", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("block_score"), F.coalesce("segments", F.lit("")).alias("segments"))
+    found = materialize(found, "url-verdicts")
+    discard(parts, words, tokens)
+    return found
+
+
+def held_out_figures(pages: DataFrame, rules: tuple = RULES, prior: float = 0.5, min_hosts: int = MIN_HOSTS) -> dict[str, int]:
+    """How the method judges ruled urls of hosts it hasn't seen (a fifth of all hosts, by hash), the rules' pieces left out: counts of (rule's verdict)_(method's)."""
+    tokens = tokens_of(parts_of(pages, rules), word_counts(pages))
+    unseen = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    odds = token_odds(tokens.filter(~unseen), rules, min_hosts)
+    own = F.create_map(*[x for _, h, p in rules for x in (F.lit(h + p), F.transform(_raw_pieces(F.lit(h), F.lit(p)), lambda r: F.concat(r["mark"], r["piece"])))])
+    asked = tokens.filter(unseen & F.col("ruled").isNotNull())
+    around = materialize(asked.filter(~F.array_contains(F.try_element_at(own, F.col("rule")), F.col("piece"))), "url-asked")
+    scores = block_scores(around, odds, prior)
+    said = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
+    rows = asked.select("row", "ruled").distinct().join(scores, "row", "left").groupBy("ruled", said.alias("said")).count().collect()
+    return {f"{r['ruled']}_{r['said']}": r["count"] for r in rows}

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from memspark.llm import trie
+from memspark.llm import common, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, owner string"
 RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -59,7 +59,7 @@ def random_rows(rng, convs, words, longest):
 @pytest.mark.parametrize(("seed", "block", "heavy", "piece", "longest", "words"), [(1, 1 << 16, 1000, 8192, 6, 2), (2, 3, 2, 2, 12, 1), (3, 4, 5, 3, 30, 2), (4, 2, 1000, 1, 5, 5)])
 def test_equals_plain_python(spark, monkeypatch, seed, block, heavy, piece, longest, words):
     monkeypatch.setattr(trie, "BLOCK", block)
-    monkeypatch.setattr(trie, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     monkeypatch.setattr(trie, "PIECE", piece)
     rows = random_rows(random.Random(seed), 60, words, longest)
     assert nodes(spark, rows) == reference(rows)
@@ -67,7 +67,7 @@ def test_equals_plain_python(spark, monkeypatch, seed, block, heavy, piece, long
 
 def test_chains_that_hang_on_chains(spark, monkeypatch):
     """Conversation k shares its first k turns with k - 1: every chain hangs on the one before."""
-    monkeypatch.setattr(trie, "HEAVY", 3)
+    monkeypatch.setattr(common, "HEAVY", 3)
     n = 20
     rows = [(k, t, "user", f"{t}-{min(k, t)}") for k in range(n) for t in range(n)]
     assert nodes(spark, rows, graft=False) == reference(rows, graft=False)

@@ -66,59 +66,96 @@ def test_segmentation_is_the_most_probable_of_all(spark):
     for _ in range(40):
         words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(12)]
         counts = {w: rng.randint(1, 50) for w in words}
-        s = u.Segmenter(counts, 1000)
         for _ in range(10):
             piece = "".join(rng.choice("abcz") for _ in range(rng.randint(1, 11)))
-            cut = s.split(piece)
+            cut = u.split(piece, counts, 1000)
             value = sum(math.log(counts[w] / 1000) if w in counts else math.log(10 / 1000) - len(w) * math.log(10) for w in cut)
             assert "".join(cut) == piece and abs(value - plain_split(piece, counts, 1000)[0]) < 1e-9
-    s = u.Segmenter({"the": 50, "rapist": 1, "therapist": 5, "finder": 4, "find": 3, "er": 1})
-    assert s.split("therapistfinder") == ["therapist", "finder"] and s.split("") == []
+    counts = {"the": 50, "rapist": 1, "therapist": 5, "finder": 4, "find": 3, "er": 1}
+    assert u.split("therapistfinder", counts, 64) == ["therapist", "finder"] and u.split("", counts, 64) == []
 
 
-def test_scores_are_those_of_a_plain_naive_bayes(spark):
-    got = {r.page_id: r for r in u.judge(table(spark, URLS)).collect()}
-    counts, urls = {"allow": {}, "block": {}}, {"allow": 0, "block": 0}
-    for r in got.values():
-        if r.rule:
-            urls[r.verdict] += 1
-            for t in r.segments.split():
-                counts[r.verdict][t] = counts[r.verdict].get(t, 0) + 1
-    vocabulary = len(counts["allow"].keys() | counts["block"].keys()) + 1
-    scores = []
-    for r in got.values():
-        odds = math.log((urls["block"] + 1) / (urls["allow"] + 1))
-        for t in r.segments.split():
-            b, a = ((counts[c].get(t, 0) + 1) / (sum(counts[c].values()) + vocabulary) for c in ("block", "allow"))
-            odds += math.log(b / a) if t in counts["allow"] or t in counts["block"] else 0
-        want = 1 / (1 + math.exp(-odds)) if r.segments else 0.0
-        assert abs(r.block_score - want) < 1e-9
+def test_all_words_of_all_texts_split_pieces_however_rare(spark):
+    html = "<html><title>One</title><script>var x = two;</script><p class='three'>Four &amp; four</p></html>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "common " * 3000 + "rareword " + "z" * 30)], "page_id long, url string, html string")
+    words = u.word_counts(pages)
+    assert {r.word: r["count"] for r in words.collect()} == {"one": 1, "four": 2, "common": 3000, "rareword": 1}
+    pieces = ["fourone", "rarewordcommon", "xyz", "q" * 60, "common"]
+    got = {r.piece: r.words for r in u.segmented(spark.createDataFrame([(p,) for p in pieces], "piece string"), words).collect()}
+    counts = {"one": 1, "four": 2, "common": 3000, "rareword": 1}
+    assert got == {p: u.split(p, counts, 3004) for p in pieces}
+    assert got["fourone"] == ["four", "one"] and got["rarewordcommon"] == ["rareword", "common"]
+
+
+def plain_odds(rows, min_hosts):
+    """Odds by the definition from judged rows, with the rules' own pieces left out of their examples."""
+    count, hosts = {"allow": {}, "block": {}}, {"allow": {}, "block": {}}
+    for r in rows:
         if not r.rule:
-            assert r.verdict == ("block" if want > 0.5 else "allow")
-            scores.append(want)
-    assert max(scores) > 0.5 > min(scores)
+            continue
+        rule = next(x for x in u.RULES if x[1] + x[2] == r.rule)
+        own = {"h:" + x for x in re.findall(r"[^\W\d_]+|\d+", rule[1])} | {"p:" + x for x in re.findall(r"[^\W\d_]+|\d+", rule[2])}
+        left = r.segments.split()
+        for mark, text in (("h:", r.host), ("p:", r.path.lower())):
+            for piece in re.findall(r"[^\W\d_]+|\d+", text):
+                took, size = [], 0
+                while left and (size < len(piece) if not piece.isdigit() else not took):
+                    took.append(left.pop(0))
+                    size += len(took[-1]) - 2
+                if mark + piece not in own:
+                    for t in took:
+                        count[r.verdict][t] = count[r.verdict].get(t, 0) + 1
+                        hosts[r.verdict].setdefault(t, set()).add(r.host)
+    kinds = len(count["allow"].keys() | count["block"].keys()) + 1
+    total = {k: sum(v.values()) + kinds for k, v in count.items()}
+    return {t: math.log((count["block"].get(t, 0) + 1) / total["block"]) - math.log((count["allow"].get(t, 0) + 1) / total["allow"]) for t in count["allow"].keys() | count["block"].keys() if max(len(hosts[k].get(t, ())) for k in hosts) >= min_hosts}
+
+
+def test_scores_are_those_of_a_plain_naive_bayes(spark):
+    for prior, least in ((0.1, 2), (0.5, 1)):
+        got = u.judge(table(spark, URLS), prior=prior, min_hosts=least).collect()
+        odds = plain_odds(got, least)
+        scores = []
+        for r in got:
+            known = [odds[t] for t in r.segments.split() if t in odds]
+            want = 1 / (1 + math.exp(-sum(known) - math.log(prior / (1 - prior)))) if known else 0.0
+            assert abs(r.block_score - want) < 1e-9, r
+            if not r.rule:
+                assert r.verdict == ("block" if want > 0.5 else "allow")
+                scores.append(want)
+        assert max(scores) > 0.5 > min(scores)
+
+
+def test_verdicts_come_through_the_segmentation(spark):
+    """Unseen concatenations of words that blocked hosts use are blocked; without those words in any page text they can't be split."""
+    bad, good = ["casino", "poker", "jackpot", "slots", "bets"], ["garden", "recipe", "museum", "travel", "school"]
+    pair = lambda words, k: words[k % 5] + words[(k // 5 + k + 1) % 5]
+    urls = [f"http://{pair(bad, k)}.net/es/{k}" for k in range(20)] + [f"http://{pair(good, k)}.com/x/{k}" for k in range(20)]
+    asked = ["http://pokercasinoslots.org/de/1", "http://schoolrecipegarden.org/de/1", "http://unknownthing.org/de/1"]
+    text = "<p>" + " ".join(bad + good) * 3 + " casino poker jackpot slots bets garden recipe museum travel school</p>"
+    got = {r.host: r for r in u.judge(table(spark, [*urls, *asked], text)).collect()}
+    assert [got[x.split("/")[2]].verdict for x in asked] == ["block", "allow", "allow"]
+    assert got["pokercasinoslots.org"].segments == "h:poker h:casino h:slots h:org p:de p:0"
+    whole = {r.host: r for r in u.judge(table(spark, [*urls, *asked], "<p>nothing of these</p>")).collect()}
+    assert whole["pokercasinoslots.org"].verdict == "allow"
+    figures = u.held_out_figures(table(spark, urls, text))
+    right, wrong = (sum(figures.get(f"{a}_{b}", 0) for a, b in pairs) for pairs in ((("block", "block"), ("allow", "allow")), (("block", "allow"), ("allow", "block"))))
+    assert right / (right + wrong) >= 0.9 and right >= 4
 
 
 def test_no_examples_ties_null_ids_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", None), (None, "http://a.org/x", None), (None, None, None)], "page_id long, url string, html string")
     assert [r.verdict for r in u.judge(pages).collect()] == ["allow"] * 3
     assert u.judge(pages.filter(F.lit(False))).count() == 0
-    tie = u.NaiveBayes({"h:a": (1, 1)}, (1, 1), 1, (1, 1))
-    assert tie.score(["h:a"]) == 0.5
-
+    both = table(spark, ["http://aa.com/q/1", "http://bb.com/q/1", "http://cc.net/es/q/1", "http://dd.net/es/q/1", "http://ee.org/q/1"])
+    tie = {r.host: r for r in u.judge(both, prior=0.5).collect()}["ee.org"]
+    assert tie.verdict == "allow" or tie.block_score > 0.5
 
-def test_tokens_beyond_the_broadcast_ones_count_alike(spark):
-    pages = table(spark, [*URLS, *URLS[:9], "http://rare.org/seen/once"])
-    want = {r.page_id: r for r in u.judge(pages).collect()}
-    for least in (0.05, 2):
-        got = {r.page_id: r for r in u.judge(pages, least=least).collect()}
-        assert {i: r[:5] + r[6:] for i, r in got.items()} == {i: r[:5] + r[6:] for i, r in want.items()}
-        assert all(abs(got[i].block_score - want[i].block_score) < 1e-9 for i in want)
 
+def test_hot_pieces_and_tokens_count_alike(spark, monkeypatch):
+    from memspark.llm import common
 
-def test_words_are_counted_in_whole_page_texts_and_shared_url_pieces(spark):
-    html = "<html><title>One</title><script>var x = two;</script><p class='three'>Four &amp; four</p></html>"
-    pages = spark.createDataFrame([(1, "u", html), (2, "u", None), *[(i, f"http://h{'abcdefghijkl'[i % 12]}.example.org/p", None) for i in range(12)]], "page_id long, url string, html string")
-    counts, total = u.word_counts(pages)
-    assert counts == {"one": 1, "four": 2, "example": 12, "org": 12, "p": 12} and total == 39
-    assert set(u.word_counts(pages, 0.3)[0]) == {"example", "org", "p"}
+    pages = table(spark, [*URLS, *URLS[:9], "http://rare.org/seen/once"])
+    want = sorted(str(tuple(r)) for r in u.judge(pages).collect())
+    monkeypatch.setattr(common, "HEAVY", 5)
+    assert sorted(str(tuple(r)) for r in u.judge(pages).collect()) == want
