@@ -60,7 +60,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+    """Squared distances; not finite where squares leave the range of doubles."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -116,6 +118,7 @@ class Router:
         self.weights, self.bias, self.probes = weights, bias, probes
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
         return x / np.linalg.norm(x, axis=1, keepdims=True) @ self.weights + self.bias
 
     def order(self, x: np.ndarray) -> np.ndarray:
@@ -160,7 +163,8 @@ def fit(vectors: DataFrame, parts: int | None = None, recall: float = RECALL) ->
     dim = max(sorted(set(sizes)), key=sizes.count)
     alike = pa.array([n == dim for n in sizes])
     x, ids = _matrix(v.filter(alike)), rows.column("vec_id").filter(alike).to_numpy()
-    router = fit_router(x, parts)
+    # The vectors that choose the number of visits take no part in the fit, unless the table is small.
+    router = fit_router(x[TESTS:] if len(x) >= 8 * TESTS else x, parts)
     router.probes = visits(vectors.filter(F.size("v") == dim), router, ids[:TESTS], x[:TESTS], recall)
     return router, dim
 
@@ -198,10 +202,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distance of q to each row of v where squares would leave the range of doubles: each pair is scaled by a power of two, which is exact."""
+    top = np.maximum(np.abs(v).max(axis=1), np.abs(q).max())
+    e = np.frexp(top)[1] + 2
+    d = np.ldexp(v, -e[:, None]) - np.ldexp(q[None], -e[:, None])
+    return np.ldexp(np.sqrt((d * d).sum(axis=1)), e)
+
+
 def best_in_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, float]]:
     """Each query's k nearest rows (query, id, distance); distances from differences, in double."""
     (qid, q), (vid, v) = queries, rows
     out = []
+    sizes = np.concatenate([np.abs(q).max(axis=1), np.abs(v).max(axis=1)])
+    if sizes.max() > 1e150 or sizes.min() < 1e-150:
+        with np.errstate(over="ignore"):
+            for i in range(len(qid)):
+                exact, own = _distances(q[i], v), np.flatnonzero(vid != qid[i])
+                for o in own[np.lexsort((vid[own], exact[own]))[:k]]:
+                    out.append((int(qid[i]), int(vid[o]), float(exact[o])))
+        return out
     for s in range(0, len(qid), 256):
         part = q[s : s + 256]
         d = _squared(part, v)

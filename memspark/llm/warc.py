@@ -48,7 +48,7 @@ ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 64 << 20
 #: Bytes of a range's runs that wait in memory, runs merged at once, and rows of a run held as objects.
 HELD_BYTES, FAN_IN, CHUNK = 64 << 20, 256, 256
-#: Pages carry no capture time; the archive dates page n to this moment plus n seconds, n modulo DATED.
+#: Pages carry no capture time; the archive dates page n to this moment (UTC, midnight) plus n seconds, n modulo DATED.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
 DATED = 1 << 32
 INDEX = "url_key string, capture_ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long"
@@ -77,13 +77,17 @@ def records(pages: DataFrame, found: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(name + ": "), value)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(GAP))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    stamp = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DATED)))
+    # Days and seconds from the first moment, which is midnight in UTC: no session time zone has a say.
+    late = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DATED))
+    day = F.date_add(F.lit(FIRST_CAPTURE[:10]).cast("date"), F.floor(late / 86_400).cast("int")).cast("string")
+    two = lambda seconds, unit: F.lpad((F.floor(late % seconds / unit)).cast("string"), 2, "0")
+    stamp = F.concat(day, F.lit("T"), two(86_400, 3600), F.lit(":"), two(3600, 60), F.lit(":"), two(60, 1), F.lit("Z"))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        line("WARC-Date", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", stamp),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),

@@ -1,3 +1,6 @@
+import math
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pytest
 
@@ -87,3 +90,18 @@ def test_repeated_queries_and_large_vectors(spark):
     rows = [(i, [float(np.float32(c)) for c in base + [i % 7, i % 5, i % 3]]) for i in range(28)]
     got = run(spark, [*rows, rows[0], rows[0]])
     assert got == {q: [(pytest.approx(s, abs=1e-15), i) for s, i in found] for q, found in brute(rows).items()}
+
+
+def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
+    rows = [(0, [1e160, 0.0]), (1, [1e160, 3e159]), (2, [2e160, 0.0]), (3, [0.0, 5.0]), (10, [1e-170, 0.0]), (4, [3e-170, 0.0]), (5, [1.7e308, 0.0]), (20, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, "vec_id % 10 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: len(v) for q, v in got.items()} == {0: 7, 10: 7, 20: 7}
+    vectors = {i: [Decimal(x) for x in v] for i, v in rows}
+    for q, found in got.items():
+        with localcontext(prec=60):
+            want = {i: float(sum((a - b) ** 2 for a, b in zip(vectors[q], v, strict=True)).sqrt()) for i, v in vectors.items() if i != q}
+        assert [i for i, _ in found] == sorted(want, key=lambda i: (want[i], i))
+        assert all(math.isfinite(s) and abs(s - want[i]) <= 1e-12 * want[i] for i, s in found)

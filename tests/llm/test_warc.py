@@ -104,3 +104,14 @@ def test_most_pages_share_a_payload(spark):
 def test_url_key():
     assert warc.url_key("http://WWW.Example.com/a?b") == "com,example,www)/a?b"
     assert warc.url_key(None) == ""
+
+
+def test_capture_times_hold_in_any_session_time_zone(spark):
+    rows = [(n, f"http://a.org/{n}", "x", "") for n in (0, 1, 5_900_000, 6_100_000, 26_000_000, 2**31, -1)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert {r.page_id: r.capture_ts for r in index(spark, rows)} == {n: 1_704_067_200 + n % 2**32 for n, *_ in rows}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
