@@ -2,7 +2,8 @@
 
 Query texts are a stated set: their vectors and tokens go to every task, chunks are read,
 tokenized and embedded once, and the queries meet them in blocks as matrix products. Each
-step returns only the best rows per query, so no query-by-chunk product is made as rows.
+step returns only the best rows per query, so no query-by-chunk product is made as rows. A set of more than
+`ASKED` queries is taken in parts by hash, each written out before the next, so the driver holds one part at a time.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.functions import vector as V
+from memspark.plans.scratch import written
 
 #: Queries and chunks of one matrix product.
 BLOCK, ROWS = 512, 1000
+#: Queries that are broadcast at a time.
+ASKED = 4096
 
 
 class Asked:
@@ -47,8 +51,22 @@ class Asked:
 
 def _best(rows: DataFrame, queries: DataFrame, k: int, score: Callable) -> DataFrame:
     """The k rows (document_id, ordinal, tokens, embedding) that score best per query (query_id, tokens, v); only scores above 0."""
+    asked = queries.limit(ASKED + 1).collect()
+    if len(asked) <= ASKED:
+        return _best_of(rows, asked, k, score)
+    queries, rows = written(queries, "asked"), written(rows, "asked-rows")
+    parts = -(-2 * queries.count() // ASKED)  # half of ASKED a part on average
+    found = None
+    for i in range(parts):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
+        best = written(_best_of(rows, part, k, score), "asked-best")
+        found = best if found is None else found.union(best)
+    return found
+
+
+def _best_of(rows: DataFrame, asked: list, k: int, score: Callable) -> DataFrame:
     spark = rows.sparkSession
-    asked = queries.orderBy("query_id").collect()
+    asked = sorted(asked, key=lambda r: r["query_id"])
     if not asked:
         return spark.createDataFrame([], "query_id long, document_id long, ordinal int, score double, rank int")
     words = {w: i for i, w in enumerate(sorted({t for r in asked for t in r["tokens"]}))}

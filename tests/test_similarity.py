@@ -87,3 +87,15 @@ def test_document_links_equal_all_pairs(spark, block):
     got = sorted((r.a, r.b, r.kind, r.score, r.shared, r["rank"]) for r in similarity.document_links(df, 0.58, 3, block).collect())
     assert got == all_documents(v, names, 0.58, 3)
     assert {r[2] for r in got} == {"semantic_neighbor", "entity_overlap"}
+
+
+def test_many_queries_are_taken_in_parts(spark, monkeypatch):
+    from memspark.operators import retrieval
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("alpha beta gamma delta omega river stone".split()) for _ in range(6))
+    rows = spark.createDataFrame([(i, 0, text()) for i in range(60)], "document_id long, ordinal int, text string")
+    queries = spark.createDataFrame([(i, text()) for i in range(50)], "query_id long, text string")
+    want = sorted(tuple(r) for r in retrieval.nearest(rows, queries, 3).collect())
+    monkeypatch.setattr(retrieval, "ASKED", 8)
+    assert sorted(tuple(r) for r in retrieval.nearest(rows, queries, 3).collect()) == want and len(want) == 150
