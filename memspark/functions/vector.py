@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -53,23 +54,39 @@ def token_slot(token: str) -> int:
     return h
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embed(normal: pd.Series) -> pd.Series:
+def _slots(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slots of many tokens, byte by byte over all of them; tokens of two bytes or less get -1."""
+    h = np.full(len(starts), FNV_OFFSET % DIM, np.int64)
+    left, k = np.flatnonzero(sizes > 2), 0
+    while len(left):
+        h[left] = ((h[left] ^ raw[starts[left] + k]) * (FNV_PRIME % DIM)) % DIM
+        k += 1
+        left = left[sizes[left] > k]
+    h[sizes <= 2] = -1
+    return h
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def hash_embed(normal: pa.Array) -> pa.Array:
     """Unit bag-of-tokens vector of texts as `normal_tokens` makes them."""
-    seen: dict[str, int] = {}
-    out = []
-    for text in normal:
-        slots = []
-        for w in (text or "").split(" "):
-            s = seen.get(w)
-            if s is None:
-                s = seen[w] = token_slot(w)
-            if s >= 0:
-                slots.append(s)
-        v = np.bincount(slots, minlength=DIM).astype(np.float64)
-        n = np.sqrt((v * v).sum())
-        out.append(v / n if n else v)
-    return pd.Series(out)
+    column = pc.fill_null(normal, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    n = len(column)
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    # Tokens lie between blanks and the ends of texts.
+    cuts = np.union1d(np.flatnonzero(raw == 32), at)
+    edges = np.concatenate([cuts, [len(raw)]])
+    starts = np.where(raw[np.minimum(cuts, max(len(raw) - 1, 0))] == 32, cuts + 1, cuts) if len(raw) else cuts
+    sizes = np.maximum(edges[1:] - starts, 0)
+    row = np.searchsorted(at, cuts, side="right") - 1
+    slot = _slots(raw, starts, sizes)
+    keep = (slot >= 0) & (row < n)
+    v = np.bincount(row[keep] * DIM + slot[keep], minlength=n * DIM).reshape(n, DIM).astype(np.float64)
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = np.divide(v, size, out=v, where=size > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * DIM, pa.int32()), pa.array(v.ravel()))
 
 
 def embed(text: Column) -> Column:

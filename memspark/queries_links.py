@@ -9,6 +9,7 @@ from memspark import oracle as O
 from memspark.functions import text as T
 from memspark.functions import vector as V
 from memspark.operators import graph as L
+from memspark.operators import knowledge as K
 from memspark.operators import navigation as N
 from memspark.operators import retrieval as R
 from memspark.operators import signals as S
@@ -78,6 +79,40 @@ def link_graph(spark, d):
     return every.groupBy("id").agg(F.min(F.struct("kind", "source", "target", "score")).alias("l")).select("id", "l.*")
 
 
+_CHUNK_PAIRS = "ev AS" + _CHUNK_LINKS.partition(", ev AS")[2]
+_DOWN = f"{O.MARKS}, down AS (SELECT target_id FROM marks GROUP BY target_id HAVING bool_or(action = 'suppress') AND NOT bool_or(action IN ('pin', 'promote', 'hot')))"
+
+
+@query("g8_region_enrichment", f"""WITH {_EMBEDDED}, {_DOCUMENT_LINKS}, {_CHUNK_PAIRS},
+l AS (SELECT x.source AS ra, y.source AS rb FROM dl JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b UNION SELECT x.source, y.source FROM cl JOIN documents x ON x.doc_id = a // {T.MAX_CHUNKS} JOIN documents y ON y.doc_id = b // {T.MAX_CHUNKS})
+SELECT region, string_agg(DISTINCT other, ',' ORDER BY other) AS neighbours FROM (SELECT ra AS region, rb AS other FROM l WHERE ra <> rb UNION ALL SELECT rb, ra FROM l WHERE ra <> rb) GROUP BY region""")
+def g8(spark, d):
+    """Regions become neighbours where a link of their documents or chunks crosses from one to the other."""
+    chunks = written(E.embedded_chunks(spark, d).drop("text"), "graph-chunks")
+    near = Y.semantic_links(chunks.select((F.col("document_id") * T.MAX_CHUNKS + F.col("ordinal")).alias("id"), F.col("embedding").alias("v")), 0.72, 3)
+    of = lambda c: F.floor(F.col(c) / T.MAX_CHUNKS).alias(c)
+    pairs = document_links(spark, d, chunks).select("a", "b").union(near.select(of("a"), of("b"))).distinct()
+    region = E.read(spark, d, "documents").select("doc_id", "source")
+    side = lambda c, name: region.select(F.col("doc_id").alias(c), F.col("source").alias(name))
+    return K.region_neighbours(pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b"))
+
+
+@query("g10_link_inspection", f"""WITH {_EMBEDDED}, {_DOCUMENT_LINKS}, m AS (SELECT doc_id AS a, bool_or(toxic = 1) AS suppressed, bool_or(quality = 1 AND toxic = 0) AS promoted FROM labels GROUP BY doc_id)
+SELECT a AS source, b AS target, kind, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS confidence, coalesce(suppressed, false) AS suppressed, coalesce(promoted, false) AS promoted, 'graph-builder' AS actor FROM dl LEFT JOIN m USING (a)""")
+def g10(spark, d):
+    """Document links with their confidence, who made them and what marks say of their source."""
+    links = document_links(spark, d).select(F.col("a").alias("source"), F.col("b").alias("target"), "kind", "score")
+    return K.inspect_links(links, E.marks(spark, d)).drop("score", "reason", "pinned")
+
+
+@query("x20_visible_links", f"WITH {_EMBEDDED}, {_DOCUMENT_LINKS}, {_DOWN} SELECT a AS source, b AS target FROM dl WHERE a NOT IN (FROM down) AND b NOT IN (FROM down)")
+def x20(spark, d):
+    """A traversal sees document links only where neither end is suppressed."""
+    down = written(L.suppressed(E.marks(spark, d)), "suppressed")
+    links = document_links(spark, d).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    return links.join(down.withColumnRenamed("target_id", "source"), "source", "left_anti").join(down.withColumnRenamed("target_id", "target"), "target", "left_anti").select("source", "target")
+
+
 _MARKED = f"m AS (SELECT target_id, round(sum({O.MARK_DELTA}), 6)::DOUBLE AS mark_score FROM marks GROUP BY target_id)"
 _AGE = f"(greatest({NOW} - accessed_at, 0) / 604800000::DOUBLE)"
 _ACCESS = f"scores AS (SELECT target_id, round(least(0.6, sum(({O.ACCESS_WEIGHT})::DOUBLE * CASE WHEN {_AGE} >= 1 THEN 0.25::DOUBLE ELSE 0.45::DOUBLE + 0.55::DOUBLE * (1 - {_AGE}) END)), 6)::DOUBLE AS access_score FROM accesses WHERE accessed_at >= {NOW} - 2592000000 GROUP BY target_id)"

@@ -177,14 +177,6 @@ def v3(spark, d):
     return K.positions(E.read(spark, d, "embeddings"))
 
 
-@query("g10_link_inspection", """WITH l AS (SELECT doc_id AS source, doc_id + 1 AS target, CASE doc_id % 4 WHEN 0 THEN 'semantic_neighbor' WHEN 1 THEN 'same_document' WHEN 2 THEN 'citation_reference' ELSE 'explicit' END AS kind, round(0.5 + (doc_id % 5) / 10.0, 2)::DOUBLE AS score FROM documents), m AS (SELECT doc_id AS source, bool_or(toxic = 1) AS suppressed, bool_or(quality = 1 AND toxic = 0) AS promoted FROM labels GROUP BY doc_id)
-SELECT source, target, kind, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS confidence, coalesce(suppressed, false) AS suppressed, coalesce(promoted, false) AS promoted, CASE kind WHEN 'explicit' THEN 'agent-link' ELSE 'graph-builder' END AS actor FROM l LEFT JOIN m USING (source)""")
-def g10(spark, d):
-    i = F.col("doc_id")
-    links = docs(spark, d).select(i.alias("source"), (i + 1).alias("target"), F.when(i % 4 == 0, "semantic_neighbor").when(i % 4 == 1, "same_document").when(i % 4 == 2, "citation_reference").otherwise("explicit").alias("kind"), F.round(0.5 + (i % 5) / 10.0, 2).alias("score"))
-    return K.inspect_links(links, E.marks(spark, d)).drop("score", "reason", "pinned")
-
-
 @query("r8_context_boost", f"""WITH {O.ACCESSES}, w AS (SELECT target_id % 20 AS k, round(least(0.6, sum({O.ACCESS_WEIGHT})), 6)::DOUBLE AS s FROM accesses GROUP BY 1)
 SELECT doc_id, round(greatest(least(coalesce(sum(s), 0), 0.34), -0.28), 6)::DOUBLE AS boost FROM (SELECT DISTINCT doc_id, unnest([doc_id % 20, (doc_id // 20) % 20]) AS k FROM documents) LEFT JOIN w USING (k) GROUP BY doc_id""")
 def r8(spark, d):
@@ -207,14 +199,6 @@ def g1(spark, d):
     return same.union(E.read(spark, d, "embeddings").select(F.lit("region_membership"))).groupBy("kind").agg(F.count("*").alias("links"))
 
 
-@query("g8_region_enrichment", "WITH l AS (SELECT a.source AS ra, b.source AS rb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 3 WHERE a.source <> b.source) SELECT region, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM (SELECT ra AS region, rb AS other FROM l UNION ALL SELECT rb, ra FROM l) GROUP BY region")
-def g8(spark, d):
-    """Cross-region document links (id to id + 3) make their regions neighbours."""
-    a = docs(spark, d).select("doc_id", F.col("source").alias("ra"))
-    b = docs(spark, d).select((F.col("doc_id") - 3).alias("doc_id"), F.col("source").alias("rb"))
-    return K.region_neighbours(a.join(b, "doc_id"))
-
-
 @query("n8_open_targets", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'email_thread' WHEN doc_id % 7 = 1 THEN 'url' WHEN doc_id % 7 = 2 THEN 'pdf_page' WHEN doc_id % 7 = 3 THEN 'markdown_heading' WHEN doc_id % 7 = 4 THEN 'generated' ELSE 'text_offset' END AS kind FROM documents")
 def n8(spark, d):
     i = F.col("doc_id") % 7

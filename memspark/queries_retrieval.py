@@ -135,7 +135,7 @@ def c3(spark, d):
 @query("c3_chunk_regions", f"WITH {_CHUNK_REGIONS} SELECT family, region, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM regions GROUP BY ALL")
 def c3_chunks(spark, d):
     """The same over all chunks' hash embeddings."""
-    return G.assign_regions(E.embedded_chunks(spark, d)).groupBy("family", "region").agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"))
+    return G.assign_regions(E.embedded_chunks(spark, d).drop("text")).groupBy("family", "region").agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"))
 
 
 @query("c8_region_neighbours", f"""WITH {_REGIONS}, x AS (SELECT family, region, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM regions), m AS (SELECT family, region, i, avg(x) AS c FROM x GROUP BY ALL),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from memspark import oracle as O
 from memspark.functions import text as T
-from memspark.operators import navigation as N
 from memspark.operators import sessions as SE
 from memspark.operators import training as G
 from memspark.plans import entities as E

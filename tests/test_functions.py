@@ -131,3 +131,22 @@ def test_tables_are_parsed_and_scored(spark):
     got = spark.createDataFrame([(text,), ("no table, here",), ("a,b,c",), ("",), (None,)], "text string").select(t.alias("t"), F.when(t.isNotNull(), T.table_score(F.lit("People"), t, F.array(*map(F.lit, ("people", "mail", "ops", "zzz"))))).alias("n")).collect()
     assert [list(got[0].t.headers), [list(r) for r in got[0].t.rows], got[0].n] == [["Name", "Mail", "Team"], [["Ada", "a@x", "R, D"], ["Bo", "b@x", "Ops"]], 3]
     assert all(r.t is None and r.n is None for r in got[1:])
+
+
+def test_hash_embedding_equals_token_by_token(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "ab", "abc", "é日本 xyz  xyz a", "x" * 5000] + [" ".join("".join(rng.choice("abcé1 -") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    got = {r.i: r.v for r in df.select("i", V.normal_tokens(F.col("t")).alias("t")).select("i", "t", V.hash_embed("t").alias("v")).collect()}
+    plain = {r.i: r.t for r in df.select("i", V.normal_tokens(F.col("t")).alias("t")).collect()}
+    for i, t in plain.items():
+        v = np.zeros(64)
+        for w in (t or "").split(" "):
+            if V.token_slot(w) >= 0:
+                v[V.token_slot(w)] += 1
+        n = np.sqrt((v * v).sum())
+        assert got[i] == (v / n if n else v).tolist(), texts[i]

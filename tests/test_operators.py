@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from memspark.operators import chat, graph, library, navigation, regions, sinks, training
+from memspark.operators import chat, library, regions, sinks, training
 from memspark.streaming import accesses
 
 REPO = Path(__file__).resolve().parent.parent
