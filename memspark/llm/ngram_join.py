@@ -47,6 +47,8 @@ COUNT_BITS, PIECE_BITS = 20, 12
 BLOCK, PIVOTS = 20_000, 64
 #: Rows on either side of one comparison in step 4, and pairs that a task holds before they go out.
 REST_BLOCK, HELD_PAIRS = 2048, 1_000_000
+#: An id is dealt to several tasks if more than one in so many pairs has it.
+HEAVY = 1000
 #: Bits of the map of documents whose sets are needed for verification.
 MAP_BITS = 24
 
@@ -269,12 +271,31 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(both > 0 and DENOM * both >= NUMER * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(items.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").join(items.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
+    n = pairs.count()
+    common = {side: often(pairs, side, n) for side in ("b", "a")}
+    joined = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        joined = with_sets(joined, items, common[side], side, other)
     out = materialize(joined.select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long"), "join-links")
-    discard(items)
+    discard(items, *common.values())
     return out
 
 
+def often(pairs: DataFrame, side: str, n: int) -> DataFrame:
+    """id, salts of the ids that more than a HEAVY-th of the n pairs share, such as pivots: into how many parts their pairs are dealt."""
+    heavy = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("k")).filter(F.col("k") * HEAVY > n)
+    return materialize(heavy.select("id", F.ceil(F.col("k") * HEAVY / n).alias("salts")), "join-often")  # fewer than HEAVY ids, 2 * HEAVY salts in all
+
+
+def with_sets(pairs: DataFrame, items: DataFrame, heavy: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the set of one side as items_<side>; the sets of ids of many pairs are copied to each part of their pairs."""
+    heavy = F.broadcast(heavy)
+    parts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(heavy.withColumnRenamed("id", side), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts)).drop("salts")
+    copies = items.join(heavy, "id", "left").select(F.col("id").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), F.col("items").alias(f"items_{side}"))
+    return dealt.join(copies, [side, "salt"]).drop("salt")
+
+
 def link_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     # A stated number of partitions: AQE would merge small inputs whose work is large.
