@@ -24,6 +24,8 @@ from memspark.plans.scratch import written
 BLOCK, ROWS = 512, 1000
 #: Queries that are broadcast at a time.
 ASKED = 4096
+#: Characters of items that one automaton holds.
+ITEM_CHARS = 64_000_000
 
 
 class Asked:
@@ -134,12 +136,25 @@ def lexical_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where an item's text occurs verbatim in a document; empty items occur nowhere.
 
-    The items are a stated set: they are one automaton, run once over every text.
+    The items are a stated set: they are one automaton, run once over every text. A set of more than `ITEM_CHARS`
+    is taken in parts by hash, each written out before the next.
     """
+    items = items.filter("text is not null and text <> ''").select("item_id", "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size <= ITEM_CHARS:
+        return _contained(texts, items)
+    parts, found = -(-2 * size // ITEM_CHARS), None
+    for i in range(parts):
+        part = written(_contained(texts, items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == i)), "contained")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _contained(texts: DataFrame, items: DataFrame) -> DataFrame:
     import ahocorasick
 
     same: dict[str, list[int]] = {}
-    for r in items.filter("text is not null and text <> ''").select("item_id", "text").orderBy("item_id").collect():
+    for r in items.orderBy("item_id").collect():
         same.setdefault(r["text"], []).append(r["item_id"])
     shared = texts.sparkSession.sparkContext.broadcast(same)
 

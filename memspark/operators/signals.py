@@ -41,12 +41,7 @@ def rescore(base: Column, boost: Column, signal: Column) -> Column:
 
 
 def session_scores(marks: DataFrame, accesses: DataFrame, now: int) -> DataFrame:
-    """target_id, session_score: a chat session's attention, its marks and accesses together. It isn't clamped, unlike a chunk's own boost."""
+    """target_id, session_score: a chat session's attention, its marks and accesses together; only the whole boost of a hit is clamped."""
     own = mark_scores(marks).join(access_scores(accesses, now).select("target_id", "access_score"), "target_id", "full")
     total = F.coalesce("mark_score", F.lit(0.0)) + F.coalesce("access_score", F.lit(0.0))
     return own.select("target_id", F.round(total, 6).alias("session_score"))
-
-
-def session_rescore(base: Column, boost: Column, signal: Column, session: Column) -> Column:
-    """The score of a hit in a chat: as any other hit's, with the attention of its session on top."""
-    return F.greatest(rescore(base, boost, signal) + F.coalesce(session, F.lit(0.0)), F.lit(0.001))

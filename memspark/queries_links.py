@@ -145,15 +145,15 @@ def r5_all(spark, d):
 @query("r9_session_boost", f"""WITH turns AS (SELECT conv_id, turn, text FROM conversations), {O.embeddings('turns', 'conv_id, turn', 'te')}, {O.embeddings('benchmark', 'item_id', 'qe')}, {O.ACCESSES}, {_ACCESS}, {O.MARKS}, {_MARKED},
 near AS (SELECT q.item_id, t.conv_id, t.turn, round({O.dot('q.v', 't.v')}, 6) AS base FROM qe q CROSS JOIN te t WHERE round({O.dot('q.v', 't.v')}, 6) > 0 QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY base DESC, t.conv_id, t.turn) <= 40),
 s AS (SELECT coalesce(m.target_id, a.target_id) AS target_id, round(coalesce(mark_score, 0) + coalesce(access_score, 0), 6) AS session_score FROM m FULL JOIN scores a ON a.target_id = m.target_id),
-t AS (SELECT item_id AS query_id, conv_id AS session_id, turn, base, round(greatest(greatest(base, 0.001) + coalesce(session_score, 0), 0.001), 6)::DOUBLE AS score FROM near LEFT JOIN s ON target_id = conv_id)
+t AS (SELECT item_id AS query_id, conv_id AS session_id, turn, base, round(greatest(base + greatest(least(coalesce(session_score, 0), 0.55), -0.45), 0.001), 6)::DOUBLE AS score FROM near LEFT JOIN s ON target_id = conv_id)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id, turn))::INT AS rank FROM t QUALIFY rank <= 8""")
 def r9(spark, d):
-    """Turns of chats for each query: the 40 nearest by similarity, ranked with the attention of their sessions on top."""
+    """Turns of chats for each query: the 40 nearest by similarity, ranked with the attention of their sessions as part of the boost."""
     turns = E.messages(spark, d).select(F.col("session_id").alias("document_id"), F.col("turn").cast("int").alias("ordinal"), F.col("content").alias("text"))
     near = R.nearest(turns, asked(spark, d), 40).drop("rank")
     attention = S.session_scores(E.marks(spark, d), E.accesses(spark, d), NOW).withColumnRenamed("target_id", "document_id")
-    none = F.lit(0.0)
-    rows = near.join(attention, "document_id", "left").withColumn("total", F.round(S.session_rescore(F.col("score"), none, none, F.col("session_score")), 6))
+    session = F.coalesce("session_score", F.lit(0.0))
+    rows = near.join(attention, "document_id", "left").withColumn("total", F.round(S.rescore(F.col("score"), session, F.lit(0.0)), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("total"), "document_id", "ordinal")
     best = rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 8")
     return best.select("query_id", F.col("document_id").alias("session_id"), F.col("ordinal").cast("long").alias("turn"), F.col("score").alias("base"), F.col("total").alias("score"), "rank")

@@ -99,3 +99,13 @@ def test_many_queries_are_taken_in_parts(spark, monkeypatch):
     want = sorted(tuple(r) for r in retrieval.nearest(rows, queries, 3).collect())
     monkeypatch.setattr(retrieval, "ASKED", 8)
     assert sorted(tuple(r) for r in retrieval.nearest(rows, queries, 3).collect()) == want and len(want) == 150
+
+
+def test_many_items_are_looked_for_in_parts(spark, monkeypatch):
+    from memspark.operators import retrieval
+
+    texts = spark.createDataFrame([(i, f"begin item{i % 7} x item{i % 5} end") for i in range(30)] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"item{k} ") for k in range(9)] + [(20, ""), (21, None), (22, "item3 ")], "item_id long, text string")
+    want = sorted(tuple(r) for r in retrieval.contained(texts, items).collect())
+    monkeypatch.setattr(retrieval, "ITEM_CHARS", 12)
+    assert sorted(tuple(r) for r in retrieval.contained(texts, items).collect()) == want and len(want) > 40
