@@ -213,12 +213,6 @@ def a23(spark, d):
     return sizes.crossJoin(regions).select("documents", "chunks", "regions", "links")  # one row each
 
 
-@query("a27_position_centroid", "SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, round(avg(embedding[3]::DOUBLE), 6) AS z FROM embeddings GROUP BY label")
-def a27(spark, d):
-    at = lambda k: F.round(F.avg(F.get("embedding", F.lit(k)).cast("double")), 6)
-    return E.read(spark, d, "embeddings").groupBy("label").agg(at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
-
-
 #: Bits of a 32-bit float from its exponent and mantissa, which doubles hold exactly.
 _BITS = "CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + (e + 127) * 8388608 + ((abs(x) / pow(2.0, e) - 1) * 8388608)::BIGINT END"
 _EXPONENT = "CASE WHEN x = 0 THEN 0 WHEN pow(2.0, floor(log2(abs(x)))) > abs(x) THEN floor(log2(abs(x)))::BIGINT - 1 WHEN pow(2.0, floor(log2(abs(x))) + 1) <= abs(x) THEN floor(log2(abs(x)))::BIGINT + 1 ELSE floor(log2(abs(x)))::BIGINT END"

@@ -177,6 +177,15 @@ def v3(spark, d):
     return K.positions(E.read(spark, d, "embeddings"))
 
 
+@query("a27_position_centroid", f"""WITH r AS (SELECT vec_id, label, {_AXES} FROM embeddings), c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM r), s AS (SELECT label, x - cx AS x, y - cy AS y, z - cz AS z FROM r, c), m AS (SELECT greatest(0.001, max(sqrt(x * x + y * y + z * z))) AS radius FROM s)
+SELECT label, round(avg(round(x * 18 / radius, 3)) + 1e-7, 4) AS x, round(avg(round(y * 18 / radius, 3)) + 1e-7, 4) AS y, round(avg(round(z * 18 / radius, 3)) + 1e-7, 4) AS z FROM s, m GROUP BY label""")
+def a27(spark, d):
+    """Where each region lies: the mean of its vectors' projected positions."""
+    e = E.read(spark, d, "embeddings")
+    at = K.positions(e).join(e.select("vec_id", "label"), "vec_id")
+    return at.groupBy("label").agg(*[F.round(F.avg(n) + 1e-7, 4).alias(n) for n in "xyz"])
+
+
 @query("r8_context_boost", f"""WITH {O.ACCESSES}, w AS (SELECT target_id % 20 AS k, round(least(0.6, sum({O.ACCESS_WEIGHT})), 6)::DOUBLE AS s FROM accesses GROUP BY 1)
 SELECT doc_id, round(greatest(least(coalesce(sum(s), 0), 0.34), -0.28), 6)::DOUBLE AS boost FROM (SELECT DISTINCT doc_id, unnest([doc_id % 20, (doc_id // 20) % 20]) AS k FROM documents) LEFT JOIN w USING (k) GROUP BY doc_id""")
 def r8(spark, d):
@@ -199,11 +208,21 @@ def g1(spark, d):
     return same.union(E.read(spark, d, "embeddings").select(F.lit("region_membership"))).groupBy("kind").agg(F.count("*").alias("links"))
 
 
-@query("n8_open_targets", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'email_thread' WHEN doc_id % 7 = 1 THEN 'url' WHEN doc_id % 7 = 2 THEN 'pdf_page' WHEN doc_id % 7 = 3 THEN 'markdown_heading' WHEN doc_id % 7 = 4 THEN 'generated' ELSE 'text_offset' END AS kind FROM documents")
+@query("n8_open_targets", """SELECT 'page:' || page_id AS node, 'url' AS kind FROM pages UNION ALL SELECT 'document:' || doc_id, CASE WHEN lang = 'fr' THEN 'pdf_page' ELSE 'text_offset' END FROM documents
+UNION ALL SELECT 'outline:' || conv_id || ':' || turn, 'markdown_heading' FROM conversations UNION ALL SELECT 'memory:' || conv_id || ':' || turn, 'generated' FROM conversations WHERE role = 'assistant'""")
 def n8(spark, d):
-    i = F.col("doc_id") % 7
-    meta = F.struct(F.when(i == 0, "t1").alias("email_thread_id"), F.when(i == 1, "http://x").alias("url"), F.when(i == 2, 3).alias("page"), F.when(i == 3, "Head").alias("section"), F.when(i == 4, "brain_artifact").alias("source_type"), F.when(i == 2, "/a.pdf").when(i == 3, "/a.md").otherwise("/a.txt").alias("path"))
-    return docs(spark, d).select("doc_id", meta.alias("m")).select("doc_id", K.open_target(F.col("m")).alias("kind"))
+    """Captured pages open as urls, documents at their offset (French ones as if they were paged PDFs), turns of Markdown outlines at their heading, memories as generated."""
+    fields = ("email_thread_id", "url", "page", "section", "source_type", "path")
+    given = lambda **known: F.struct(*[known.get(f, F.lit(None)).cast("string").alias(f) for f in fields]).alias("m")
+    node = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *parts).alias("node")
+    turns = E.messages(spark, d)
+    paged = F.col("lang") == "fr"
+    path = F.concat(F.lit("/lib/"), "doc_id", F.when(paged, ".pdf").otherwise(".txt"))
+    rows = E.read(spark, d, "pages").select(node("page", "page_id"), given(url=F.col("url"), source_type=F.lit("web_finding")))
+    rows = rows.union(docs(spark, d).select(node("document", "doc_id"), given(path=path, page=F.when(paged, 1), source_type=F.lit("local_file"))))
+    rows = rows.union(turns.select(node("outline", "session_id", "turn"), given(path=F.lit("/chats/outline.md"), section=F.concat(F.lit("turn "), "turn"))))
+    rows = rows.union(turns.filter("role = 'assistant'").select(node("memory", "session_id", "turn"), given(source_type=F.lit("derived_memory"))))
+    return rows.select("node", K.open_target(F.col("m")).alias("kind"))
 
 
 @query("n4_neighbours", f"""WITH {O.CHUNKS}, l AS (SELECT document_id, ordinal, unnest([ordinal - 1, ordinal + 1]) AS other FROM chunks) SELECT l.document_id, l.ordinal, l.other, 0.9::DOUBLE AS score, (row_number() OVER (PARTITION BY l.document_id, l.ordinal ORDER BY l.other))::INT AS rank FROM l JOIN chunks c ON c.document_id = l.document_id AND c.ordinal = l.other""")

@@ -196,12 +196,21 @@ def n5(spark, d):
     return c.select("document_id", "c.ordinal", F.md5(T.excerpt(F.col("text"), F.col("c.start"), F.col("c.end"), 220)).alias("window_digest"))
 
 
-@query("n9_trust_policy", "SELECT doc_id, CASE WHEN lang = 'en' THEN 0.82 WHEN lang = 'fr' THEN 0.58 WHEN lang = 'de' THEN 0.35 ELSE 0.5 END::DOUBLE AS trust, CASE WHEN lang = 'en' THEN 'imported_document' WHEN lang = 'fr' THEN 'web_finding' WHEN lang = 'de' THEN 'generated_summary' ELSE 'unknown' END AS kind FROM documents")
+@query("n9_trust_policy", """SELECT 'document:' || doc_id AS node, CASE WHEN good THEN 0.95 ELSE 0.82 END::DOUBLE AS trust, 'imported_document' AS kind FROM documents LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good FROM labels GROUP BY doc_id) USING (doc_id)
+UNION ALL SELECT 'page:' || page_id, 0.58, 'web_finding' FROM pages UNION ALL SELECT DISTINCT 'session:' || conv_id, 0.70, 'chat_transcript' FROM conversations
+UNION ALL SELECT 'memory:' || conv_id || ':' || turn, 0.35, 'generated_summary' FROM conversations WHERE role = 'assistant' UNION ALL SELECT 'vector:' || vec_id, 0.5, 'unknown' FROM embeddings""")
 def n9(spark, d):
+    """Trust of documents, captured pages, chats, memories that answers left, and vectors of no known source; a good label overrides the default."""
     from memspark.operators.navigation import trust
 
-    kind = E.lookup(F.col("lang"), {"en": "local_file", "fr": "web_finding", "de": "derived_memory"})
-    return E.read(spark, d, "documents").select("doc_id", trust(kind).alias("t")).select("doc_id", F.col("t.score").alias("trust"), "t.kind")
+    none = F.lit(None).cast("double")
+    good = E.read(spark, d, "labels").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 1).alias("good"))
+    chats = E.messages(spark, d)
+    named = lambda df, kind, source, *parts, override=none: df.select(F.concat_ws(":", F.lit(kind), *parts).alias("node"), F.lit(source).alias("source_type"), override.alias("override"))
+    rows = named(E.read(spark, d, "documents").join(good, "doc_id", "left"), "document", "local_file", "doc_id", override=F.when(F.col("good"), 0.95))
+    rows = rows.union(named(E.read(spark, d, "pages"), "page", "web_finding", "page_id")).union(named(chats.select("session_id").distinct(), "session", "chat", "session_id"))
+    rows = rows.union(named(chats.filter("role = 'assistant'"), "memory", "derived_memory", "session_id", "turn")).union(named(E.read(spark, d, "embeddings"), "vector", "vector", "vec_id"))
+    return rows.select("node", trust(F.col("source_type"), F.col("override")).alias("t")).select("node", F.col("t.score").alias("trust"), "t.kind")
 
 
 @query("n10_first_passages", f'WITH {O.CHUNKS} SELECT document_id, ordinal, start, "end" FROM chunks WHERE ordinal < 5')

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from memspark import oracle as O
 from memspark.functions import text as T
+from memspark.operators import retrieval as R
 from memspark.operators import sessions as SE
 from memspark.operators import training as G
 from memspark.plans import entities as E
+from memspark.plans.scratch import written
+from memspark.queries_retrieval import asked, hybrid_sql
 from memspark.queries_training import _RECORDS, records
 from memspark.registry import query
 
@@ -112,13 +115,15 @@ def x9(spark, d):
     return e.join(known, F.col("user_id") == F.col("session_id"), "left").select("event_id", "session_id")
 
 
-@query("f35_hit_ids", "SELECT doc_id, 'document' AS kind, doc_id::VARCHAR AS target, (doc_id % 9)::INT AS hit FROM documents")
+@query("f35_hit_ids", f"WITH {hybrid_sql()} SELECT item_id AS query_id, 'semantic' AS kind, 'chunk:' || document_id || ':' || ordinal AS target, rank::INT AS hit FROM hits UNION ALL SELECT item_id, 'document', document_id::VARCHAR, min(rank)::INT FROM hits GROUP BY item_id, document_id")
 def f35(spark, d):
-    """Hit ids written and read back."""
-    hit = F.concat(F.lit("doc-hit:"), "doc_id", F.lit(":"), F.col("doc_id") % 9)
-    rows = E.read(spark, d, "documents").select("doc_id", hit.alias("h"))
+    """Ids of retrieved hits, of chunks and of their documents, written and read back."""
+    hits = written(R.hybrid_scores(E.embedded_chunks(spark, d), asked(spark, d), 8), "hits")
+    chunk = F.concat_ws(":", F.lit("chunk"), "document_id", "ordinal")
+    ids = hits.select("query_id", F.concat(F.lit("semantic-hit:"), chunk, F.lit(":"), F.col("rank")).alias("h"))
+    ids = ids.union(hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("rank")).select("query_id", F.concat(F.lit("doc-hit:"), "document_id", F.lit(":"), "rank")))
     part = lambda k: F.regexp_extract("h", r"^(doc|region|semantic)-hit:(.+):(\d+)$", k)
-    return rows.select("doc_id", E.lookup(part(1), {"doc": "document", "region": "region", "semantic": "semantic"}).alias("kind"), part(2).alias("target"), part(3).cast("int").alias("hit"))
+    return ids.select("query_id", E.lookup(part(1), {"doc": "document", "region": "region", "semantic": "semantic"}).alias("kind"), part(2).alias("target"), part(3).cast("int").alias("hit"))
 
 
 @query("aj3_map_merge", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'chunk' END, lang) AS lang, source FROM documents")
