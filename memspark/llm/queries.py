@@ -82,4 +82,16 @@ SELECT page_id, payload_bytes, payload_digest,
   epoch(TIMESTAMP '{warc.FIRST_CAPTURE}')::BIGINT + (coalesce(page_id, 0) % {warc.DATED} + {warc.DATED}) % {warc.DATED} AS capture_ts
 FROM u"""
 
-ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle(), "op11_prefix_trie": trie.oracle()}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {ngram_join.DENOM} * shared >= {ngram_join.NUMER} * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = doc_id"""
+
+ORACLE_SQL = {"op1_warc_index_merge": _OP1_SQL, "op4_source_mixing": mixing.oracle(), "op10_grouped_prefix_join": _OP10_SQL, "op11_prefix_trie": trie.oracle()}
