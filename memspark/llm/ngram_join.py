@@ -47,8 +47,8 @@ COUNT_BITS, PIECE_BITS = 20, 12
 BLOCK, PIVOTS = 20_000, 64
 #: Rows on either side of one comparison in step 4, and pairs that a task holds before they go out.
 REST_BLOCK, HELD_PAIRS = 2048, 1_000_000
-#: An id is dealt to several tasks if more than one in so many pairs has it.
-HEAVY = 1000
+#: An id is dealt to several tasks if more than one in so many pairs has it; sets are copied twice as often at most.
+HEAVY = 50
 #: Bits of the map of documents whose sets are needed for verification.
 MAP_BITS = 24
 
