@@ -77,10 +77,11 @@ HEAVY = 1000
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of written rows with a table of unique keys; the at most HEAVY keys that each hold more than a HEAVY-th of the rows come by broadcast."""
     n = rows.count()
-    heavy = rows.groupBy(*keys).agg(F.count("*").alias("heavy")).filter(F.col("heavy") * HEAVY > n).select(*keys).toArrow()  # fewer than HEAVY rows
-    if not len(heavy):
+    heavy = materialize(rows.groupBy(*keys).agg(F.count("*").alias("heavy")).filter(F.col("heavy") * HEAVY > n), "heavy-keys")  # fewer than HEAVY
+    if heavy.isEmpty():
+        discard(heavy)
         return rows.join(table, keys)
-    few = F.broadcast(rows.sparkSession.createDataFrame(heavy))
+    few = F.broadcast(heavy.select(*keys))
     by_broadcast = rows.join(F.broadcast(table.join(few, keys, "left_semi")), keys)
     return by_broadcast.unionByName(rows.join(few, keys, "left_anti").join(table.join(few, keys, "left_anti"), keys))
 

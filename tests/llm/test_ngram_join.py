@@ -67,7 +67,6 @@ def test_equals_brute_force(spark, monkeypatch, seed, block, pivots):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "REST_BLOCK", min(block, 50))
     monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
-    monkeypatch.setattr(ngram_join, "HEAVY", 1000 if seed == 1 else 30)
     rows = [*corpus(seed), (None, "a b c d e f"), (1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE  two"), (1005, "x" * 50_000), (1006, "x" * 50_000), (1006, "x" * 50_000)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, unit int").repartition(5)
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_classes(docs).collect()], key=str)
