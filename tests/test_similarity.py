@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.operators import similarity
 
@@ -89,6 +90,36 @@ def test_document_links_equal_all_pairs(spark, block):
     assert {r[2] for r in got} == {"semantic_neighbor", "entity_overlap"}
 
 
+def test_tiles_keep_the_first_of_equal_scores(monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 16)
+    v = clustered(np.random.default_rng(8), 90)
+    for p, q in ((v, None), (v[:37], v[37:])):
+        forth, back = similarity.nearest_in(p, q, 3, 0.6)
+        sim = np.round(p @ (p if q is None else q).T + similarity.NUDGE, 6)
+        if q is None:
+            np.fill_diagonal(sim, -9)
+        for best, scores in ((forth, sim), (back, sim.T)):
+            for row in range(len(scores) if best else 0):
+                want = [c for c in np.lexsort((np.arange(len(scores[row])), -scores[row]))[:3] if scores[row, c] >= 0.6]
+                assert [c for c in best.column[row] if c >= 0] == want
+
+
+def test_many_rows_are_few_blocks(spark):
+    assert 512_820 / similarity.block_rows(512_820) <= 8  # each row is sent once for every block
+    rows = spark.range(140_000).select("id", F.array(F.rand(1)).alias("v"), (F.col("id") % 2).alias("g"))
+    blocks = similarity.dealt_blocks(rows, 0.5, "g")[1].select("i").distinct().count()
+    assert blocks <= 40  # before: 70
+
+
+def test_names_are_only_compared_for_documents_without_near_neighbours(spark, monkeypatch):
+    seen, overlaps = [], similarity.overlaps
+    monkeypatch.setattr(similarity, "overlaps", lambda opened, *rest: (seen.append(opened.count()), overlaps(opened, *rest))[1])
+    v = [[1.0, 0.0]] * 40 + [[0.0, 1.0], [0.0, -1.0]]
+    df = spark.createDataFrame([(i, x, ["name"]) for i, x in enumerate(v)], "id long, v array<double>, entities array<string>")
+    got = similarity.document_links(df, 0.58, 3, block=7).collect()
+    assert seen == [2] and {r.kind for r in got if r.a >= 40} == {"entity_overlap"} and len(got) == 126
+
+
 def test_many_queries_are_taken_in_parts(spark, monkeypatch):
     from memspark.operators import retrieval
 
