@@ -132,6 +132,29 @@ def test_many_queries_are_taken_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in retrieval.nearest(rows, queries, 3).collect()) == want and len(want) == 150
 
 
+def test_overlap_counts_every_use_of_a_word():
+    from memspark.operators import retrieval
+
+    words = {"a": 0, "b": 1, "c": 2, "d": 3}
+    rows = [{"query_id": 7, "tokens": ["a", "b", "a"], "v": None}, {"query_id": 8, "tokens": [], "v": None}, {"query_id": 9, "tokens": ["c", "a"], "v": None}]
+    asked = retrieval.Asked(rows, words)
+    got = asked.overlap(np.array([0, 0, 1, 2, 2]), np.array([0, 3, 1, 4, 2]), 4)
+    assert np.allclose(got, [[2 / 3, 0, 1 / 2], [1 / 3, 0, 0], [0, 0, 1 / 2], [0, 0, 0]])
+
+
+def test_rows_below_the_best_so_far_are_passed_over():
+    from memspark.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    raw = np.round(rng.random((400, 6)), 2)  # many ties
+    so_far, kept = np.zeros((6, 3)), {q: [] for q in range(6)}
+    for s in range(0, 400, 20):
+        for q, own, pick in retrieval._better(raw[s : s + 20], so_far):
+            kept[q] += [(-own[i], s + i) for i in pick]
+    for q in range(6):
+        assert sorted(kept[q])[:3] == sorted((-x, i) for i, x in enumerate(raw[:, q]))[:3] and len(kept[q]) < 60
+
+
 def test_many_items_are_looked_for_in_parts(spark, monkeypatch):
     from memspark.operators import retrieval
 
