@@ -104,6 +104,32 @@ def test_tiles_keep_the_first_of_equal_scores(monkeypatch):
                 assert [c for c in best.column[row] if c >= 0] == want
 
 
+@pytest.mark.parametrize("dense", [0, 24])
+def test_single_precision_loses_no_link(monkeypatch, dense):
+    """Scores that lie closer together than single precision tells, and rows of copies."""
+    monkeypatch.setattr(similarity, "TILE", 32)
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.002
+    v[rng.random(300) < 0.2] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    forth, _ = similarity.nearest_in(v, None, 4, 0.5)
+    assert sorted((a, b, s) for a, b, s in zip(*forth.links(np.arange(300), np.arange(300)), strict=True)) == sorted(r[:3] for r in all_pairs(v, 0.5, 4))
+
+
+def test_blocks_are_packed(spark):
+    """Vectors of counts over their norm are sent in a fifth of their bytes at most, and come back as they were."""
+    import pyarrow as pa
+
+    counts = np.random.default_rng(5).poisson(1.0, (3000, 64)) + 0.0
+    v = counts / np.linalg.norm(counts, axis=1)[:, None]
+    rows = spark.createDataFrame(pa.table({"id": np.arange(3000)[::-1].copy(), "v": list(v), "block": ["b"] * 3000}))
+    got = similarity.packed(rows).toArrow()
+    ids, back = similarity._unpacked(got, "part", "rows")
+    assert (ids == np.arange(3000)).all() and (back == v[::-1]).all()
+    assert sum(len(x) for x in got["rows"].to_pylist()) < v.nbytes / 5
+
+
 def test_many_rows_are_few_blocks(spark):
     assert 512_820 / similarity.block_rows(512_820) <= 8  # each row is sent once for every block
     rows = spark.range(140_000).select("id", F.array(F.rand(1)).alias("v"), (F.col("id") % 2).alias("g"))
