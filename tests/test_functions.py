@@ -1,5 +1,7 @@
 """Functions on small literals that the tables don't hold."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,23 @@ def test_chunks_cover_the_text(spark):
         assert all(c["end"] - c["start"] == len(c["text"]) for c in got)
 
 
+def seconds(df):
+    df.write.format("noop").mode("overwrite").save()
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def test_windows_of_long_texts_are_cut_in_segments(spark):
+    text = "".join(chr(97 + i % 23) + "é" for i in range(20_000))
+    got = lit(spark, text, T.chunk_structs)
+    assert [(c["ordinal"], c["start"], c["end"], c["text"]) for c in got] == [(i, i * 480, min(len(text), i * 480 + 600), text[i * 480 : i * 480 + 600]) for i in range(len(got))]
+    bounded = lit(spark, text, lambda c: T.chunk_structs(c, True, 7900, 17))
+    assert len(bounded) == 17 and bounded[-1]["text"] == text[7680:7900]
+    texts = lambda rows, chars: spark.range(rows).coalesce(1).select(F.explode(T.chunk_structs(F.repeat(F.concat(F.lit("é"), F.col("id") % 10), F.lit(chars // 2)))))
+    assert seconds(texts(30, 240_000)) < 8 * seconds(texts(900, 8_000))  # before: 30 times as long for the same characters
+
+
 def test_grep_and_excerpt(spark):
     df = spark.createDataFrame([("xAbcabcABx", "ab")], "t string, n string")
     assert df.select(T.grep_starts(F.col("t"), F.col("n")).alias("s")).first()["s"] == [1, 4, 7]
