@@ -88,6 +88,15 @@ def test_windows_of_long_texts_are_cut_in_segments(spark):
     assert seconds(texts(30, 240_000)) < 8 * seconds(texts(900, 8_000))  # before: 30 times as long for the same characters
 
 
+def test_only_suspicious_texts_are_looked_at_word_by_word(spark):
+    for text in ("a sk-1 b", "x ('sk-1", "ask-1", "API_Key", "my (token=x)", "tok en=", "risk-1 'sk-", "", "password=", "Secret=1"):
+        got = spark.createDataFrame([(text,)], "t string").select(S.has_secret(F.col("t")).alias("s"), S.redact(F.col("t")).alias("r"), F.exists(T.words(F.col("t")), S.secret_word).alias("w")).first()
+        assert got["s"] == got["w"] == ("[REDACTED]" in got["r"]), text
+    assert value(spark, S.has_secret(F.lit(None).cast("string"))) is None
+    df = spark.range(3000).coalesce(1).select(F.repeat(F.concat(F.lit("word"), "id", F.lit(" ")), F.lit(300)).alias("t"))
+    assert seconds(df.select(S.has_secret(F.col("t")))) < seconds(df.select(F.exists(T.words(F.col("t")), S.secret_word))) / 2
+
+
 def test_grep_and_excerpt(spark):
     df = spark.createDataFrame([("xAbcabcABx", "ab")], "t string, n string")
     assert df.select(T.grep_starts(F.col("t"), F.col("n")).alias("s")).first()["s"] == [1, 4, 7]
