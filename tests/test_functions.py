@@ -1,5 +1,6 @@
 """Functions on small literals that the tables don't hold."""
 
+import random
 import time
 
 import pytest
@@ -97,6 +98,16 @@ def test_only_suspicious_texts_are_looked_at_word_by_word(spark):
     assert seconds(df.select(S.has_secret(F.col("t")))) < seconds(df.select(F.exists(T.words(F.col("t")), S.secret_word))) / 2
 
 
+def test_cosines_of_batches_equal_those_of_rows(spark):
+    rng = random.Random(1)
+    vector = lambda n: [float(rng.randint(0, 5)) / 3 for _ in range(n)]
+    rows = [(vector(8), [vector(8) for _ in range(i % 4)]) for i in range(40)]
+    rows += [([0.0] * 8, [vector(8)]), (None, [vector(8)]), (vector(8), None), (vector(8), [None, vector(7), [], [0.0] * 8]), ([], [[]]), ([1.0, None], [[1.0, 2.0]]), ([1.0, 2.0], [[None, 1.0], [2.0, 1.0]])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<array<double>>").coalesce(1)
+    for r in df.select(V.cosines(F.col("a"), F.col("b")).alias("got"), F.transform("b", lambda s: V.cosine(F.col("a"), s)).alias("want")).collect():
+        assert r["got"] == (r["want"] or [])
+
+
 def test_grep_and_excerpt(spark):
     df = spark.createDataFrame([("xAbcabcABx", "ab")], "t string, n string")
     assert df.select(T.grep_starts(F.col("t"), F.col("n")).alias("s")).first()["s"] == [1, 4, 7]
