@@ -108,6 +108,21 @@ def test_cosines_of_batches_equal_those_of_rows(spark):
         assert r["got"] == (r["want"] or [])
 
 
+def test_baselines_read_the_records_once(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["a15_baselines"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # before: 8
+
+
+def test_records_make_only_what_is_asked_for(spark):
+    from memspark.operators import training
+
+    chunks = spark.createDataFrame([("c", 1, "r", "f", "x  y")], "chunk_id string, document_id long, region string, family string, text string")
+    plan = training.chunk_records(chunks).select("task", "target")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "sha2" not in plan
+
+
 def test_grep_and_excerpt(spark):
     df = spark.createDataFrame([("xAbcabcABx", "ab")], "t string, n string")
     assert df.select(T.grep_starts(F.col("t"), F.col("n")).alias("s")).first()["s"] == [1, 4, 7]
