@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
@@ -70,20 +70,36 @@ def lexical_specs(documents: DataFrame, regions: int = 5, related: int = 3) -> l
 
     Counts run over all documents; what reaches the driver are regions * (1 + related) words.
     """
-    tokens = F.filter(T.tokenize(F.col("text")), lambda w: ~w.isin(T.STOP_WORDS))
-    words = documents.select("document_id", F.explode(tokens).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("n"))
-    seeds = [r["term"] for r in words.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(regions).collect()]
+    seeds = [r["term"] for r in document_frequencies(documents).orderBy(F.desc("df"), "term").limit(regions).collect()]
     if not seeds:
         return [("region-1", ["general"])]
-    holds = words.filter(F.col("term").isin(seeds)).select("document_id", F.col("term").alias("seed"))
-    counts = words.join(holds, "document_id").filter("term <> seed").groupBy("seed", "term").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("seed").orderBy(F.desc("n"), "term")
     near: dict[str, list[str]] = {}
-    for r in counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= related).orderBy("seed", "rank").collect():
+    for r in terms_beside(documents, seeds).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= related).orderBy("seed", "rank").collect():
         near.setdefault(r["seed"], []).append(r["term"])
     return [(f"region-{k}", [s, *near.get(s, [])]) for k, s in enumerate(seeds, 1)]
 
 
+def _telling() -> Column:
+    return F.filter(T.tokenize(F.col("text")), lambda w: ~w.isin(T.STOP_WORDS))
+
+
+def document_frequencies(documents: DataFrame) -> DataFrame:
+    """term and in how many documents it stands."""
+    return documents.select(F.explode(F.array_distinct(_telling())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def terms_beside(documents: DataFrame, seeds: list[str]) -> DataFrame:
+    """seed, term and how often the term stands in documents that hold the seed.
+
+    Words are counted by the set of seeds that their document holds, so no word is sent by its document.
+    """
+    held = lambda own: F.filter(F.array(*map(F.lit, seeds)), lambda s: F.array_contains(own, s))
+    rows = documents.select(_telling().alias("own")).select("own", held(F.col("own")).alias("held")).filter(F.size("held") > 0)
+    counts = rows.select("held", F.explode("own").alias("term")).groupBy("held", "term").agg(F.count("*").alias("n"))
+    return counts.select(F.explode("held").alias("seed"), "term", "n").filter("term <> seed").groupBy("seed", "term").agg(F.sum("n").alias("n"))
+
+
 def assign_lexical(documents: DataFrame, specs: list[tuple[str, list[str]]]) -> DataFrame:
     """document_id, region_id, score: the region of most key terms, the largest id among equals."""
     own = F.array_distinct(T.tokenize(F.coalesce("text", F.lit(""))))

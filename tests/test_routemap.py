@@ -68,3 +68,11 @@ def test_hash_of_vectors(spark):
         for b in b"".join(struct.pack("<f", x) for x in v or []):
             h = (h ^ b) * 0x100000001B3 % (1 << 64)
         assert got[i] == (None if v is None else f"{h:016x}")
+
+
+def test_words_beside_seeds_are_not_sent_by_document(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "red green"), (3, "blue blue"), (4, None)], "document_id long, text string")
+    counts = R.terms_beside(docs, ["red", "blue"])
+    assert {(r.seed, r.term): r.n for r in counts.collect()} == {("red", "blue"): 1, ("red", "green"): 1, ("blue", "red"): 2}
+    assert {r.term: r.df for r in R.document_frequencies(docs).collect()} == {"red": 2, "blue": 2, "green": 1}
+    assert "hashpartitioning(document_id" not in counts._jdf.queryExecution().executedPlan().toString()
