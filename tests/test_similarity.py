@@ -137,6 +137,32 @@ def test_many_rows_are_few_blocks(spark):
     assert blocks <= 40  # before: 70
 
 
+def test_blocks_are_a_fixed_share_of_the_rows():
+    assert 10_000_000 / similarity.block_rows(10_000_000) <= 8  # before: 77, so what was sent grew with rows squared
+
+
+def test_rows_are_dealt_evenly_where_no_cells_are_left_out(spark):
+    v = np.abs(clustered(np.random.default_rng(6), 400)) + 1
+    df = spark.createDataFrame([(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    _, pairs = similarity.dealt_blocks(df, 0.1, None, 50)
+    assert pairs.count() == 36  # before: a cell larger than a block was two, so more
+
+
+def test_strips_of_packed_blocks_equal_whole_blocks(spark, monkeypatch):
+    """Ids of a block's parts interleave, and each of its strips holds rows of all parts; equal scores go to the smaller id."""
+    monkeypatch.setattr(similarity, "STRIP", 16)
+    v = clustered(np.random.default_rng(9), 120)
+    df = spark.createDataFrame([(i, x.tolist(), "p" if i % 3 else "q") for i, x in enumerate(v)], "id long, v array<double>, block string").repartition(5)
+    t = similarity.packed(df).toArrow()
+    assert len(t) > 5
+    blocks = [similarity.Block(t.filter(np.array([b == name for b in t["block"].to_pylist()])), "part", "rows") for name in "pq"]
+    for other in (None, blocks[1]):
+        whole = [v[b.ids] for b in blocks]
+        want = similarity.nearest_in(whole[0], None if other is None else whole[1], 3, 0.6)
+        got = similarity.nearest_between(blocks[0], other, 3, 0.6)
+        assert all((x.column == y.column).all() and (x.score == y.score).all() for x, y in zip(want, got, strict=True) if x is not None)
+
+
 def test_names_are_only_compared_for_documents_without_near_neighbours(spark, monkeypatch):
     seen, overlaps = [], similarity.overlaps
     monkeypatch.setattr(similarity, "overlaps", lambda opened, *rest: (seen.append(opened.count()), overlaps(opened, *rest))[1])
