@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,36 @@ def load_version(spark: SparkSession, root: str, name: str, version: str | None
     return spark.read.parquet(f"{root}/{version}/{name}")
 
 
+def file_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path as Arrow knows it, and the path there."""
+    for name in ("s3a://", "s3n://"):
+        path = path.replace(name, "s3://", 1) if path.startswith(name) else path
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row as a file of its own below root, many to a folder; how many. A task that runs again writes the same files.
+
+    files: folder, name, content (binary).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_store(root)
+        made: set[str] = set()
+        for batch in batches:
+            for folder, name, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                where = f"{base}/{folder}"
+                if where not in made:
+                    store.create_dir(where, recursive=True)
+                    made.add(where)
+                with store.open_output_stream(f"{where}/{name}", compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["files"])
+
+    written = files.select("folder", "name", "content").mapInArrow(run, "files long")
+    return written.agg(F.sum("files")).first()[0] or 0
+
+
 def export_records(records: DataFrame, path: str) -> None:
     """JSON lines by task and split."""
     records.write.mode("overwrite").partitionBy("task", "split").json(path)

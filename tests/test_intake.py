@@ -7,6 +7,22 @@ from memspark import queries_documents, queries_files
 DATA = "/root/testdata/sf0.001"
 
 
+def test_watched_files_are_many_to_a_folder(spark, tmp_path, monkeypatch):
+    from memspark.operators import sinks
+
+    monkeypatch.setattr(queries_files, "shared_path", lambda *_: str(tmp_path / "watched"))
+    monkeypatch.setattr(queries_files, "FOLDERS", 2)
+    rows = queries_files.s11(spark, DATA).collect()
+    files = list((tmp_path / "watched").rglob("*-*.txt"))
+    assert len(files) == len(rows) > 0 and len({p.parent for p in files}) <= 8  # before: a folder for each file
+    assert {r.conv_id % 4 == 3 for r in rows if not r.available} == {True} and all(r.available == (r.conv_id % 4 != 3) for r in rows)
+    odd = spark.createDataFrame([("a/b", "x y.txt", b"\x00\n"), ("a", "z", b""), ("a", "\u00e4", b"1")], "folder string, name string, content binary")
+    for _ in range(2):  # a task that runs again writes the same files
+        assert sinks.write_files(odd, str(tmp_path / "odd")) == 3
+    assert {str(p.relative_to(tmp_path / "odd")): p.read_bytes() for p in (tmp_path / "odd").rglob("*") if p.is_file()} == {"a/b/x y.txt": b"\x00\n", "a/z": b"", "a/\u00e4": b"1"}
+    assert sinks.write_files(odd.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_files_are_many_to_a_folder(spark, tmp_path, monkeypatch):
     for module, query, most in ((queries_documents, queries_documents.s1_files, 110), (queries_files, queries_files.s8, 2)):
         root = tmp_path / query.__name__
