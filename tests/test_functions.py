@@ -204,3 +204,33 @@ def test_hash_embedding_equals_token_by_token(spark):
                 v[V.token_slot(w)] += 1
         n = np.sqrt((v * v).sum())
         assert got[i] == (v / n if n else v).tolist(), texts[i]
+
+
+def test_texts_are_embedded_in_slices(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from memspark.functions import vector
+
+    words = np.array([f"word{i}" for i in range(997)])
+    texts = pa.array([None, "", "ab", "alpha beta alpha", *(" ".join(words[np.arange(i, i + 80) % 997]) for i in range(9000))], pa.string())
+    tracemalloc.start()
+    found = vector.embedded(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # before: the tokens of all texts of a batch at once, whatever their length
+    assert vector.embedded(texts.slice(0, 0)).to_pylist() == []
+    monkeypatch.setattr(vector, "EMBED_BYTES", 1)
+    assert vector.embedded(texts.slice(2, 300)).equals(found.slice(2, 300)) and vector.embedded(texts.slice(0, 2)).equals(found.slice(0, 2))
+
+
+def test_texts_are_embedded_once(spark):
+    import __spark_entry__
+
+    def steps(name):
+        return __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    assert steps("a5_document_centroids") == 1  # before: 2, as a filter on vectors has them made again
+    assert steps("r9_session_boost") == 0  # before: 1 beside the comparison, so two Python workers a task
