@@ -234,3 +234,32 @@ def test_texts_are_embedded_once(spark):
 
     assert steps("a5_document_centroids") == 1  # before: 2, as a filter on vectors has them made again
     assert steps("r9_session_boost") == 0  # before: 1 beside the comparison, so two Python workers a task
+
+
+def test_snapshot_keeps_places_instead_of_vectors(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from memspark import queries, queries_documents
+    from memspark.operators import knowledge as K
+    from memspark.plans.scratch import written
+
+    axes = K.projection_basis(V.DIM)
+    texts = [None, "", "ab", "Alpha, beta ALPHA", "éÉ œuvre 東京都 naïve", *(" ".join(f"word{i % 97}" for i in range(k, k + k % 90)) for k in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(V.projected(F.col("text"), axes).alias("p"), V.embed(F.col("text")).alias("v"))
+    for r in df.select("p", F.array(*[V.dot(F.col("v"), F.array(*map(F.lit, map(float, b)))) for b in axes]).alias("q")).collect():
+        assert r.p == r.q
+    batch = pa.array([" ".join(f"word{i % 97}" for i in range(k, k + 80)) for k in range(10_000)])
+    tracemalloc.start()
+    V._by_slices(batch, 3, lambda v: v[:, :3])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # before: 11 MB, the tokens of 1 MB of text at once
+
+    kept = {}
+    monkeypatch.setattr(queries_documents, "written", lambda df, tag: kept.setdefault(tag, written(df, tag)))
+    queries.QUERIES["g12_snapshot_nodes"](spark, "/root/testdata/sf0.001")
+    rows = kept["snapshot"]
+    assert "embedding" not in rows.columns  # before: 64 numbers a chunk left Python and were written
+    assert rows.agg(F.max(F.size("p"))).first()[0] == len(axes)
