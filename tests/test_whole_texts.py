@@ -46,3 +46,8 @@ def test_a5_takes_whole_texts(spark, folder):
     cut.write.mode("overwrite").parquet(f"{folder}/cut/documents.parquet")
     whole, part = (queries.QUERIES["a5_document_centroids"](spark, d).filter("document_id = 3").collect() for d in (folder, f"{folder}/cut"))
     assert whole != part
+
+
+def test_c3_takes_whole_texts(spark, folder):
+    columns, rows = equals_sql(spark, folder, "c3_chunk_regions")
+    assert sum(r[columns.index("chunks")] for r in rows) == windows()
