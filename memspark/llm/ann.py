@@ -41,6 +41,8 @@ RECALL = 0.96
 TESTS = 256
 #: Rows and queries of one comparison.
 BLOCK_ROWS = 4096
+#: Bytes of distances within the sample that are held at a time.
+NEAR_BYTES = 1 << 24
 #: Sample vectors of one step of the classifier's fit, and steps.
 BATCH, STEPS = 4096, 300
 
@@ -66,13 +68,14 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of each row, in no order; a block of rows at a time."""
-    out = []
-    for s in range(0, len(x), 1024):
-        d = _squared(x[s : s + 1024], x)
+    """The k nearest other rows of each row, in no order; a block of rows at a time, of which only these are kept."""
+    out = np.empty((len(x), k), np.int64)
+    size = max(1, NEAR_BYTES // (8 * len(x)))
+    for s in range(0, len(x), size):
+        d = _squared(x[s : s + size], x)
         d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
-    return np.concatenate(out)
+        out[s : s + size] = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(near: np.ndarray, x: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
@@ -89,16 +92,15 @@ def balanced_parts(near: np.ndarray, x: np.ndarray, parts: int, rounds: int = 12
             new[own[np.argsort(c @ direction, kind="stable")[len(own) // 2 :]]] += count
         part, count = new, count * 2
     capacity = int(np.ceil(n / count * 1.05))
-    links = [[] for _ in range(n)]
-    for i, row in enumerate(near):
-        for j in row:
-            links[i].append(j)
-            links[j].append(i)
+    # Both ends of every link: those of node i are other[first[i] : first[i + 1]].
+    own, other = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+    own, other = np.concatenate([own, other]), np.concatenate([other, own])
+    other, first = other[np.argsort(own, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
     size = np.bincount(part, minlength=count)
     for _ in range(rounds):
         moved = 0
         for i in range(n):
-            votes = np.bincount(part[links[i]], minlength=count)
+            votes = np.bincount(part[other[first[i] : first[i + 1]]], minlength=count)
             votes[(size >= capacity) & (np.arange(count) != part[i])] = -1
             best = int(votes.argmax())
             if votes[best] > votes[part[i]]:

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from decimal import Decimal, localcontext
 
 import numpy as np
@@ -105,3 +106,15 @@ def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
             want = {i: float(sum((a - b) ** 2 for a, b in zip(vectors[q], v, strict=True)).sqrt()) for i, v in vectors.items() if i != q}
         assert [i for i, _ in found] == sorted(want, key=lambda i: (want[i], i))
         assert all(math.isfinite(s) and abs(s - want[i]) <= 1e-12 * want[i] for i, s in found)
+
+
+def test_fit_holds_no_square_of_the_sample():
+    x = np.random.default_rng(5).normal(size=(6000, 16))
+    tracemalloc.start()
+    near = ann._nearest(x, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6000 * 6000 * 8 / 2
+    d = ((x[:50, None] - x[None]) ** 2).sum(2)
+    d[np.arange(50), np.arange(50)] = np.inf
+    assert (np.sort(near[:50], axis=1) == np.sort(np.argsort(d, axis=1)[:, :10], axis=1)).all()
