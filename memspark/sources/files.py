@@ -28,7 +28,7 @@ def classify(files: DataFrame) -> DataFrame:
     reason = (
         F.when(pdf & (F.col("length") > MAX_PDF_BYTES), "pdf too large")
         .when(~pdf & (F.col("length") > MAX_TEXT_BYTES), "text too large")
-        .when(~pdf & F.hex(content).rlike("^(..)*?00"), "binary")
+        .when(~pdf & F.contains(content, F.lit(b"\x00")), "binary")
         .when(~pdf & as_text.isNull(), "not utf-8")
         .when(~pdf & (F.trim(as_text) == ""), "empty")
     )

@@ -34,3 +34,15 @@ def test_files_are_many_to_a_folder(spark, tmp_path, monkeypatch):
             assert len(files) == sum(r["files"] for r in rows)
         else:
             assert all(p.read_text().count("\n") == 1 for p in files)
+
+
+def test_taken_in_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    from memspark.operators import sinks
+
+    wrote = []
+    monkeypatch.setattr(sinks, "write_files", lambda files, root, write=sinks.write_files: wrote.append(write(files, root)))  # before: by Spark's writer, committed one by one
+    rows = [(i, text, lang, source, 1) for i, (text, lang, source) in enumerate([("a\nb", "en", "x/y z"), ("c", "fr", "x/y z"), ("", "en", "."), ("d", None, None), ("e", "en", ""), ("g", "en", "%2F=")])] + [(15, "f", "fr", "x/y z", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.source, r.lang): (r.files, r.imported, r.binary, r.empty, r.bytes) for r in queries_documents.s1_files(spark, str(tmp_path)).collect()}
+    assert found == {("x/y z", "en"): (1, 1, 0, 0, 4), ("x/y z", "fr"): (2, 1, 1, 0, 2), (".", "en"): (1, 1, 0, 0, 1), (None, None): (1, 1, 0, 0, 2), ("", "en"): (1, 1, 0, 0, 2), ("%2F=", "en"): (1, 1, 0, 0, 2)}
+    assert wrote == [13]  # six files of the first ids lie in a hidden folder too
