@@ -215,3 +215,21 @@ def test_many_items_are_looked_for_in_parts(spark, monkeypatch):
     want = sorted(tuple(r) for r in retrieval.contained(texts, items).collect())
     monkeypatch.setattr(retrieval, "ITEM_CHARS", 12)
     assert sorted(tuple(r) for r in retrieval.contained(texts, items).collect()) == want and len(want) > 40
+
+
+def test_queries_are_ranked_at_once():
+    """All queries of a block in one step, with words of many queries as a matrix: same scores as one by one, no step for each query."""
+    from memspark.operators import retrieval
+
+    rng = np.random.default_rng(11)
+    words = {f"w{i}": i for i in range(60)}
+    rows = [{"query_id": i, "tokens": [f"w{min(59, int(x))}" for x in rng.exponential(8, 7)], "v": rng.random(8)} for i in range(300)]
+    asked = retrieval.Asked(rows, words)
+    assert 0 < len(asked.common) <= retrieval.COMMON < len(asked.begin) - 1
+    held = rng.random((50, 60)) < 0.3
+    counts = np.array([[sum(held[c, words[t]] for t in r["tokens"]) for r in rows] for c in range(50)])
+    assert (asked.held(*np.nonzero(held), 50) == counts).all()
+    so_far, x = np.zeros((300, 3)), np.round(rng.random((50, 300)), 2)
+    q, c, value = retrieval._bettered(x.astype(np.float32), so_far, lambda c, q: x[c, q], (np.arange(50),))
+    assert [(-v, i) for i, v in zip(c[q == 7], value[q == 7], strict=True)] == sorted((-v, i) for i, v in enumerate(x[:, 7]))[:3] and len(q) == 900
+    assert (so_far == np.sort(x, axis=0)[-3:].T).all()
